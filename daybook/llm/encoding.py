@@ -108,7 +108,7 @@ class Encoder:
         memo = self.memo
         fresh = [u for u in set().union(*cut.values()) if u not in memo]
         if fresh:
-            coded = self._units(fresh)
+            coded = self._by_stem(fresh)
             room = max(0, self.memo_entries - len(memo))
             memo.update(zip(fresh[:room], coded[:room]))
             memo.extra = dict(zip(fresh[room:], coded[room:]))
@@ -118,6 +118,28 @@ class Encoder:
         memo.extra = {}
         return out
 
+    def _stem(self, unit: str) -> tuple[str, str]:
+        """A unit as (stem, mark), each of which is encoded by itself.
+
+        A full stop or comma after an ASCII letter begins a pre-token of its own. Where
+        the tokenizer lowers case, an ASCII unit's lower-case form has the same ids.
+        """
+        mark = ""
+        if len(unit) > 1 and unit[-1] in ".," and unit[-2].isascii() and unit[-2].isalpha():
+            unit, mark = unit[:-1], unit[-1]
+        if self.mode == "word" and unit.isascii() and "<|" not in unit:
+            unit = unit.lower()
+        return unit, mark
+
+    def _by_stem(self, units: list[str]) -> list[bytes]:
+        cut = [self._stem(u) for u in units]
+        need = {x for c in cut for x in c if x}
+        known = {x: self.memo[x] for x in need if x in self.memo}
+        new = [x for x in need if x not in known]
+        known.update(zip(new, self._units(new)))
+        known[""] = b""
+        return [known[a] + known[b] for a, b in cut]
+
     def _units(self, units: list[str]) -> list[bytes]:
         if self.mode == "byte":
             joined = [u for u in units if u[0] in " \n" and u[-1] not in " \n"]

@@ -132,6 +132,7 @@ def _meet(k: int):
     def run(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(candidates):
             return pd.DataFrame({"query_row": [], "vec_id": [], "score": []}).astype("int64")
+        candidates = candidates.rename(columns=lambda c: c.removeprefix("c_"))
         queries = queries.sort_values("query_row")
         width = max(max(map(len, queries["v"])), max(map(len, candidates["v"])))
         q, p = _matrix(queries["v"].tolist(), width), _matrix(candidates["v"].tolist(), width)
@@ -160,7 +161,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     asked = asked.select("vec_id", "v", F.col("row").alias("query_row"), F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
 
     def meet(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-        pair = queries.groupBy("block", "shard").cogroup(candidates.groupBy("block", "shard"))
+        # both sides stem from one table; renamed, their columns are told apart
+        candidates = candidates.toDF(*[f"c_{c}" for c in candidates.columns])
+        pair = queries.groupBy("block", "shard").cogroup(candidates.groupBy("c_block", "c_shard"))
         return pair.applyInPandas(_meet(k), "query_row long, vec_id long, score long")
 
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
