@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from daybook.llm.common import materialise, text_or_empty
 
 MOST, WORDS, SEED = 3, 3, 42
+_SMALL = 200_000  # keys that may be broadcast
 _BLOCK = 200_000  # shingles hashed at a time
 
 
@@ -133,6 +134,8 @@ def _gathered(rows: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame,
     counted = materialise(counted, "groups")
     pairs = counted.where((F.col("n") == 2) & (_apart(F.col("a"), F.col("b")) <= MOST)).select("a", "b")
     some = counted.where((F.col("n") > 2) & (F.col("n") <= limit)).select(*keys)
+    if some.count() <= _SMALL:  # two longs a key: a few MB at most; beyond it the keys are shuffled
+        some = F.broadcast(some)
     members = rows.join(some, keys).groupBy(*keys).agg(F.collect_set("fp").alias("fps")).select("fps")
     return pairs.unionByName(_forest_edges(members)), counted.where(F.col("n") > limit).select(*keys)
 
