@@ -38,5 +38,7 @@ def guard_shrinkage(new_rows: int, old_rows: int, floor: float = 0.5) -> None:
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Good rows of NDJSON files, and the malformed lines by file."""
     whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("_file", F.col("_metadata.file_path"))
+    parsed = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    lines = spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("r"), F.col("_metadata.file_path").alias("_file"))
+    rows = lines.select("r.*", "_file")
     return rows.where("_corrupt IS NULL").drop("_corrupt", "_file"), rows.where("_corrupt IS NOT NULL").select("_file", "_corrupt")
