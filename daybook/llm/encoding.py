@@ -1,10 +1,11 @@
 """Exact tokenisation with the tokenizers library and a bounded memo of words.
 
 Byte-level and word BPE never merge across the gap between a non-space
-character and a following space or line feed. A text can therefore be cut
-there into *units* whose ids do not depend on what surrounds them. Words repeat
-in a corpus, so a task keeps the ids of the units it has met (at most
-``memo_entries``) and hands only new ones to the library, many at once.
+character and a following space or line feed, nor between a letter and a
+following ASCII character that is none. A text can therefore be cut there into
+*units* whose ids do not depend on what surrounds them. Units repeat in a corpus,
+so a task keeps the ids of the units it has met (at most ``memo_entries``) and hands
+only new ones to the library, many at once.
 
 Texts for which the argument does not hold (they contain another kind of white
 space, or the string of an added token) are handed to the library whole.
@@ -22,8 +23,11 @@ import numpy as np
 #: White space other than the two characters that end a unit. Python's class is
 #: wider than the library's, which only sends more texts the direct way.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_BYTE_UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_WORD_UNITS = re.compile(r"[^ \n]+")
+#: Letters known as such to every version of Unicode, before ASCII that is no letter. The
+#: dotted capital I is left out: its lower-case form ends in a mark, which is no letter.
+_STEM = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]++(?=[ -@\[-`{-~\n]|\Z)"
+_BYTE_UNITS = re.compile(rf"[ \n]*+{_STEM}|[ \n]*[^ \n]+|[ \n]+")
+_WORD_UNITS = re.compile(rf"{_STEM}|[^ \n]+")
 _JOIN = 1500
 _MARK = "\x00"
 
@@ -108,7 +112,7 @@ class Encoder:
         memo = self.memo
         fresh = [u for u in set().union(*cut.values()) if u not in memo]
         if fresh:
-            coded = self._by_stem(fresh)
+            coded = self._lowered(fresh) if self.mode == "word" else self._units(fresh)
             room = max(0, self.memo_entries - len(memo))
             memo.update(zip(fresh[:room], coded[:room]))
             memo.extra = dict(zip(fresh[room:], coded[room:]))
@@ -118,27 +122,12 @@ class Encoder:
         memo.extra = {}
         return out
 
-    def _stem(self, unit: str) -> tuple[str, str]:
-        """A unit as (stem, mark), each of which is encoded by itself.
-
-        A full stop or comma after an ASCII letter begins a pre-token of its own. Where
-        the tokenizer lowers case, an ASCII unit's lower-case form has the same ids.
-        """
-        mark = ""
-        if len(unit) > 1 and unit[-1] in ".," and unit[-2].isascii() and unit[-2].isalpha():
-            unit, mark = unit[:-1], unit[-1]
-        if self.mode == "word" and unit.isascii() and "<|" not in unit:
-            unit = unit.lower()
-        return unit, mark
-
-    def _by_stem(self, units: list[str]) -> list[bytes]:
-        cut = [self._stem(u) for u in units]
-        need = {x for c in cut for x in c if x}
-        known = {x: self.memo[x] for x in need if x in self.memo}
-        new = [x for x in need if x not in known]
-        known.update(zip(new, self._units(new)))
-        known[""] = b""
-        return [known[a] + known[b] for a, b in cut]
+    def _lowered(self, units: list[str]) -> list[bytes]:
+        """Ids of units by their lower-case form, which in ASCII has the same ids here."""
+        low = [u.lower() if u.isascii() and "<|" not in u else u for u in units]
+        new = [u for u in dict.fromkeys(low) if u not in self.memo]
+        known = dict(zip(new, self._units(new)))
+        return [known[u] if u in known else self.memo[u] for u in low]
 
     def _units(self, units: list[str]) -> list[bytes]:
         if self.mode == "byte":

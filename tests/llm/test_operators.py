@@ -71,6 +71,14 @@ def test_encoder_is_exact(path, small):
     assert enc.encode(texts[::-1]) == want[::-1]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_is_exact_at_unit_ends(path):
+    enc, rng = Encoder(path), np.random.default_rng(5)
+    signs = np.array(["ab", "Z", "\u00df", "\u00f1", "\u0130", "\u0301", "\u0436", "\u4e2d", "\u02b0", "3", "\u00bd", ".", ",", "'", "'t", "'S", "$", "<|", "|>", "\n", " ", " ", " ", "\u3000", "\u200b"])
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(1, 25, 5000)]
+    assert enc.encode(texts) == enc.direct(texts)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20000))
     mph = token_output.PerfectHash.build(keys)
