@@ -1,15 +1,24 @@
-"""Cutting a lineage by a checkpoint in the folder that the session shares."""
+"""The folder that driver and executors share, and cutting a lineage by a checkpoint in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a folder is made and set only where it names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="daybook-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once; the folder is the session's, one is made only where it names none."""
+    """``df`` written once to the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="daybook-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
