@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from daybook.plans import cohorts, coverage, graphs, intervals, models, rollups, scalars, stats
+from daybook.plans import cohorts, coverage, evidence, graphs, intervals, models, rollups, scalars, stats
 
-SECTIONS = (rollups, scalars, intervals, stats, graphs, cohorts, coverage, models)
+SECTIONS = (rollups, scalars, intervals, stats, graphs, cohorts, coverage, models, evidence)
 
 
 def queries() -> dict:

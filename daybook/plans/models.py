@@ -29,7 +29,7 @@ def moments(spark, sf_dir):
 
 @query(sql(HELD + """SELECT event_type, round((rxy - rxz * ryz) / sqrt((1 - rxz * rxz) * (1 - ryz * ryz)), 4) AS partial_r, k FROM c""", "ev"))
 def partial_correlation(spark, sf_dir):
-    """Correlation of what a line over time leaves of two series."""
+    """Correlation of what a line over time leaves of two series."""
     r = (F.col("rxy") - F.col("rxz") * F.col("ryz")) / F.sqrt((1 - F.col("rxz") ** 2) * (1 - F.col("ryz") ** 2))
     return moments(spark, sf_dir).select("event_type", F.round(r, 4).alias("partial_r"), "k")
 
@@ -67,7 +67,7 @@ k AS (SELECT event_type, user_id, "at", lag("at") OVER (PARTITION BY event_type,
 g AS (SELECT *, sum(CASE WHEN p IS NULL OR "at" - p > 172800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, user_id ORDER BY "at") AS island FROM k)
 SELECT event_type, user_id, min("at") AS start, max("at") AS "end", count(*) AS n FROM g GROUP BY event_type, user_id, island HAVING count(*) >= 2""", "ev"))
 def residual_periods(spark, sf_dir):
-    """Runs of rows far from their kind's line over time."""
+    """Runs of rows far from their kind's line over time."""
     x = events(spark, sf_dir).withColumn("x", (F.col("at") - START) / 3.6e9)
     f = x.groupBy("event_type").agg(F.regr_slope("value", "x").alias("b"), F.regr_intercept("value", "x").alias("a"))
     r = x.join(f, "event_type").withColumn("e", F.col("value") - F.col("a") - F.col("b") * F.col("x"))
@@ -109,7 +109,7 @@ def threshold_for_precision(spark, sf_dir):
 
 @query(sql("""SELECT event_type, "at" // 3600000000 AS hour_no, count(*) AS n, round(avg(value), 4) AS mean, round(max(value), 4) AS peak FROM ev GROUP BY ALL""", "ev"))
 def hourly_aggregates(spark, sf_dir):
-    """Hourly buckets; absent hours stay absent."""
+    """Hourly buckets; absent hours stay absent."""
     hour = F.expr(f"at div {HOUR}").alias("hour_no")
     return events(spark, sf_dir).groupBy("event_type", hour).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.max("value"), 4).alias("peak"))
 
@@ -149,7 +149,7 @@ e AS (SELECT user_id, day, count(*) AS n, count(*) FILTER (WHERE event_type = 'e
 SELECT user_id, day, CASE WHEN n IS NULL THEN 'unknown_no_sensor' WHEN good > 0 AND bad > 0 THEN 'ambiguous' WHEN good > 0 THEN 'evidenced_awake' WHEN bad > 0 THEN 'evidenced_sleep_unrecorded'
 WHEN n >= 3 THEN 'tracked' ELSE 'unknown_no_pc_evidence' END AS state FROM s LEFT JOIN e USING (user_id, day)""", "ev"))
 def classify_coverage(spark, sf_dir):
-    """Every date between a key's first and last gets one state by layered evidence."""
+    """Every date between a key's first and last gets one state by layered evidence."""
     v = events(spark, sf_dir)
     kinds = [F.count_if(F.col("event_type") == k).alias(n) for k, n in (("error", "bad"), ("purchase", "good"))]
     e = v.groupBy("user_id", "day").agg(F.count("*").alias("n"), *kinds)
@@ -164,7 +164,7 @@ g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start - reach > 3600000000 THEN 1
 i AS (SELECT user_id, min(start) AS start, max("end") AS "end" FROM g GROUP BY user_id, island)
 SELECT user_id, start // 86400000000 AS night, count(*) - 1 AS naps, max("end" - start) AS main_us, CAST(sum("end" - start) AS BIGINT) AS total_us FROM i GROUP BY ALL""", "spans"))
 def night_composites(spark, sf_dir):
-    """Segments joined over short gaps; the longest of a night is its main episode, the rest are naps."""
+    """Segments joined over short gaps; the longest of a night is its main episode, the rest are naps."""
     i = merge_islands(spans(spark, sf_dir).select("user_id", "start", "end"), ["user_id"], HOUR).withColumn("us", F.col("end") - F.col("start"))
     return i.groupBy("user_id", F.expr(f"start div {DAY}").alias("night")).agg((F.count("*") - 1).alias("naps"), F.max("us").alias("main_us"), F.sum("us").alias("total_us"))
 
@@ -172,7 +172,7 @@ def night_composites(spark, sf_dir):
 @query(sql("""WITH d AS (SELECT user_id, greatest(value - lag(value) OVER (PARTITION BY user_id ORDER BY "at", event_id), 0) AS up FROM ev)
 SELECT user_id, round(sum(up), 3) AS growth FROM d GROUP BY user_id ORDER BY growth DESC, user_id LIMIT 20""", "ev"))
 def counter_growth(spark, sf_dir):
-    """Keys with the most counter growth; a fall is a reset and counts nothing."""
+    """Keys with the most counter growth; a fall is a reset and counts nothing."""
     up = F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("at", "event_id"))
     d = events(spark, sf_dir).withColumn("up", F.greatest(up, F.lit(0.0)))
     return d.groupBy("user_id").agg(F.round(F.sum("up"), 3).alias("growth")).orderBy(F.desc("growth"), "user_id").limit(20)
@@ -215,7 +215,7 @@ def period_keys(spark, sf_dir):
 
 @query(sql("""SELECT event_id, "at" FROM ev""", "ev"))
 def timestamp_shapes(spark, sf_dir):
-    """Times written in three shapes are told apart by form and size."""
+    """times written in three shapes are told apart by form and size."""
     e = events(spark, sf_dir)
     shapes = [F.col("at").cast("string"), (F.col("at") + 11_644_473_600_000_000).cast("string"), F.date_format(F.timestamp_micros("at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")]
     raw = F.when(F.col("event_id") % 3 == 0, shapes[0]).when(F.col("event_id") % 3 == 1, shapes[1]).otherwise(shapes[2])
@@ -224,7 +224,7 @@ def timestamp_shapes(spark, sf_dir):
 
 @query(sql("""SELECT day, count(*) AS n, round(sum(value), 3) AS total FROM ev GROUP BY day""", "ev"))
 def lake_export(spark, sf_dir):
-    """A lake partitioned by day, read back and counted from its files."""
+    """A lake partitioned by day, read back and counted from its files."""
     path = f"{shared_dir(spark)}/daybook-{uuid.uuid4().hex[:12]}/lake"
     events(spark, sf_dir).select("event_id", "value", "day").repartition("day").write.partitionBy("day").parquet(path)
     back = spark.read.parquet(path)
