@@ -35,11 +35,11 @@ def observational_baselines(spark, sf_dir):
     return g.select("event_type", "hour", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("med", "q1", "q3"))], "n")
 
 
-@query(sql("""SELECT project, kind, count(*) AS n, count(*) FILTER (WHERE status = 'P') AS censored, round(median(lines), 2) AS med, round(quantile_cont(lines, 0.95), 2) AS p95 FROM commits GROUP BY ALL HAVING count(*) >= 5""", "commits"))
+@query(sql("""SELECT project, kind, count(*) AS n, count(*) FILTER (WHERE status = 'P') AS censored, round(median(lines), 4) AS med, round(quantile_cont(lines, 0.95), 4) AS p95 FROM commits GROUP BY ALL HAVING count(*) >= 5""", "commits"))
 def cohort_mining(spark, sf_dir):
     """Cohorts by two dimensions with censoring."""
     g = commits(spark, sf_dir).groupBy("project", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "P").alias("censored"), F.percentile("lines", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
-    return g.where("n >= 5").select("project", "kind", "n", "censored", F.round(F.col("q")[0], 2).alias("med"), F.round(F.col("q")[1], 2).alias("p95"))
+    return g.where("n >= 5").select("project", "kind", "n", "censored", F.round(F.col("q")[0], 4).alias("med"), F.round(F.col("q")[1], 4).alias("p95"))
 
 
 @query(sql("""WITH f AS (SELECT event_type, value, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY "at" RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS exposed FROM ev)
@@ -131,11 +131,11 @@ def measurement_system(spark, sf_dir):
     return g.agg(F.round(F.var_pop("m"), 4).alias("between_var"), F.round(F.avg("v"), 4).alias("within_var"), F.count("*").alias("groups"))
 
 
-@query(sql("""WITH d AS (SELECT user_id, day, sum(value) AS v FROM ev GROUP BY ALL) SELECT day, count(*) AS users, round(avg(v), 2) AS mean FROM d WHERE v < 60 GROUP BY day""", "ev"))
+@query(sql("""WITH d AS (SELECT user_id, day, sum(value) AS v FROM ev GROUP BY ALL) SELECT day, count(*) AS users, round(avg(v), 6) AS mean FROM d WHERE v < 60 GROUP BY day""", "ev"))
 def idle_baseline(spark, sf_dir):
     """Quiet subject-days and their mean."""
     d = events(spark, sf_dir).groupBy("user_id", "day").agg(F.sum("value").alias("v")).where("v < 60")
-    return d.groupBy("day").agg(F.count("*").alias("users"), F.round(F.avg("v"), 2).alias("mean"))
+    return d.groupBy("day").agg(F.count("*").alias("users"), F.round(F.avg("v"), 6).alias("mean"))
 
 
 @query(sql("""SELECT user_id, max("at") - min("at") AS span_us, count(*) AS n FROM ev WHERE user_id NOT IN (0, 1, 2) GROUP BY user_id HAVING max("at") - min("at") >= 2160000000000""", "ev"))

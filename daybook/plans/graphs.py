@@ -87,7 +87,7 @@ def period_synthesis(spark, sf_dir):
 
 
 @query(sql("""WITH p AS (SELECT project, count(*) AS n, count(DISTINCT kind) AS kinds, count(DISTINCT thread) AS threads FROM commits GROUP BY project)
-SELECT project, round(kinds + 0.35 * least(threads, 6) + 0.12 * least(n, 5), 4) AS score, CASE WHEN kinds >= 4 THEN 'strong' WHEN kinds >= 2 THEN 'moderate' ELSE 'weak' END AS level FROM p""", "commits"))
+SELECT project, round(kinds + 0.35e0 * least(threads, 6) + 0.12e0 * least(n, 5), 4) AS score, CASE WHEN kinds >= 4 THEN 'strong' WHEN kinds >= 2 THEN 'moderate' ELSE 'weak' END AS level FROM p""", "commits"))
 def supported_claims(spark, sf_dir):
     """Claim scores from capped counts."""
     p = commits(spark, sf_dir).groupBy("project").agg(F.count("*").alias("n"), F.countDistinct("kind").alias("kinds"), F.countDistinct("thread").alias("threads"))

@@ -131,7 +131,7 @@ def timeline_overlaps(spark, sf_dir):
     return both.select("a_id", "b_id", F.floor((F.col("to_us") - F.col("from_us")) / 1_000_000).alias("overlap_s"))
 
 
-@query(sql("""SELECT a.event_id AS a_id, b.event_id AS b_id, CASE WHEN abs(a."at" - b."at") <= 1800000000 THEN 0.82 WHEN abs(a."at" - b."at") <= 3600000000 THEN 0.7 ELSE 0.58 END AS weight
+@query(sql("""SELECT a.event_id AS a_id, b.event_id AS b_id, CASE WHEN abs(a."at" - b."at") <= 1800000000 THEN 0.82e0 WHEN abs(a."at" - b."at") <= 3600000000 THEN 0.7e0 ELSE 0.58e0 END AS weight
 FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.day = b.day AND a.event_type < b.event_type AND abs(a."at" - b."at") <= 5400000000""", "ev"))
 def proximity_edges(spark, sf_dir):
     """Pairs of different sources within 90 minutes of one day, weighted by the gap."""
