@@ -20,23 +20,28 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
     return seen
 
 
-def connected(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
-    """id, component (the least id reachable), by label propagation to a fixed point, a checkpoint a round."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    labels = nodes.select("id", F.col("id").alias("component"))
+def connected(edges: DataFrame, nodes: DataFrame, limit: int = 200) -> DataFrame:
+    """id, component (the least id reachable), by alternating large and small stars until the state repeats, a checkpoint a round.
+
+    Long chains need few rounds (the logarithm of the size, squared, at worst); a run that has not settled after ``limit`` rounds raises.
+    """
+    stars = cut(edges.select(F.greatest("source", "target").alias("v"), F.least("source", "target").alias("u")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
-        offered = both.join(labels, both["source"] == labels["id"]).groupBy("target").agg(F.min("component").alias("offer"))
-        labels = labels.join(offered, labels["id"] == offered["target"], "left").select("id", F.least("component", F.coalesce("offer", "component")).alias("component"))
-        # a label's own label is nearer to the root: halves the rounds on long chains
-        up = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        labels = labels.join(up, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"))
-        labels = cut(labels)
-        total = labels.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            break
-        before = total
-    return labels
+    for _ in range(limit):
+        # large star: every larger neighbour moves to the least of the neighbourhood
+        both = stars.unionByName(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        # small star: smaller neighbours, and the vertex, move to the least of them
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v")
+        stars = cut(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
+        state = stars.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if state == before:
+            found = stars.select(F.col("v").alias("id"), F.col("u").alias("root"))
+            return nodes.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+        before = state
+    raise RuntimeError(f"components have not settled after {limit} rounds")
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iterations: int = 40) -> DataFrame:
