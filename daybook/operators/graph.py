@@ -10,12 +10,12 @@ from daybook.sources.shared import cut
 
 def walk(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
     """Breadth-first reach: start, node, depth (least). Each step joins only the new frontier."""
-    edges = edges.select("source", "target").distinct()
+    edges = cut(edges.select("source", "target").distinct())  # read by every step
     seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"))
     frontier = seen
     for d in range(1, depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["source"]).select("start", F.col("target").alias("node")).distinct()
-        frontier = step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
+        frontier = cut(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -48,6 +48,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     """id, rank; mass of nodes without out-edges is spread over all."""
     n = nodes.count()
     edges = edges.join(edges.groupBy("source").agg(F.count("*").alias("out")), "source").select("source", "target", "out")
+    edges = cut(edges)  # read by every iteration
     ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
     for _ in range(iterations):
         given = edges.join(ranks, edges["source"] == ranks["id"]).groupBy("target").agg(F.sum(F.col("rank") / F.col("out")).alias("in"))

@@ -1,8 +1,11 @@
 """Queries and operators over the whole of their input: nothing left out by a constant, a round limit or a single task."""
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from daybook.operators import graph
+from daybook.plans import graphs
 
 
 def chain(spark, ids):
@@ -18,3 +21,30 @@ def test_components_of_a_long_chain(spark):
 def test_components_that_do_not_settle_raise(spark):
     with pytest.raises(RuntimeError):
         graph.connected(*chain(spark, [0, *range(1001, 1050), *range(50, 0, -1)]), limit=2)
+
+
+def whole_links(sf):
+    """Suppliers that follow each other in an order, of all lines, by hand."""
+    lines = pd.read_parquet(f"{sf}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_suppkey"]).sort_values(["l_orderkey", "l_linenumber", "l_suppkey"])
+    nxt = lines.groupby("l_orderkey")["l_suppkey"].shift(-1)
+    return sorted({(int(a), int(b)) for a, b in zip(lines["l_suppkey"], nxt) if b == b and a != b}), sorted(map(int, pd.read_parquet(f"{sf}/supplier.parquet")["s_suppkey"]))
+
+
+def test_graph_queries_take_all_lines(spark, sf):
+    links, ids = whole_links(sf)
+    assert {(r["source"], r["target"]) for r in graphs.edges(spark, sf).collect()} == set(links)
+    root = {i: i for i in ids}
+    for a, b in links * len(ids):
+        root[a] = root[b] = min(root[a], root[b])
+    assert {(r["id"], r["component"]) for r in graphs.whole_weak_components(spark, sf).collect()} == set(root.items())
+    at, n = {i: k for k, i in enumerate(ids)}, len(ids)
+    step = np.zeros((n, n))
+    for a, b in links:
+        step[at[b], at[a]] = 1
+    out = step.sum(axis=0)
+    step = np.where(out > 0, step / np.maximum(out, 1), 1 / n)
+    rank = np.full(n, 1 / n)
+    for _ in range(40):
+        rank = 0.15 / n + 0.85 * step @ rank
+    got = {r["id"]: r["rank"] for r in graphs.page_rank(spark, sf).collect()}
+    assert np.allclose([got[i] for i in ids], rank, atol=2e-8)
