@@ -48,17 +48,27 @@ def nearest_signal(spark, sf_dir):
     return near.groupBy("purchase_id").agg(F.floor(F.min(F.abs(F.col("at") - F.col("other_at"))) / 1_000_000).alias("gap_s"))
 
 
+def path_overlap(c: DataFrame) -> DataFrame:
+    c = c.withColumn("d", F.unix_date("day"))
+    a, b = c.select("sha", "path", "d"), c.select(F.col("sha").alias("other"), "path", F.col("d").alias("e"))
+    near = band_join(a, b, ["path"], "d", "e", 3).where("sha < other")
+    return near.groupBy("sha").agg(F.countDistinct("other").alias("others"), F.countDistinct("path").alias("paths"))
+
+
 @query(sql("""SELECT c.sha AS sha, count(DISTINCT h.sha) AS others, count(DISTINCT h.path) AS paths FROM (SELECT sha, path, day FROM changes WHERE path % 7 <> 0) c
 JOIN (SELECT sha, path, day FROM changes WHERE path % 7 <> 0) h ON c.path = h.path AND c.sha < h.sha AND abs(c.day - h.day) <= 3 GROUP BY c.sha""", "changes"))
 def file_overlap(spark, sf_dir):
-    """Pairs that share a path within a band of days, high-fanout paths left out.
+    """Pairs that share a path within a band of days, without every seventh path, as its SQL says; whole_file_overlap does the whole job."""
+    return path_overlap(changes(spark, sf_dir).where("path % 7 <> 0"))
+
+
+@query(sql("""SELECT c.sha AS sha, count(DISTINCT h.sha) AS others, count(DISTINCT h.path) AS paths FROM changes c JOIN changes h ON c.path = h.path AND c.sha < h.sha AND abs(c.day - h.day) <= 3 GROUP BY c.sha""", "changes"))
+def whole_file_overlap(spark, sf_dir):
+    """Pairs that share a path within a band of days, over all paths.
 
     The join is on path and time bin, not on the project, so a project's size doesn't square.
     """
-    c = changes(spark, sf_dir).where("path % 7 <> 0").withColumn("d", F.unix_date("day"))
-    a, b = c.select("sha", "path", "d"), c.select(F.col("sha").alias("other"), "path", F.col("d").alias("e"))
-    near = band_join(a, b, ["path"], "d", "e", 3).where("sha < other")
-    return near.groupBy("sha").agg(F.countDistinct("other").alias("others"), F.countDistinct("path").alias("paths"))
+    return path_overlap(changes(spark, sf_dir))
 
 
 @query(sql("""SELECT c.project, count(*) AS n, min(h.day - c.day) AS least, round(median(h.day - c.day), 2) AS middle, round(avg(h.day - c.day), 4) AS mean, max(h.day - c.day) AS most

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from daybook.operators import graph
-from daybook.plans import graphs
+from daybook.plans import graphs, intervals
 
 
 def chain(spark, ids):
@@ -48,3 +48,9 @@ def test_graph_queries_take_all_lines(spark, sf):
         rank = 0.15 / n + 0.85 * step @ rank
     got = {r["id"]: r["rank"] for r in graphs.page_rank(spark, sf).collect()}
     assert np.allclose([got[i] for i in ids], rank, atol=2e-8)
+
+
+def test_file_overlap_keeps_every_path(spark, tmp_path):
+    row = {"l_linenumber": 1, "l_suppkey": 1, "l_quantity": 1.0, "l_returnflag": "A", "l_shipdate": pd.Timestamp("1998-01-05")}
+    pd.DataFrame([row | {"l_orderkey": sha, "l_partkey": path} for sha, path in ((1, 7), (2, 7), (3, 8), (4, 8))]).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    assert {(r["sha"], r["others"], r["paths"]) for r in intervals.whole_file_overlap(spark, str(tmp_path)).collect()} == {(1, 1, 1), (3, 1, 1)}
