@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daybook.plans.registry import registry
 from daybook.sources.snapshots import drop_dangling, keep_latest, replace_tail
-from daybook.sources.tables import changes, events, sql, table
+from daybook.sources.tables import changes, events, sql, table, whole_months
 
 REGISTRY, query = registry()
 
@@ -15,10 +15,11 @@ REGISTRY, query = registry()
 @query(sql("""WITH b AS (SELECT user_id, min(day) AS lo, max(day) AS hi FROM ev GROUP BY 1), s AS (SELECT CAST(unnest(generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS day),
 n AS (SELECT user_id, day, count(*) AS n FROM ev GROUP BY ALL) SELECT b.user_id, s.day, CASE WHEN s.day BETWEEN lo AND hi THEN coalesce(n.n, 0) END AS n FROM b, s LEFT JOIN n ON n.user_id = b.user_id AND n.day = s.day""", "ev"))
 def covered_days(spark, sf_dir):
-    """Zero inside a source's bounds, null outside; the spine is exploded, not crossed."""
+    """Zero inside a source's bounds, null outside; the spine (the whole months with events, a week before and five days after) is exploded, not crossed."""
     e = events(spark, sf_dir)
+    lo, hi = (F.to_date(F.timestamp_micros(F.lit(at))) for at in whole_months(e))
     b = e.groupBy("user_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    spine = b.withColumn("day", F.explode(F.sequence(F.lit("2023-12-25").cast("date"), F.lit("2024-02-05").cast("date"))))
+    spine = b.withColumn("day", F.explode(F.sequence(F.date_sub(lo, 7), F.date_add(hi, 4))))
     n = e.groupBy("user_id", "day").agg(F.count("*").alias("n"))
     return spine.join(n, ["user_id", "day"], "left").select("user_id", "day", F.when(F.col("day").between(F.col("lo"), F.col("hi")), F.coalesce("n", F.lit(0))).alias("n"))
 

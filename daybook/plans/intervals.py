@@ -9,7 +9,7 @@ from daybook.operators.dedup import drop_within, merge_islands
 from daybook.operators.joins import asof_join, band_join, interval_join, top_within
 from daybook.operators.sessions import absorbing_sessions, alternations, clip, downtime, number_sessions
 from daybook.plans.registry import registry
-from daybook.sources.tables import changes, commits, events, spans, sql, table
+from daybook.sources.tables import changes, commits, events, spans, sql, table, whole_months
 
 REGISTRY, query = registry()
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
@@ -260,18 +260,20 @@ def data_outages(spark, sf_dir):
 @query(sql("""WITH s AS (SELECT user_id, "at", bool_or(event_type = 'error') AS bad FROM ev GROUP BY ALL), t AS (SELECT *, coalesce(lag(bad) OVER (PARTITION BY user_id ORDER BY "at") <> bad, true) AS turn FROM s),
 u AS (SELECT user_id, "at" AS start, coalesce(lead("at") OVER (PARTITION BY user_id ORDER BY "at"), 1706745600000000) AS "end", bad FROM t WHERE turn) SELECT user_id, start, "end" FROM u WHERE bad""", "ev"))
 def downtime_intervals(spark, sf_dir):
-    """From the first bad sample to the next good one or the window's end."""
-    s = events(spark, sf_dir).groupBy("user_id", "at").agg(F.bool_or(F.col("event_type") == "error").alias("bad"))
-    return downtime(s, "user_id", "at", F.col("bad"), 1_706_745_600_000_000)
+    """From the first bad sample to the next good one or the end of the last month with events."""
+    e = events(spark, sf_dir)
+    s = e.groupBy("user_id", "at").agg(F.bool_or(F.col("event_type") == "error").alias("bad"))
+    return downtime(s, "user_id", "at", F.col("bad"), whole_months(e)[1])
 
 
 @query(sql("""WITH s AS (SELECT user_id, "at", bool_or(event_type = 'error') AS bad FROM ev GROUP BY ALL), t AS (SELECT *, coalesce(lag(bad) OVER (PARTITION BY user_id ORDER BY "at") <> bad, true) AS turn FROM s),
 u AS (SELECT user_id, "at" AS start, coalesce(lead("at") OVER (PARTITION BY user_id ORDER BY "at"), 1706745600000000) AS "end", bad FROM t WHERE turn)
 SELECT user_id, round(1 - sum("end" - start) / 2678400000000.0, 6) AS uptime FROM u WHERE bad GROUP BY user_id""", "ev"))
 def uptime_summary(spark, sf_dir):
-    """Share of the window that was not down."""
+    """Share of the whole months with events that was not down."""
+    lo, hi = whole_months(events(spark, sf_dir))
     d = downtime_intervals(spark, sf_dir)
-    return d.groupBy("user_id").agg(F.round(1 - F.sum(F.col("end") - F.col("start")) / 2_678_400_000_000.0, 6).alias("uptime"))
+    return d.groupBy("user_id").agg(F.round(1 - F.sum(F.col("end") - F.col("start")) / float(hi - lo), 6).alias("uptime"))
 
 
 @query(sql("""WITH b AS (SELECT user_id, "at" // 21600000000 AS bucket, count(DISTINCT event_type) AS kinds FROM ev GROUP BY ALL HAVING count(DISTINCT event_type) >= 2),
@@ -287,9 +289,10 @@ def co_presence(spark, sf_dir):
 @query(sql("""WITH h AS (SELECT unnest(range(1704067200000000, 1706745600000000, 3600000000)) AS hour), c AS (SELECT "at" // 3600000000 * 3600000000 AS hour, count(*) AS n, count(DISTINCT user_id) AS users FROM ev GROUP BY 1)
 SELECT h.hour, coalesce(n, 0) AS n, coalesce(users, 0) AS users FROM h LEFT JOIN c USING (hour)""", "ev"))
 def hourly_presence(spark, sf_dir):
-    """A dense hour spine with what each hour holds."""
-    spine = spark.range(1_704_067_200_000_000, 1_706_745_600_000_000, HOUR).withColumnRenamed("id", "hour")
-    c = events(spark, sf_dir).groupBy((F.floor(F.col("at") / HOUR) * HOUR).alias("hour")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    """A dense hour spine over the whole months with events, and what each hour holds."""
+    e = events(spark, sf_dir)
+    spine = spark.range(*whole_months(e), HOUR).withColumnRenamed("id", "hour")
+    c = e.groupBy((F.floor(F.col("at") / HOUR) * HOUR).alias("hour")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
     return spine.join(c, "hour", "left").na.fill(0, ["n", "users"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daybook.operators.series import anomalies, bootstrap_delta, changepoints, lagged_correlation, periods, permutation_p, trend
 from daybook.plans.registry import registry
-from daybook.sources.tables import changes, events, sql, table
+from daybook.sources.tables import changes, events, sql, table, whole_months
 
 REGISTRY, query = registry()
 DAILY = """WITH d AS (SELECT event_type, day, round(avg(value), 4) AS v, count(*) AS n FROM ev GROUP BY ALL) """
@@ -84,11 +84,12 @@ SELECT user_id, day, round(max(level), 3) AS peak, round(avg(level), 3) AS mean
 def active_levels(spark, sf_dir):
     """Exponential decays summed on a grid; each dose only reaches the grid points of its three days."""
     step, reach = 6 * 3_600_000_000, 259_200_000_000
-    e = events(spark, sf_dir).where("event_type = 'purchase'").select("user_id", "at", "value")
+    e = events(spark, sf_dir)
+    lo, hi = whole_months(e)
+    e = e.where("event_type = 'purchase'").select("user_id", "at", "value")
     first = F.ceil(F.col("at") / step)
     last = F.ceil((F.col("at") + reach) / step) - 1
-    lo, hi = 1_704_067_200_000_000 // step, (1_704_067_200_000_000 + 31 * 86_400_000_000) // step - 1
-    g = e.withColumn("lo", F.greatest(first, F.lit(lo))).withColumn("hi", F.least(last, F.lit(hi))).where("hi >= lo").withColumn("slot", F.explode(F.sequence("lo", "hi")))
+    g = e.withColumn("lo", F.greatest(first, F.lit(lo // step))).withColumn("hi", F.least(last, F.lit(hi // step - 1))).where("hi >= lo").withColumn("slot", F.explode(F.sequence("lo", "hi")))
     decay = F.exp(-F.log(F.lit(2.0)) * ((F.col("slot") * step - F.col("at")) / 3.6e9) / 12.0)
     s = g.groupBy("user_id", "slot").agg(F.sum(F.col("value") * decay).alias("level"))
     return s.groupBy("user_id", F.to_date(F.timestamp_micros(F.col("slot") * step)).alias("day")).agg(F.round(F.max("level"), 3).alias("peak"), F.round(F.avg("level"), 3).alias("mean"))

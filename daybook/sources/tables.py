@@ -42,6 +42,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", micros("ts").alias("at"), F.to_date("ts").alias("day"), "value", "props")
 
 
+def whole_months(e: DataFrame) -> tuple[int, int]:
+    """Microseconds of the start of the first and of the end of the last calendar month that hold events; (0, 0) without any."""
+    start = F.date_trunc("month", F.timestamp_micros(F.min("at")))
+    end = F.date_trunc("month", F.timestamp_micros(F.max("at"))) + F.expr("INTERVAL 1 MONTH")
+    lo, hi = e.agg(F.unix_micros(start), F.unix_micros(end)).first()
+    return (lo or 0), (hi or 0)
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as half-open spans: start, end = start + whole minutes of the value."""
     e = events(spark, sf_dir)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from daybook.operators import graph
-from daybook.plans import graphs, intervals
+from daybook.plans import coverage, graphs, intervals, stats
 
 
 def chain(spark, ids):
@@ -54,3 +54,16 @@ def test_file_overlap_keeps_every_path(spark, tmp_path):
     row = {"l_linenumber": 1, "l_suppkey": 1, "l_quantity": 1.0, "l_returnflag": "A", "l_shipdate": pd.Timestamp("1998-01-05")}
     pd.DataFrame([row | {"l_orderkey": sha, "l_partkey": path} for sha, path in ((1, 7), (2, 7), (3, 8), (4, 8))]).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
     assert {(r["sha"], r["others"], r["paths"]) for r in intervals.whole_file_overlap(spark, str(tmp_path)).collect()} == {(1, 1, 1), (3, 1, 1)}
+
+
+def test_windows_follow_the_events(spark, tmp_path):
+    at = pd.to_datetime(["2025-03-03 05:00", "2025-04-10 06:00", "2025-04-30 12:00"])
+    pd.DataFrame({"event_id": [1, 2, 3], "ts": at, "user_id": [7, 7, 7], "event_type": ["view", "purchase", "error"], "value": [1.0, 2.0, 3.0], "props": ["{}"] * 3}).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    d = str(tmp_path)
+    hours = intervals.hourly_presence(spark, d).collect()
+    assert len(hours) == 61 * 24 and sum(r["n"] for r in hours) == 3
+    assert [(r["end"] - r["start"]) // 3_600_000_000 for r in intervals.downtime_intervals(spark, d).collect()] == [12]
+    assert [r["uptime"] for r in intervals.uptime_summary(spark, d).collect()] == [round(1 - 12 / (61 * 24), 6)]
+    assert {str(r["day"]) for r in stats.active_levels(spark, d).collect()} == {"2025-04-10", "2025-04-11", "2025-04-12", "2025-04-13"}
+    days = coverage.covered_days(spark, d).collect()
+    assert len(days) == 7 + 61 + 5 and sum(r["n"] or 0 for r in days) == 3
