@@ -1,12 +1,13 @@
 """Statistics of many series at once: one group a series.
 
-The closed forms are joins and window frames; change points, spectra and resampling walk a
-series in order and run as grouped-map functions over numpy, one series a call.
+The closed forms are joins and window frames; change points and spectra walk a series in order and
+run as grouped-map functions over numpy, one series a call; resampling runs over blocks of values.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -97,37 +98,98 @@ def anomalies(df: DataFrame, key: str, order: str, value: str, history: int = 28
     return frame.withColumn("anomaly", out).drop("_past")
 
 
-def bootstrap_delta(df: DataFrame, key: str, arm: str, value: str, iterations: int = 500, seed: int = 7, confidence: float = 0.95) -> DataFrame:
-    """Mean difference of the two arms (True minus False) with a seeded percentile interval."""
+def value_blocks(df: DataFrame, key: str, arm: str, value: str, least: int) -> DataFrame:
+    """key, block, value, t, c: rows of each arm (True and False) with a value, dealt by hash into blocks of about ``least`` values.
 
-    def resample(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([arm, value])
-        t, c = rows.loc[rows[arm], value].to_numpy(float), rows.loc[~rows[arm], value].to_numpy(float)
-        if not len(t) or not len(c):
-            return pd.DataFrame({key: [], "delta": [], "low": [], "high": []})
-        rng = np.random.default_rng(seed)
-        means = np.sort([rng.choice(t, len(t)).mean() - rng.choice(c, len(c)).mean() for _ in range(iterations)])
-        tail = (1 - confidence) / 2
-        return pd.DataFrame({key: [rows[key].iloc[0]], "delta": [t.mean() - c.mean()], "low": [np.quantile(means, tail)], "high": [np.quantile(means, 1 - tail)]})
+    Keys without rows in both arms are left out. Equal values are one row, so a common value fills no block.
+    """
+    cells = df.where(F.col(arm).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(key, F.col(value).cast("double").alias("value")).agg(F.count_if(F.col(arm)).alias("t"), F.count_if(~F.col(arm)).alias("c"))
+    sizes = cells.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / least).alias("_blocks"), F.sum("t").alias("_t"), F.sum("c").alias("_c")).where("_t > 0 AND _c > 0")
+    block = F.pmod(F.xxhash64("value"), F.col("_blocks"))
+    return cells.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).select(key, block.alias("block"), "value", "t", "c")
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, arm, value).groupBy(key).applyInPandas(resample, f"{key} {kind}, delta double, low double, high double")
 
+def _rng(seed: int, *parts) -> np.random.Generator:
+    """A generator of its own for each key and block, whichever task it runs in."""
+    return np.random.default_rng([seed, zlib.crc32(repr(parts).encode())])
 
-def permutation_p(df: DataFrame, key: str, arm: str, value: str, iterations: int = 1000, seed: int = 7) -> DataFrame:
-    """Share of seeded relabellings with a mean difference at least as large."""
 
-    def permute(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([arm, value])
-        x, n = rows[value].to_numpy(float), int(rows[arm].sum())
-        if not n or n == len(x):
-            return pd.DataFrame({key: [], "p": []})
-        seen = abs(rows.loc[rows[arm], value].mean() - rows.loc[~rows[arm], value].mean())
-        rng, hits, total = np.random.default_rng(seed), 0, x.sum()
-        for _ in range(iterations):
-            part = x[rng.permutation(len(x))[:n]].sum()
-            hits += abs(part / n - (total - part) / (len(x) - n)) >= seen - 1e-12
-        return pd.DataFrame({key: [rows[key].iloc[0]], "p": [(hits + 1) / (iterations + 1)]})
+def _replicates(cells: DataFrame, key: str, iterations: int, allocate, draw) -> DataFrame:
+    """key, replicate, n_t, s_t, n_c, s_c: for each replicate the rows drawn for each arm and their sums.
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, arm, value).groupBy(key).applyInPandas(permute, f"{key} {kind}, p double")
+    ``allocate`` deals a replicate's draws among the blocks of a key, from their totals alone; ``draw`` makes those of one block.
+    """
+    kind = dict(cells.dtypes)[key]
+    totals = cells.groupBy(key, "block").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        take_t, take_c = allocate(_rng(0, rows[key].iloc[0]), rows["t"].to_numpy(), rows["c"].to_numpy())
+        return pd.DataFrame({key: rows[key], "block": rows["block"], "take_t": list(take_t.T), "take_c": list(take_c.T)})
+
+    def block(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        rows, name, at = rows.sort_values("value"), plan[key].iloc[0], int(plan["block"].iloc[0])
+        take_t, take_c = (np.asarray(plan[x].iloc[0], np.int64) for x in ("take_t", "take_c"))
+        s_t, s_c = draw(_rng(1, name, at), rows["value"].to_numpy(float), rows["t"].to_numpy(), rows["c"].to_numpy(), take_t, take_c)
+        return pd.DataFrame({key: [name] * iterations, "replicate": np.arange(iterations), "n_t": take_t, "s_t": s_t, "n_c": take_c, "s_c": s_c})
+
+    plan = totals.groupBy(key).applyInPandas(deal, f"{key} {kind}, block long, take_t array<long>, take_c array<long>")
+    drawn = cells.groupBy(key, "block").cogroup(plan.groupBy(key, "block")).applyInPandas(block, f"{key} {kind}, replicate long, n_t long, s_t double, n_c long, s_c double")
+    return drawn.groupBy(key, "replicate").agg(*[F.sum(x).alias(x) for x in ("n_t", "s_t", "n_c", "s_c")])
+
+
+def _delta():
+    return F.col("s_t") / F.col("n_t") - F.col("s_c") / F.col("n_c")
+
+
+def bootstrap_delta(df: DataFrame, key: str, arm: str, value: str, iterations: int = 500, seed: int = 7, confidence: float = 0.95, block_values: int = 5000) -> DataFrame:
+    """Mean difference of the two arms (True minus False) with a seeded percentile interval.
+
+    Each replicate draws as many rows an arm as there are: multinomial counts a block first, then a value within it.
+    """
+
+    def allocate(rng, t, c):
+        rng = _rng(seed, int(rng.integers(1 << 62)))
+        return rng.multinomial(t.sum(), t / t.sum(), iterations), rng.multinomial(c.sum(), c / c.sum(), iterations)
+
+    def draw(rng, x, t, c, take_t, take_c):
+        rng = _rng(seed, int(rng.integers(1 << 62)))
+        sums = lambda n, take: rng.multinomial(take, n / n.sum()) @ x if n.sum() else np.zeros(iterations)
+        return sums(t, take_t), sums(c, take_c)
+
+    cells = value_blocks(df, key, arm, value, block_values)
+    means = _replicates(cells, key, iterations, allocate, draw)
+    tail = (1 - confidence) / 2
+    q = means.groupBy(F.col(key).alias("_key")).agg(F.percentile(_delta(), F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
+    return _seen(cells, key).join(q, F.col(key).eqNullSafe(F.col("_key"))).select(key, "delta", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+
+
+def _seen(cells: DataFrame, key: str) -> DataFrame:
+    mean = lambda n: F.sum(F.col("value") * F.col(n)) / F.sum(n)
+    return cells.groupBy(key).agg((mean("t") - mean("c")).alias("delta"))
+
+
+def permutation_p(df: DataFrame, key: str, arm: str, value: str, iterations: int = 1000, seed: int = 7, block_values: int = 5000) -> DataFrame:
+    """Share of seeded relabellings with a mean difference at least as large.
+
+    A relabelling keeps the size of both arms: hypergeometric counts a block first, then a value within it. A key with
+    1e9 rows or more is refused by numpy, not cut.
+    """
+
+    def chosen(rng, colours, n):
+        return rng.multivariate_hypergeometric(colours, n, method="marginals")
+
+    def allocate(rng, t, c):
+        rng = _rng(seed, int(rng.integers(1 << 62)))
+        take = np.array([chosen(rng, t + c, t.sum()) for _ in range(iterations)])
+        return take, (t + c) - take
+
+    def draw(rng, x, t, c, take_t, take_c):
+        rng = _rng(seed, int(rng.integers(1 << 62)))
+        s_t = np.array([chosen(rng, t + c, n) @ x for n in take_t])
+        return s_t, (t + c) @ x - s_t
+
+    cells = value_blocks(df, key, arm, value, block_values)
+    means = _replicates(cells, key, iterations, allocate, draw).join(_seen(cells, key).withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
+    hit = F.abs(_delta()) >= F.abs("delta") - 1e-9 * F.greatest(F.lit(1.0), F.abs("delta"))  # sums in another order differ in the last digits
+    return means.groupBy(key).agg(((F.count_if(hit) + 1) / (iterations + 1)).alias("p"))

@@ -104,14 +104,14 @@ def growth_slopes(spark, sf_dir):
 
 @query()
 def bootstrap_deltas(spark, sf_dir):
-    """Seeded bootstrap interval of a mean difference; random draws, no SQL."""
+    """Seeded bootstrap interval of a mean difference; random draws, no SQL."""
     e = events(spark, sf_dir).withColumn("arm", F.col("user_id") % 2 == 0)
     return bootstrap_delta(e, "event_type", "arm", "value", iterations=200)
 
 
 @query()
 def permutation_tests(spark, sf_dir):
-    """Seeded permutation p-values; random draws, no SQL."""
+    """Seeded permutation p-values; random draws, no SQL."""
     e = events(spark, sf_dir).withColumn("arm", F.col("user_id") % 2 == 0)
     return permutation_p(e, "event_type", "arm", "value", iterations=200)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from daybook.operators import graph
+from daybook.operators import graph, series
 from daybook.plans import coverage, graphs, intervals, stats
 
 
@@ -67,3 +67,22 @@ def test_windows_follow_the_events(spark, tmp_path):
     assert {str(r["day"]) for r in stats.active_levels(spark, d).collect()} == {"2025-04-10", "2025-04-11", "2025-04-12", "2025-04-13"}
     days = coverage.covered_days(spark, d).collect()
     assert len(days) == 7 + 61 + 5 and sum(r["n"] or 0 for r in days) == 3
+
+
+def test_resampling_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 2, 900)
+    rows = [("a", bool(i % 3 == 0), float(v + (i % 3 == 0))) for i, v in enumerate(x)] + [("b", bool(i % 2), float(i % 4 // 2)) for i in range(400)] + [("one", True, 1.0)]
+    df = spark.createDataFrame(rows, "k string, arm boolean, v double")
+    sizes = series.value_blocks(df, "k", "arm", "v", 50).groupBy("k", "block").count().collect()
+    assert max(r["count"] for r in sizes) < 100 and {r["k"] for r in sizes} == {"a", "b"}
+    t, c = (np.array([v for k, arm, v in rows if k == "a" and arm == which]) for which in (True, False))
+    error = 1.96 * np.sqrt(t.var() / len(t) + c.var() / len(c))
+    for size in (50, 5000):
+        got = {r["k"]: r for r in series.bootstrap_delta(df, "k", "arm", "v", block_values=size).collect()}
+        assert set(got) == {"a", "b"} and abs(got["a"]["delta"] - (t.mean() - c.mean())) < 1e-9
+        assert abs(got["a"]["delta"] - got["a"]["low"] - error) < 0.15 * error and abs(got["a"]["high"] - got["a"]["delta"] - error) < 0.15 * error
+        p = {r["k"]: r["p"] for r in series.permutation_p(df, "k", "arm", "v", iterations=300, block_values=size).collect()}
+        assert p["a"] == 1 / 301 and p["b"] == 1.0
+    four = spark.createDataFrame([(1, i < 3, float(i)) for i in range(6)], "k long, arm boolean, v double")
+    assert abs(series.permutation_p(four, "k", "arm", "v", iterations=2000, block_values=2).first()["p"] - 0.1) < 0.03
