@@ -72,7 +72,7 @@ def degrees(spark, sf_dir):
 
 @query("WITH " + WHOLE + """SELECT s_suppkey AS id, (SELECT count(*) FROM e WHERE source = s_suppkey) AS out_degree, (SELECT count(*) FROM e WHERE target = s_suppkey) AS in_degree FROM supplier""")
 def whole_degrees(spark, sf_dir):
-    """In- and out-degrees over all lines."""
+    """The degrees of G13, over all lines."""
     return both_degrees(edges(spark, sf_dir), nodes(spark, sf_dir))
 
 
@@ -96,7 +96,7 @@ def dataset_correlations(spark, sf_dir):
 @query(sql("""WITH v AS (SELECT event_id, user_id, "at" FROM ev WHERE event_type = 'view'), c AS (SELECT v.event_id AS view_id, v.user_id, min(e."at") AS click_at FROM v JOIN ev e ON e.user_id = v.user_id AND e.event_type = 'click' AND e."at" > v."at" AND e."at" - v."at" <= 86400000000 GROUP BY ALL)
 SELECT view_id, min(p."at") - min(click_at) AS to_purchase FROM c JOIN ev p ON p.user_id = c.user_id AND p.event_type = 'purchase' AND p."at" > click_at AND p."at" - click_at <= 86400000000 GROUP BY view_id""", "ev"))
 def causal_chains(spark, sf_dir):
-    """View, then the next click, then the next purchase, each within a day: one sort a key, no pair join."""
+    """One of the eight templates of G07: view, then the next click, then the next purchase, each within a day: one sort a key, no pair join."""
     back = Window.partitionBy("user_id").orderBy(-F.col("at")).rangeBetween(-86_400_000_000, -1)
     e = events(spark, sf_dir).select("event_id", "user_id", "event_type", "at")
     nearest = lambda kind, value: F.min(F.when(F.col("event_type") == kind, value)).over(back)
@@ -118,7 +118,7 @@ def period_synthesis(spark, sf_dir):
 @query(sql("""WITH p AS (SELECT project, count(*) AS n, count(DISTINCT kind) AS kinds, count(DISTINCT thread) AS threads FROM commits GROUP BY project)
 SELECT project, round(kinds + 0.35e0 * least(threads, 6) + 0.12e0 * least(n, 5), 4) AS score, CASE WHEN kinds >= 4 THEN 'strong' WHEN kinds >= 2 THEN 'moderate' ELSE 'weak' END AS level FROM p""", "commits"))
 def supported_claims(spark, sf_dir):
-    """Claim scores from capped counts."""
+    """Part of A05: claim scores from three of its six capped counts."""
     p = commits(spark, sf_dir).groupBy("project").agg(F.count("*").alias("n"), F.countDistinct("kind").alias("kinds"), F.countDistinct("thread").alias("threads"))
     score = F.col("kinds") + 0.35 * F.least("threads", F.lit(6)) + 0.12 * F.least("n", F.lit(5))
     return p.select("project", F.round(score, 4).alias("score"), F.when(F.col("kinds") >= 4, "strong").when(F.col("kinds") >= 2, "moderate").otherwise("weak").alias("level"))

@@ -39,7 +39,7 @@ def periods_by_type(spark, sf_dir):
 @query(sql(DAILY + """, a AS (SELECT day, v AS x FROM d WHERE event_type = 'click'), b AS (SELECT day, v AS y FROM d WHERE event_type = 'view'), l AS (SELECT unnest(range(-7, 8)) AS lag)
 SELECT CAST(lag AS INTEGER) AS lag, round(corr(x, y), 5) AS r, count(*) AS n FROM a, l JOIN b ON b.day = a.day + CAST(l.lag AS INTEGER) GROUP BY lag""", "ev"))
 def cross_correlation(spark, sf_dir):
-    """Correlation at each lag."""
+    """T13, J13, the correlations of T04 without p and q: click and view at each lag."""
     d = daily(spark, sf_dir)
     a, b = d.where("event_type = 'click'"), d.where("event_type = 'view'")
     return lagged_correlation(a.select("day", F.col("v").alias("x")), b.select("day", F.col("v").alias("y")), "day", "x", "y", 7).withColumn("r", F.round("r", 5))
@@ -47,7 +47,7 @@ def cross_correlation(spark, sf_dir):
 
 @query(sql(DAILY + """, l AS (SELECT event_type, v, lag(v) OVER (PARTITION BY event_type ORDER BY day) AS p FROM d) SELECT event_type, round(corr(v, p), 5) AS r1, count(p) AS n FROM l GROUP BY event_type HAVING count(p) >= 10""", "ev"))
 def lag1_autocorrelation(spark, sf_dir):
-    """A series with itself a step later."""
+    """A series with itself a step later."""
     l = daily(spark, sf_dir).withColumn("p", F.lag("v").over(Window.partitionBy("event_type").orderBy("day")))
     return l.groupBy("event_type").agg(F.round(F.corr("v", "p"), 5).alias("r1"), F.count("p").alias("n")).where("n >= 10")
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from daybook.operators import graph, series
-from daybook.plans import coverage, graphs, intervals, stats
+from daybook.plans import catalog, coverage, graphs, intervals, stats
 
 
 def chain(spark, ids):
@@ -86,3 +86,9 @@ def test_resampling_in_blocks(spark):
         assert p["a"] == 1 / 301 and p["b"] == 1.0
     four = spark.createDataFrame([(1, i < 3, float(i)) for i in range(6)], "k long, arm boolean, v double")
     assert abs(series.permutation_p(four, "k", "arm", "v", iterations=2000, block_values=2).first()["p"] - 0.1) < 0.03
+
+
+def test_docstrings_name_no_open_ids():
+    said = " ".join(f.__doc__ or "" for f in catalog.queries().values())
+    assert not [i for i in ("A60", "W07", "T05", "T08", "T12", "T26", "T34", "M20", "M22") if i in said]
+    assert "T26-T34" not in said and "M18-M20" not in said and "M21-M23" not in said
