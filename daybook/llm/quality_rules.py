@@ -6,8 +6,9 @@ exclamations), navigation (separators between short items, menu words) and boile
 ``max_lost`` of its text, or fails the base measures, is rejected.
 
 There is no shuffle: a document is judged within its row, in time that grows with its
-length times its logarithm. Repeated five-word windows are found by hashing (64 bits,
-within one document) and sorting, only where a hash occurs twice.
+length (its logarithm times that where windows repeat). Repeated five-word windows are
+found by hashing words, then five hashes (64 bits, within one document), and sorting, only
+where a hash occurs twice.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows
 are judged each; an empty table gives no rows; other columns are passed on (the names of
@@ -56,11 +57,15 @@ def _covered(grams: Column) -> Column:
 
 
 def bad_line(line: Column) -> Column:
-    """True where the line fails a rule."""
-    symbols = line.rlike(r"(?:\S*[\p{L}\d.,][#*$%&|<>]{2,}(?:\s|$).*){3}")
-    shout = line.rlike(r"(?:\S+!!(?:\s|$).*){3}")
-    bars = line.rlike(r"(?:\s[|»›·]\s.*){2}") | line.rlike(r"^[^|]{1,80}\s\|\s?$")
-    menu = line.rlike(rf"(?i)^\s*(?:{NAVIGATION})\s*$")
+    """True where the line fails a rule.
+
+    No pattern retries a run of characters from each of its places: they look at two
+    characters and what ends a word, or are held to the line's start.
+    """
+    symbols = F.regexp_count(line, F.lit(r"[\p{L}\d.,][#*$%&|<>]{2,}+(?=\s|$)")) >= 3
+    shout = line.contains("!!") & (F.regexp_count(line, F.lit(r"\S!!(?=\s|$)")) >= 3)
+    bars = (F.regexp_count(line, F.lit(r"\s[|»›·]\s")) >= 2) | line.rlike(r"^[^|]{1,80}\s\|\s?$")
+    menu = line.rlike(rf"(?i)^\s*+(?:{NAVIGATION})\s*+$")
     phrase = line.rlike(rf"(?i)(?:{BOILERPLATE})")
     return symbols | shout | bars | menu | phrase
 
@@ -73,7 +78,7 @@ def judge_documents(docs: DataFrame, text: str = "text", max_lost: float = 0.4,
     rows = rows.select("_row", "_t", words.alias("_w"), F.split("_t", "\n").alias("_lines"))
     w, n = F.col("_w"), F.size("_w")
     grams = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+        let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
     )
     rows = rows.select(
         "_row", "_lines", F.size("_w").cast("long").alias("n_words"),
