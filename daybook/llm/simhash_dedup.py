@@ -190,8 +190,11 @@ def links(fps: DataFrame, group_limit: int = 2048) -> DataFrame:
     return edges.unionByName(linked.select(F.col("fp").alias("a"), "b"))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """v, root: the smallest vertex of each vertex's component (a, b undirected)."""
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """v, root: the smallest vertex of each vertex's component (a, b undirected).
+
+    Rounds go on until the stars repeat; a run that has not settled after ``max_rounds`` raises.
+    """
     edges = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct()
     edges, before = materialise(edges, "stars"), None
     for _ in range(max_rounds):
@@ -205,9 +208,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         edges = materialise(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "stars")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
-            break
+            return edges.select("v", F.col("u").alias("root"))
         before = state
-    return edges.select("v", F.col("u").alias("root"))
+    raise RuntimeError(f"components have not settled after {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", group_limit: int = 2048) -> DataFrame:
