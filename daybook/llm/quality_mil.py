@@ -6,10 +6,12 @@ single punctuation marks, word lengths, repetition of words), encoded by a small
 layer, and weighted by gated attention; the weighted mean of the encodings gives the
 score. Encoder, attention and output are learned together, from document labels alone.
 
-Fitting reads at most ``sample_rows`` labelled documents (as the toxicity operator
-samples); the model is a few thousand numbers. Scoring needs no shuffle and holds a block
+Fitting reads at most ``sample_rows`` labelled documents of ``sample_bytes`` bytes in all
+(as the toxicity operator samples); the model is a few thousand numbers. Scoring needs no shuffle and holds a block
 of passages at a time.
 
+Features of a document don't depend on the documents beside it.
+
 Defined results: a null or empty text is one empty passage; with no labelled rows, or one
 class only, every score is the smoothed share of label 1; null labels are left out;
 repeated rows are scored each; an empty table gives no rows; other columns are passed on.
@@ -30,7 +32,7 @@ from daybook.llm.toxicity import labelled_sample
 PASSAGE = 512
 HIDDEN, GATE = 24, 12
 _MARKS = "!#$%&'()*+,-./:;<=>?@[]_|{}~\""
-_BLOCK = 2_000_000
+_BLOCK = _SPAN = 1_000_000
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -81,26 +83,38 @@ def _describe(joined: bytes, sizes: np.ndarray, counts: np.ndarray, owner: np.nd
     inner = np.arange(n) - np.repeat(first, counts)
     begins = np.repeat(np.cumsum(sizes) - sizes, counts) + inner * PASSAGE
     lengths = np.diff(np.append(begins, len(data)))
-    at = np.repeat(np.arange(n), lengths)
-    fine, coarse = _FINE[data], _COARSE[data]
-    single = np.bincount(at * _N_FINE + fine, minlength=n * _N_FINE).reshape(n, _N_FINE)
-    pair = coarse[:-1].astype(np.int64) * _N_COARSE + coarse[1:]
-    double = np.bincount(at[:-1] * _N_COARSE**2 + pair, minlength=n * _N_COARSE**2).reshape(n, -1) if len(data) else np.zeros((n, _N_COARSE**2))
+    coarse = _COARSE[data]
+    stops = np.cumsum(sizes)
+    closes = np.zeros(len(data), bool)  # the last byte of a document
+    closes[stops[sizes > 0] - 1] = True
+    single, double = np.zeros((n, _N_FINE), np.int64), np.zeros((n, _N_COARSE**2), np.int64)
+    per_span = max(1, _SPAN // PASSAGE)
+    for p in range(0, n, per_span):  # so many passages at a time: what is held a byte is held for these
+        q = min(n, p + per_span)
+        x, y = int(begins[p]), int(begins[q - 1] + lengths[q - 1])
+        at = np.repeat(np.arange(q - p), lengths[p:q])
+        single[p:q] = np.bincount(at * _N_FINE + _FINE[data[x:y]], minlength=(q - p) * _N_FINE).reshape(q - p, _N_FINE)
+        i = np.flatnonzero(~closes[x:y])  # a pair lies within one document
+        pair = coarse[x + i].astype(np.int64) * _N_COARSE + coarse[x + i + 1]
+        double[p:q] = np.bincount(at[i] * _N_COARSE**2 + pair, minlength=(q - p) * _N_COARSE**2).reshape(q - p, -1)
     length = np.maximum(lengths, 1)[:, None]
     blanks = single[:, 3] + single[:, 4] + 1
-    # repetition: equal 8-byte windows at word starts of a document
-    starts = np.flatnonzero((coarse[1:] < 3) & (coarse[:-1] >= 3)) + 1 if len(data) > 8 else np.zeros(0, np.int64)
-    starts = starts[starts <= len(data) - 12]
+    # repetition: equal 12-byte windows at word starts of a document
+    opens = coarse < 3
+    opens[1:] &= (coarse[:-1] >= 3) | closes[:-1]
+    starts = np.flatnonzero(opens)
+    starts = starts[starts + 12 <= stops[np.searchsorted(stops, starts, "right")]] if len(starts) else starts
     repeated, begun = np.zeros(n), np.zeros(n)
     if len(starts):
         h = np.zeros(len(starts), np.uint64)
         for k in range(12):
             h = h * np.uint64(0x100000001B3) + data[starts + k].astype(np.uint64)
-        doc = owner[at[starts]].astype(np.uint64)
-        h ^= doc * np.uint64(0x9E3779B97F4A7C15)
+        within = np.searchsorted(begins, starts, "right") - 1
+        within = np.minimum(within, n - 1)
+        h ^= owner[within].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-        begun = np.bincount(at[starts], minlength=n)
-        repeated = np.bincount(at[starts], weights=(times[back] > 1).astype(float), minlength=n)
+        begun = np.bincount(within, minlength=n)
+        repeated = np.bincount(within, weights=(times[back] > 1).astype(float), minlength=n)
     rest = np.stack([lengths / blanks / 10, np.log1p(lengths) / 6, repeated / np.maximum(begun, 1), np.log1p(np.repeat(sizes, counts)) / 10], 1)
     return np.concatenate([np.sqrt(single / length), np.sqrt(double / length), rest], 1)
 
@@ -133,8 +147,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def gradient(model: Model, x: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the mean log loss of documents in all learned parts, by hand."""
+    q, n = model.parts, len(labels)
+    xs, h, v, u, weight, bag, z = model._forward(x, owner, n)
+    gz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
+    g = {"c": bag.T @ gz, "b": np.array([gz.sum()])}
+    gbag = gz[:, None] * q["c"]
+    along = (gbag[owner] * h).sum(1)  # what more weight on the passage does
+    mean = np.bincount(owner, weights=weight * along, minlength=n)
+    glogit = weight * (along - mean[owner])
+    g["a"] = (v * u).T @ glogit
+    gv, gu = glogit[:, None] * q["a"] * u * (1 - v**2), glogit[:, None] * q["a"] * v * u * (1 - u)
+    g["v"], g["u"] = h.T @ gv, h.T @ gu
+    gh = (weight[:, None] * gbag[owner] + gv @ q["v"].T + gu @ q["u"].T) * (1 - h**2)
+    return g | {"w": xs.T @ gh, "wb": gh.sum(0)}
+
+
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 40, batch: int = 256, penalty: float = 1e-4, seed: int = 11) -> Model:
-    """Minimise the documents' log loss by Adam; gradients by hand."""
+    """Minimise the documents' log loss by Adam."""
     n, positives = len(labels), int(labels.sum())
     if not positives or positives == n:
         return Model({"share": np.array([(positives + 0.5) / (n + 1)])})
@@ -160,18 +191,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 40, batch: int = 256
             rows = np.concatenate([np.arange(begins[d], begins[d + 1]) for d in docs])
             own = np.repeat(np.arange(len(docs)), begins[docs + 1] - begins[docs])
             q = model.parts
-            xs, h, v, u, weight, bag, z = model._forward(x[rows], own, len(docs))
-            gz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[docs]) / len(docs)
-            g = {"c": bag.T @ gz, "b": np.array([gz.sum()])}
-            gbag = gz[:, None] * q["c"]
-            along = (gbag[own] * h).sum(1)  # what more weight on the passage does
-            mean = np.bincount(own, weights=weight * along, minlength=len(docs))
-            glogit = weight * (along - mean[own])
-            g["a"] = (v * u).T @ glogit
-            gv, gu = glogit[:, None] * q["a"] * u * (1 - v**2), glogit[:, None] * q["a"] * v * u * (1 - u)
-            g["v"], g["u"] = h.T @ gv, h.T @ gu
-            gh = (weight[:, None] * gbag[own] + gv @ q["v"].T + gu @ q["u"].T) * (1 - h**2)
-            g["w"], g["wb"] = xs.T @ gh, gh.sum(0)
+            g = gradient(model, x[rows], own, labels[docs])
             rate = 0.01 * (1 - step / (steps + 1))
             for k in names:
                 d = g[k] + (penalty * q[k] if k not in ("b", "wb") else 0)
@@ -181,8 +201,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 40, batch: int = 256
     return model
 
 
-def train_model(docs: DataFrame, labels: DataFrame, train, sample_rows: int = 6000, key: str = "doc_id", text: str = "text") -> Model:
-    return fit(*labelled_sample(docs, labels, "quality", train, sample_rows, key, text))
+def train_model(docs: DataFrame, labels: DataFrame, train, sample_rows: int = 6000, sample_bytes: int = 64_000_000, key: str = "doc_id", text: str = "text") -> Model:
+    return fit(*labelled_sample(docs, labels, "quality", train, sample_rows, sample_bytes, key, text))
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:

@@ -1,14 +1,15 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features: the n-grams of 4, 6 and 8 bytes of the text (A-Z in lower case), hashed into
-2**20 buckets; a bucket's value is log(1 + 40 * count / sqrt(bytes + 200)). From labelled documents the log ratio of smoothed document counts of
-each bucket (toxic against clean) is taken; the buckets with the strongest evidence are
-kept and a logistic regression is fitted over the kept ones, each scaled by its ratio.
+Features: the n-grams of 4, 6 and 8 characters (code points) of the text (A-Z in lower
+case), hashed into 2**20 buckets; a bucket's value is log(1 + 40 * count / sqrt(characters
++ 200)). From labelled documents the log ratio of smoothed document counts of each bucket
+(toxic against clean) is taken; the buckets with the strongest evidence are kept and a
+logistic regression is fitted over the kept ones, each scaled by its ratio.
 
-Fitting reads at most ``sample_rows`` labelled documents (the smallest hashes of their
-ids, so the sample does not depend on order or partitions); that sample and the model, a
-table of a fixed size, are all that the driver holds. Scoring reads whole texts, needs no
-shuffle, and works on blocks of bytes at a time.
+Fitting reads at most ``sample_rows`` labelled documents of ``sample_bytes`` bytes in all
+(the smallest hashes of their ids, so the sample does not depend on order or partitions);
+that sample and the model, a table of a fixed size, are all that the driver holds. Scoring
+reads whole texts, needs no shuffle, and works on blocks of characters at a time.
 
 Defined results: a null or empty text has no features and scores by the intercept; with no
 labelled rows, or only one class, every score is the smoothed share of label 1; null labels
@@ -29,14 +30,12 @@ from pyspark.sql import functions as F
 from daybook.llm.common import text_or_empty
 
 BITS, SIZES = 20, (4, 6, 8)
-_BLOCK = 1_000_000
-_LOWER = np.arange(256, dtype=np.uint32)
-_LOWER[65:91] += 32
+_BLOCK = 500_000
 
 
-def _buckets(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each n-gram size, the bucket of the n-gram that begins at each byte."""
-    values = _LOWER[data]
+def _buckets(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each n-gram size, the bucket of the n-gram that begins at each character."""
+    values = points + np.uint32(32) * ((points >= 65) & (points <= 90)).astype(np.uint32)
     h = np.zeros(len(values), np.uint32)
     for n in range(1, max(SIZES) + 1):
         if n > len(values):
@@ -46,31 +45,53 @@ def _buckets(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield n, (h * np.uint32(0x9E3779B1 + 2 * n)) >> np.uint32(32 - BITS)
 
 
+def _blocks(texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts joined by line feeds, about ``_BLOCK`` characters at a time; longer ones are cut.
+
+    With each: the document of every segment, where it ends, and where its n-grams may
+    begin last; a cut text's segments overlap so that each n-gram begins in one of them.
+    """
+    parts, size = [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, max(len(t), 1), _BLOCK):
+            own = t[a : a + _BLOCK + max(SIZES) - 1]
+            parts.append((i, own, min(_BLOCK, len(own)) if a + _BLOCK < len(t) else len(own)))
+            size += len(own) + 1
+            if size >= _BLOCK:
+                yield _joined(parts)
+                parts, size = [], 0
+    if parts:
+        yield _joined(parts)
+
+
+def _joined(parts: list[tuple[int, str, int]]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.array([len(t) for _, t, _ in parts], np.int64)
+    ends = np.cumsum(lengths + 1) - 1
+    return "\n".join(t for _, t, _ in parts), np.array([i for i, _, _ in parts], np.int64), ends, ends - lengths + np.array([n for _, _, n in parts], np.int64)
+
+
 def features(texts: list[str], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, bucket, value) of chosen buckets; with none chosen, presence by n-gram size."""
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    found, start = [], 0
-    while start < len(raw):
-        # a block of documents; of a very long one, all of it
-        stop, size = start, 0
-        while stop < len(raw) and (stop == start or size + len(raw[stop]) <= _BLOCK):
-            size += len(raw[stop]) + 1
-            stop += 1
-        data = np.frombuffer(b"\n".join(raw[start:stop]), np.uint8)
-        ends = np.cumsum([len(r) + 1 for r in raw[start:stop]]) - 1
-        for n, bucket in _buckets(data):
+    found, times = [], []
+    for joined, docs, ends, last in _blocks(texts):
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        for n, bucket in _buckets(points):
             at = np.arange(len(bucket)) if chosen is None else np.flatnonzero(chosen[bucket])
-            doc = np.searchsorted(ends, at, "right")
-            inside = at + n <= ends[np.minimum(doc, len(ends) - 1)]
-            pairs = (doc[inside].astype(np.int64) + start) << BITS | bucket[at[inside]]
-            found.append(np.unique(pairs) if chosen is None else pairs)
-        start = stop
-    pairs = np.concatenate(found) if found else np.zeros(0, np.int64)
+            part = np.minimum(np.searchsorted(ends, at), len(ends) - 1)
+            inside = (at + n <= ends[part]) & (at < last[part])
+            pairs, counts = np.unique(docs[part[inside]] << BITS | bucket[at[inside]], return_counts=True)
+            found.append(pairs)
+            times.append(counts)
+    pairs, counts = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (found, times))
     if chosen is None:
+        # a text that was cut may name a bucket of one size in several blocks
+        if any(len(t) > _BLOCK for t in texts):
+            pairs = np.unique(pairs)
         return pairs >> BITS, pairs & ((1 << BITS) - 1), np.ones(len(pairs))
-    pairs, counts = np.unique(pairs, return_counts=True)
+    pairs, back = np.unique(pairs, return_inverse=True)
+    counts = np.bincount(back, weights=counts, minlength=len(pairs))
     doc = pairs >> BITS
-    sizes = np.array([len(r) for r in raw], np.float64)
+    sizes = np.array([len(t) for t in texts], np.float64)
     return doc, pairs & ((1 << BITS) - 1), np.log1p(counts * (40 / np.sqrt(sizes + 200))[doc])
 
 
@@ -86,20 +107,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, keep: int = 6000, smooth: float = 0.5, penalty: float = 2e-4, rounds: int = 400) -> Model:
-    """Ratios, feature choice and regression on labelled texts."""
+def log_count_ratios(texts: list[str], labels: np.ndarray, smooth: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """By bucket: log of its smoothed share of toxic documents over that of clean ones, and how many documents of each label hold it."""
+    size, hits = 1 << BITS, np.zeros((2, 1 << BITS), np.int32)
+    positives, n = int(labels.sum()), len(labels)
+    for a in range(0, n, 200):
+        doc, bucket, _ = features(texts[a : a + 200])
+        for y in (0, 1):
+            hits[y] += np.bincount(bucket[labels[a + doc] == y], minlength=size).astype(np.int32)
+    return np.log((hits[1] + smooth) / (positives + 2 * smooth)) - np.log((hits[0] + smooth) / (n - positives + 2 * smooth)), hits
+
+
+def fit(texts: list[str], labels: np.ndarray, keep: int = 6000, smooth: float = 0.5, penalty: float = 2e-4, rounds: int = 400, settled: float = 1e-4) -> Model:
+    """Ratios, feature choice and regression on labelled texts; ends early once the loss of ten rounds falls by less than ``settled`` of itself."""
     n, positives = len(labels), int(labels.sum())
     size = 1 << BITS
     weights, chosen = np.zeros(size, np.float64), np.zeros(size, bool)
     base = np.log((positives + smooth) / (n - positives + smooth))
     if not positives or positives == n:
         return Model(weights, chosen, float(base))
-    hits = np.zeros((2, size), np.int32)
-    for a in range(0, n, 200):
-        doc, bucket, _ = features(texts[a : a + 200])
-        for y in (0, 1):
-            hits[y] += np.bincount(bucket[labels[a + doc] == y], minlength=size).astype(np.int32)
-    ratio = np.log((hits[1] + smooth) / (positives + 2 * smooth)) - np.log((hits[0] + smooth) / (n - positives + 2 * smooth))
+    ratio, hits = log_count_ratios(texts, labels, smooth)
     # evidence: how far the toxic count lies from what the bucket's total leads to expect
     total = hits.sum(0)
     share = positives / n
@@ -120,9 +147,13 @@ def fit(texts: list[str], labels: np.ndarray, keep: int = 6000, smooth: float =
     value = scaled[col] * value
     w, b = np.zeros(width), base
     mean_w, mean_b, sq_w, sq_b = np.zeros(width), 0.0, np.zeros(width), 0.0
+    losses = []
     for t in range(1, rounds + 1):  # Adam on the whole sample
         z = np.bincount(doc, weights=value * w[col], minlength=n) + b
         gap = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
+        losses.append(float(np.logaddexp(0, np.where(labels == 1, -z, z)).mean() + penalty / 2 * (w @ w)))
+        if t > 50 and losses[-11] - losses[-1] < settled * losses[-11]:
+            break
         grad_w = np.bincount(col, weights=value * gap[doc], minlength=width) / n + penalty * w
         grad_b = gap.mean()
         mean_w, mean_b = 0.9 * mean_w + 0.1 * grad_w, 0.9 * mean_b + 0.1 * grad_b
@@ -134,19 +165,29 @@ def fit(texts: list[str], labels: np.ndarray, keep: int = 6000, smooth: float =
     return Model(weights, chosen, float(b))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows: int, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``rows`` labelled documents that ``train`` admits."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows: int, room: int, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most ``rows`` labelled documents, ``room`` bytes in all, that ``train`` admits."""
+    docs = docs.select(F.col(key), text_or_empty(text).alias("_text"))
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).where(train)
     known = known.groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     # ids first: the sort holds small rows, and the join's side has a bound
     picked = known.join(docs.select(key).distinct(), key, "left_semi").orderBy(F.xxhash64(key), key).limit(rows)
-    got = docs.join(F.broadcast(picked), key).select(F.col(key), "_label", text_or_empty(text).alias("_text"))
-    got = got.orderBy(F.xxhash64(key), key, F.xxhash64("_text")).limit(rows).collect()
+    met = docs.join(F.broadcast(picked), key).select(key, "_label", "_text", F.xxhash64("_text").alias("_hash"))
+    sizes = met.select(key, "_hash", F.octet_length("_text").alias("_bytes")).orderBy(F.xxhash64(key), key, "_hash").limit(rows).collect()
+    taken = []
+    for r in sizes:  # in this order; a text for which no room is left is passed over
+        if r["_bytes"] <= room:
+            room -= r["_bytes"]
+            taken.append((r[key], r["_hash"]))
+    if not taken:
+        return [], np.zeros(0, np.int64)
+    chosen = docs.sparkSession.createDataFrame(taken, met.select(key, "_hash").schema).distinct()
+    got = met.join(F.broadcast(chosen), [key, "_hash"]).orderBy(F.xxhash64(key), key, "_hash").limit(len(taken)).collect()
     return [r["_text"] for r in got], np.array([r["_label"] for r in got], np.int64)
 
 
-def train_model(docs: DataFrame, labels: DataFrame, train, sample_rows: int = 8000, key: str = "doc_id", text: str = "text") -> Model:
-    return fit(*labelled_sample(docs, labels, "toxic", train, sample_rows, key, text))
+def train_model(docs: DataFrame, labels: DataFrame, train, sample_rows: int = 8000, sample_bytes: int = 64_000_000, key: str = "doc_id", text: str = "text") -> Model:
+    return fit(*labelled_sample(docs, labels, "toxic", train, sample_rows, sample_bytes, key, text))
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
