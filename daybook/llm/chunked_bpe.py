@@ -6,7 +6,7 @@ content anchor (the smallest hash of a line), which brings copies and near copie
 together; a task encodes each distinct chunk once and reuses its ids for every
 document that holds it. A chunk's ids are exact except near its ends, where the
 cut may have fallen inside a word: each join is encoded again over a window that
-grows until it agrees with both chunks' ids at its edges.
+grows until its margins hold no other join and their ids equal both chunks' ids.
 
 Why not one global chunk table: moving every chunk to its hash and its ids back to
 its documents shuffles about 1.7 times the input, dealing whole documents once 1.0.
@@ -157,7 +157,7 @@ class ChunkEncoder:
 
     @staticmethod
     def _windows(edges: list[int], gaps: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
-        """For each join that isn't at a word gap: (from, a, b, to).
+        """For each join: (from, a, b, to).
 
         [a, b) reaches to the nearest gaps about the join; [from, to) one word further
         on each side, to compare with the chunks. Windows that overlap are one.
@@ -166,9 +166,8 @@ class ChunkEncoder:
         stops = np.concatenate([[0], gaps, [n]])
         for p in edges[1:-1]:
             k = int(np.searchsorted(stops, p))
-            if stops[k] == p:
-                continue
-            w = (int(stops[max(k - 2, 0)]), int(stops[k - 1]), int(stops[k]), int(stops[min(k + 1, len(stops) - 1)]))
+            j = k + int(stops[k] == p)  # a join at a gap takes in a word on either side
+            w = (int(stops[max(k - 2, 0)]), int(stops[k - 1]), int(stops[j]), int(stops[min(j + 1, len(stops) - 1)]))
             if out and w[1] < out[-1][2]:
                 w = (*out.pop()[:2], *w[2:])
             out.append(w)
@@ -199,9 +198,8 @@ class ChunkEncoder:
             i, j = int(np.searchsorted(ends, a)), int(np.searchsorted(ends, b))
             inside = [e for e in edges[1:-1] if lo < e < a or b < e < hi]
             left, right = self._slice(edges, parts, ids_of, lo, a), self._slice(edges, parts, ids_of, b, hi)
-            good = ends[i] == a and ends[j] == b and (
-                bool(inside) or left is not None and right is not None and np.array_equal(left, ids[:i]) and np.array_equal(right, ids[j:])
-            )
+            good = ends[i] == a and ends[j] == b and not inside
+            good = good and left is not None and right is not None and np.array_equal(left, ids[:i]) and np.array_equal(right, ids[j:])
             if good or (a == 0 and b == len(raw)):
                 return a, b, ids[i:j]
             a, b = lo, hi
