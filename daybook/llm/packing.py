@@ -8,6 +8,11 @@ partition has a gap) are then taken apart, their pieces are exchanged into fewer
 partitions and packed again, until the total meets the bound of the whole table or a
 round saves nothing.
 
+A round that saves nothing is tried once more, dealt anew and with more sequences of
+the partitions that miss their bound. How many sequences came out, the bound of
+the whole table and each round's sum of partition bounds are logged and, where the caller
+gives a list, appended to it: what is not certified is thus known.
+
 Only lengths and digests travel: ids stay where they were made. A partition holds at
 most about ``rows_per_partition`` pieces; the driver sees a histogram of at most
 ``capacity`` lengths and a row a partition.
@@ -18,6 +23,7 @@ are packed each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import math
 import zlib
 from collections.abc import Iterator
@@ -116,8 +122,14 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack_round(pieces: DataFrame, capacity: int, partitions: int, number: int, name: str, nearly: float) -> tuple[DataFrame, dict]:
-    """Pack every partition's pieces; mark the bins that the next round takes apart."""
+_LOG = logging.getLogger(__name__)
+
+
+def _pack_round(pieces: DataFrame, capacity: int, partitions: int, number: int, name: str, nearly: float, more: int = 100) -> tuple[DataFrame, dict]:
+    """Pack every partition's pieces; mark the bins that the next round takes apart.
+
+    A partition that misses its bound offers one in ``more`` of its sequences, the loosest.
+    """
     spent = pieces.columns[:5]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,9 +145,9 @@ def _pack_round(pieces: DataFrame, capacity: int, partitions: int, number: int,
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         loose = fill < nearly * capacity
-        if len(fill) > bound:  # not certified: offer the loosest hundredth as well
+        if len(fill) > bound:  # not certified: offer the loosest of them as well
             order = np.argsort(fill, kind="stable")
-            loose[order[: max(16, len(fill) // 100)]] = True
+            loose[order[: max(16, len(fill) // more)]] = True
         loose |= fill == fill.min()
         loose &= fill < capacity
         rows["sequence_id"] = (number << 52) + (part << 26) + bins
@@ -156,8 +168,13 @@ def _pack_round(pieces: DataFrame, capacity: int, partitions: int, number: int,
     return placed, {k: v or 0 for k, v in got.asDict().items()}
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, rows_per_partition: int = 50_000, nearly: float = 0.98, max_rounds: int = 12) -> DataFrame:
-    """Give each piece a sequence_id and an offset; see the module's text for the method."""
+def pack(pieces: DataFrame, capacity: int = 2048, rows_per_partition: int = 50_000, nearly: float = 0.98, max_rounds: int = 12, report: list | None = None) -> DataFrame:
+    """Give each piece a sequence_id and an offset; see the module's text for the method.
+
+    ``report`` takes a dictionary a round: round, sequences (in all, after it), bound (of the
+    table), partition_bounds (the sum of those of the round's partitions), packed (the
+    round's own sequences), certified (sequences equal the bound).
+    """
     sizes = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
     total = sum(r["count"] for r in sizes)
     columns = [*pieces.columns, "sequence_id", "offset"]
@@ -167,18 +184,31 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows_per_partition: int = 50_0
     for r in sizes:
         counts[r["length"]] = r["count"]
     floor = lower_bound(counts, capacity)
+
+    def told(number: int, bins: int, got: dict) -> None:
+        row = {"round": number, "sequences": bins, "bound": floor, "partition_bounds": got["bound"], "packed": got["bins"], "certified": bins == floor}
+        _LOG.info("packing %s", row)
+        if report is not None:
+            report.append(row)
+
     placed, got = _pack_round(pieces, capacity, math.ceil(total / rows_per_partition), 0, "packed-0", nearly)
-    bins, done = got["bins"], []
+    bins, done, tried = got["bins"], [], False
+    told(0, bins, got)
     for number in range(1, max_rounds + 1):
         if bins <= floor or got["loose"] < 2:
             break
         loose = placed.filter("loose")
-        again, new = _pack_round(loose, capacity, math.ceil(got["loose_rows"] / rows_per_partition), number, f"packed-{number}", nearly)
+        again, new = _pack_round(loose, capacity, math.ceil(got["loose_rows"] / rows_per_partition), number, f"packed-{number}", nearly, 20 if tried else 100)
         if new["bins"] >= got["loose"]:  # the exchange saved nothing: keep what was
-            break
+            if tried or new["bins"] > got["loose"]:
+                break
+            tried = True
+        else:
+            tried = False
         done.append(placed.filter("NOT loose").select(*columns))
         bins -= got["loose"] - new["bins"]
         placed, got = again, new
+        told(number, bins, got)
     out = placed.select(*columns)
     for d in done:
         out = out.unionByName(d)
