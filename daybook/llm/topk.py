@@ -1,18 +1,19 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors are quantised to integers. Candidates are dealt into shards of bounded size and
-queries into blocks; a task meets one block and one shard, builds the shard's ball tree
-and visits, for each query, the leaves in descending order of their upper bound
-(query . centre + |query| * radius) until the bound falls below the query's k-th score.
-A first round, each block against one shard, gives every query a k-th score that the
-second round (all other shards) starts from, so that most leaves are cut off at once and
-only rows that may be among the best leave the task.
-
-Scale: each block meets each shard, which the exact question asks for; rows travel once
-per block or shard that they meet and nothing is broadcast. A task holds one shard and one
-block, both of a size given by a parameter. Scores are exact: products are summed in
-double precision only while all sums stay under 2**53, else in Python integers and held to
-the range of a long.
+Vectors are quantised to integers. Candidates are dealt into shards of bounded size; each
+shard's ball tree is built once and stored. Queries are dealt into blocks. A task loads one
+shard's tree and streams one block's queries past it: for each query it visits nodes in
+descending order of their upper bound (query . centre + |query| * radius) until the bound
+falls below the query's k-th score. Work goes in rounds: a block meets one shard, then one
+more, then two, four and so on, and every round starts from the k-th scores of all rounds
+before it, so that most nodes are cut off at once and few rows leave a task.
+
+Scale: each query meets each shard once, which the exact question asks for. Candidates are
+shuffled once, for the trees; trees travel once a block (a block has ``block_rows``
+queries, or less where that gives the tasks work, 64 blocks at most), queries once a
+shard. Nothing is broadcast; a task holds one tree and one Arrow batch of queries.
+Scores are exact: products are summed in double precision only while all sums stay under
+2**53, else in Python integers and held to the range of a long.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part;
 shorter vectors are filled up with zeros; an empty vector scores 0 with all; a null id is
@@ -23,12 +24,14 @@ query with its id; ties go to the smaller id; with no candidates there are no ro
 from __future__ import annotations
 
 import heapq
+import io
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.common import materialise
@@ -74,8 +77,20 @@ class BallTree:
             self.nodes[me] = (a, b, self._grow(a, a + half, leaf), self._grow(a + half, b, leaf))
         return me
 
-    def leaves(self) -> np.ndarray:
-        return np.asarray([i for i, x in enumerate(self.nodes) if x[2] < 0], np.int64)
+    def pack(self, ids: np.ndarray) -> bytes:
+        """The tree and its points' ids, in the tree's order."""
+        out = io.BytesIO()
+        np.savez(out, points=self.points[self.order], ids=ids[self.order], nodes=np.asarray(self.nodes, np.int64), centres=self.centres, radii=self.radii)
+        return out.getvalue()
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> tuple["BallTree", np.ndarray]:
+        tree = cls.__new__(cls)
+        with np.load(io.BytesIO(raw)) as held:
+            tree.points, tree.centres, tree.radii = held["points"], held["centres"], held["radii"]
+            tree.nodes, ids = held["nodes"].tolist(), held["ids"]
+        tree.order = np.arange(len(tree.points))
+        return tree, ids
 
 
 def _products(q: np.ndarray, points: np.ndarray, exact: bool) -> np.ndarray:
@@ -85,13 +100,13 @@ def _products(q: np.ndarray, points: np.ndarray, exact: bool) -> np.ndarray:
     return np.asarray([max(-_LIMIT - 1, min(_LIMIT, s)) for s in sums], np.int64)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per query: its row number, ids and scores of at most k candidates scoring its floor or more."""
-    top = max((np.abs(a).max(initial=0.0) for a in (queries, points)), default=0.0)
-    exact = top * top * max(1, points.shape[1]) < 2**53
-    tree = BallTree(points)
+    points = tree.points
     if not len(points):
         return
+    top = max((np.abs(a).max(initial=0.0) for a in (queries, points)), default=0.0)
+    exact = top * top * max(1, points.shape[1]) < 2**53
     norms = np.sqrt((queries**2).sum(1))
     slack = 1e-9 * (norms[:, None] * np.sqrt((tree.centres**2).sum(1))[None, :] + 1)
     bounds = queries @ tree.centres.T + norms[:, None] * tree.radii[None, :] + slack
@@ -121,33 +136,53 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, point
         yield i, best_i, best_s
 
 
-def _matrix(vectors, width: int) -> np.ndarray:
+def _matrix(vectors: list, width: int) -> np.ndarray:
+    """Rows of ``width`` numbers: shorter vectors are filled up with zeros, longer ones cut."""
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+        out[i, : min(len(v), width)] = v[:width]
     return out
 
 
+def _grow(rows: pd.DataFrame) -> pd.DataFrame:
+    vectors = rows["v"].tolist()
+    tree = BallTree(_matrix(vectors, max(map(len, vectors))))
+    return pd.DataFrame({"shard": rows["shard"].iloc[:1], "tree": [tree.pack(rows["vec_id"].to_numpy())]})
+
+
 def _meet(k: int):
-    def run(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(candidates):
-            return pd.DataFrame({"query_row": [], "vec_id": [], "score": []}).astype("int64")
-        candidates = candidates.rename(columns=lambda c: c.removeprefix("c_"))
-        queries = queries.sort_values("query_row")
-        width = max(max(map(len, queries["v"])), max(map(len, candidates["v"])))
-        q, p = _matrix(queries["v"].tolist(), width), _matrix(candidates["v"].tolist(), width)
-        number, qi = queries["query_row"].to_numpy(), queries["vec_id"].to_numpy()
-        rows, found, scores = [], [], []
-        for i, v, s in search(q, qi, queries["floor"].to_numpy(), p, candidates["vec_id"].to_numpy(), k):
-            rows.append(np.full(len(v), number[i]))
-            found.append(v)
-            scores.append(s)
-        return pd.DataFrame({"query_row": np.concatenate(rows), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by shard and block, each pair's tree before its queries."""
+        tree = ids = pair = None
+        for batch in batches:
+            own = np.asarray(batch.column("shard")).astype(np.int64) << 32 | np.asarray(batch.column("block"))
+            begins = np.asarray(batch.column("tree").is_valid())
+            begins[1:] |= own[1:] != own[:-1]
+            edges = [*np.flatnonzero(begins).tolist(), len(batch)]
+            for a, b in zip([0, *edges] if edges[0] else edges, edges if edges[0] else edges[1:]):
+                if batch.column("tree")[a].is_valid:
+                    tree, ids = BallTree.unpack(batch.column("tree")[a].as_py())
+                    pair, a = own[a], a + 1
+                elif own[a] != pair:
+                    continue  # a shard without candidates
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                number = np.asarray(part.column("query_row"))
+                # what a query has beyond the candidates' width meets zeros
+                q = _matrix([np.asarray(v.values) for v in part.column("v")], tree.points.shape[1])
+                rows, found, scores = [], [], []
+                for i, v, s in search(tree, ids, q, np.asarray(part.column("vec_id")), np.asarray(part.column("floor")), k):
+                    rows.append(np.full(len(v), number[i]))
+                    found.append(v)
+                    scores.append(s)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (rows, found, scores)], ["query_row", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, block_rows: int = 65_536) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of every query (ids divisible by ``every``)."""
     rows = materialise(quantise(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()), "quantised")
     total = rows.count()
@@ -155,29 +190,41 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     n_asked = asked.count()
     if not total or not n_asked:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    shards, blocks = math.ceil(total / shard_rows), math.ceil(n_asked / block_rows)
+    shards = math.ceil(total / shard_rows)
+    blocks = max(math.ceil(n_asked / block_rows), min(shards, math.ceil(n_asked / 128), 64))
     lowest = F.lit(-_LIMIT - 1).cast("long")
     dealt = rows.select("vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
-    asked = asked.select("vec_id", "v", F.col("row").alias("query_row"), F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
-
-    def meet(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-        # both sides stem from one table; renamed, their columns are told apart
-        candidates = candidates.toDF(*[f"c_{c}" for c in candidates.columns])
-        pair = queries.groupBy("block", "shard").cogroup(candidates.groupBy("c_block", "c_shard"))
-        return pair.applyInPandas(_meet(k), "query_row long, vec_id long, score long")
-
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    at_home = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.col("shard") == home)
-    first = materialise(meet(asked.withColumn("shard", home).withColumn("floor", lowest), at_home), "first-round")
-    floors = first.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-    floors = floors.select("query_row", F.when(F.col("n") >= k, F.col("kth")).otherwise(lowest).alias("floor"))
-    known = asked.join(floors, "query_row", "left").withColumn("floor", F.coalesce("floor", lowest))
-    others = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
-    spread = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.col("shard") != home)
-    found = first.unionByName(meet(others, spread)) if shards > 1 else first
-    # at most k rows a query and shard reach the window
-    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    trees = materialise(dealt.groupBy("shard").applyInPandas(_grow, "shard int, tree binary"), "trees")
+    asked = asked.select("row", "vec_id", "v", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
+    asked = materialise(asked.withColumnRenamed("row", "query_row"), "queries")
+
+    def pairs(frame: DataFrame, column: str, values: Column) -> DataFrame:
+        return frame.withColumn(column, F.explode(values))
+
+    best, lo, hi = None, 0, 1
+    while lo < shards:
+        steps = F.sequence(F.lit(lo), F.lit(min(hi, shards) - 1))
+        # block b begins at shard b and goes on from there
+        held = pairs(trees, "step", steps).withColumn("first", F.pmod(F.col("shard") - F.col("step"), F.lit(shards)))
+        held = held.where(F.col("first") < blocks).withColumn("block", F.explode(F.sequence("first", F.lit(blocks - 1), F.lit(shards))))
+        held = held.select("shard", "block", "tree", *[F.lit(None).cast(t).alias(c) for c, t in (("query_row", "long"), ("vec_id", "long"), ("floor", "long"), ("v", "array<double>"))])
+        if best is None:
+            known = asked.withColumn("floor", lowest)
+        else:
+            floors = best.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(lowest).alias("floor"))
+            known = asked.join(floors, "query_row", "left").withColumn("floor", F.coalesce("floor", lowest))
+        known = pairs(known, "shard", F.transform(steps, lambda j: F.pmod(F.col("block") + j, F.lit(shards)).cast("int")))
+        met = held.unionByName(known.withColumn("tree", F.lit(None).cast("binary")).select(held.columns))
+        n_tasks = blocks * (min(hi, shards) - lo)
+        met = met.repartition(n_tasks, "shard", "block").sortWithinPartitions("shard", "block", F.col("tree").isNull())
+        found = met.mapInArrow(_meet(k), "query_row long, vec_id long, score long")
+        # at most k rows a query and shard, and k of the rounds before, reach the window
+        found = found if best is None else found.unionByName(best)
+        order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+        best = materialise(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
+        lo, hi = hi, hi * 2
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order))
     ids = asked.select("query_row", F.col("vec_id").alias("query_id"))
     return ranked.join(ids, "query_row").select("query_id", "rank", "vec_id", "score")
 
