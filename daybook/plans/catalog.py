@@ -7,9 +7,19 @@ from daybook.plans import cohorts, coverage, evidence, graphs, intervals, models
 SECTIONS = (rollups, scalars, intervals, stats, graphs, cohorts, coverage, models, evidence)
 
 
+def _all() -> dict:
+    found: dict = {}
+    for section in SECTIONS:
+        twice = found.keys() & section.REGISTRY.keys()
+        if twice:
+            raise ValueError(f"queries registered twice: {sorted(twice)}")
+        found |= section.REGISTRY
+    return found
+
+
 def queries() -> dict:
-    return {name: f for s in SECTIONS for name, (f, _) in s.REGISTRY.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for s in SECTIONS for name, (_, sql) in s.REGISTRY.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

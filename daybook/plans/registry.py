@@ -10,7 +10,10 @@ def registry() -> tuple[dict, Callable]:
 
     def register(sql: str | None = None, name: str | None = None):
         def put(f):
-            found[name or f.__name__] = (f, sql)
+            own = name or f.__name__
+            if own in found:
+                raise ValueError(f"query {own} is registered twice")
+            found[own] = (f, sql)
             return f
 
         return put

@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder is made and set only where it names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session.
+
+    Only a local master, whose executors are the driver, may leave it unset (tests, a
+    laptop): a folder is then made and set. On a cluster it raises.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="daybook-")
+        master = spark.sparkContext.master
+        if master.partition("[")[0] != "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
+        found = "file://" + tempfile.mkdtemp(prefix="daybook-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
