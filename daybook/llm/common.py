@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, as the session's ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) a local temporary
-    folder is made and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="daybook-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from daybook.sources.shared import shared_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,3 +42,11 @@ def text_or_empty(name: str = "text") -> Column:
 def fold(doc_id: str, modulus: int) -> Column:
     """``crc32(doc_id as text) mod modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one where the columns of ``docs`` have it, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

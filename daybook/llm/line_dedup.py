@@ -4,16 +4,19 @@ Lines are exploded, normalised and hashed to 128 bits; a line found in at least
 ``min_docs`` documents stays only in the smallest document that holds it; what is left
 of each document is put together again by line position. DataFrame operations only.
 
-Scale: what is shuffled for counting is a hash and a key a line, made distinct before
-and after the shuffle, so that a line that every document holds is a row per document
-spread over all tasks and then one partial count a task. The texts move once, to meet
-their dropped positions.
+Scale: each text is split and hashed once, into a table of line hashes in the shared
+folder. Counting shuffles a hash and a key a line, made distinct before and after
+the shuffle, so a line that every document holds is a row per document spread over all
+tasks and then one partial count a task. A line that makes up a thousandth of all shared
+lines or more is hot: there are at most a thousand of those, whatever the size of the
+corpus, so they are broadcast and their rows never meet in one task; the other lines are
+joined by their hash. The texts move once, to meet their dropped positions.
 
 Defined results: a null or empty text is one empty line; blank and short lines (key under
 ``min_chars`` code points) always stay; a null key counts as the smallest document; rows
 that repeat a key are one document for counting, and each row loses its lines all the
-same; an empty table gives no rows; other columns are passed on (``n_lines`` and
-``n_dropped`` replace columns so named).
+same; an empty table gives no rows; other columns are passed on (columns with the names of
+the two counts are replaced).
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import text_or_empty
+from daybook.llm.common import materialise, text_or_empty
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FIRST = -(1 << 63)
+_HOT = 1000  # a line is hot at this part of all lines; so many lines at most can be
 
 
 def line_key(line: Column) -> Column:
@@ -33,8 +37,8 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """Documents with shared lines dropped, and n_lines and n_dropped of each."""
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """Documents with shared lines dropped, and how many lines each had and lost (columns ``counts``)."""
     number = F.coalesce(F.col(key).cast("long"), F.lit(_FIRST))
     body = text_or_empty(text)
     own = [number.alias("_k"), F.xxhash64(body).alias("_t")]  # which row, up to equal rows
@@ -42,19 +46,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     lines = docs.select(*own, F.posexplode(F.split(body, "\n")).alias("_pos", "_line"))
     lines = lines.select("_k", "_t", "_pos", line_key(F.col("_line")).alias("_line")).where(F.char_length("_line") >= min_chars)
     # two seeds of the same hash: 128 bits
-    lines = lines.select("_k", "_t", "_pos", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(1), F.col("_line")).alias("_h2"))
-    shared = (
-        lines.groupBy("_h1", "_h2", "_k").agg(F.lit(1).alias("_one"))
-        .groupBy("_h1", "_h2").agg(F.count("_one").alias("_docs"), F.min("_k").alias("_first"))
-        .where(F.col("_docs") >= min_docs).select("_h1", "_h2", "_first")
+    lines = materialise(lines.select("_k", "_t", "_pos", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(1), F.col("_line")).alias("_h2")), "lines")
+    counted = (
+        lines.groupBy("_h1", "_h2", "_k").agg(F.count("*").alias("_n"))
+        .groupBy("_h1", "_h2").agg(F.count("*").alias("_docs"), F.min("_k").alias("_first"), F.sum("_n").alias("_n"))
+        .where(F.col("_docs") >= min_docs).select("_h1", "_h2", "_first", "_n")
     )
-    gone = (
-        lines.join(shared, ["_h1", "_h2"]).where(F.col("_k") != F.col("_first"))
-        .groupBy("_k", "_t").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
-    )
-
-    whole = docs.select(*own, F.struct("*").alias("_row"), F.split(body, "\n").alias("_lines"))
+    shared = materialise(counted, "shared-lines")
+    total = shared.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(shared.where(F.col("_n") * _HOT >= total).drop("_n"))
+    cold = shared.where(F.col("_n") * _HOT < total).drop("_n")
+    met = lines.join(hot, ["_h1", "_h2"]).unionByName(lines.join(hot, ["_h1", "_h2"], "left_anti").join(cold, ["_h1", "_h2"]))
+    gone = met.where(F.col("_k") != F.col("_first")).groupBy("_k", "_t").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
+
+    whole = docs.select(*own, F.struct("*").alias("_row"))
     met = whole.join(gone, ["_k", "_t"], "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    met = met.withColumn("_lines", F.split(F.coalesce(F.col(f"_row.`{text}`"), F.lit("")), "\n"))
     n_gone = F.size("_gone")
 
     def stretch(j: Column) -> Column:
@@ -64,7 +71,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         return F.slice("_lines", a + 1, b - a)
 
     kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n_gone), stretch)), "\n")
-    added = {text: F.when(n_gone == 0, F.col(f"_row.`{text}`")).otherwise(kept), "n_lines": F.size("_lines").cast("long"), "n_dropped": n_gone.cast("long")}
+    added = {text: F.when(n_gone == 0, F.col(f"_row.`{text}`")).otherwise(kept), counts[0]: F.size("_lines").cast("long"), counts[1]: n_gone.cast("long")}
     names = [*[c for c in docs.columns if c not in added], *added]
     return met.select(*[added[c].alias(c) if c in added else F.col(f"_row.`{c}`").alias(c) for c in names])
 
