@@ -4,8 +4,8 @@ Byte-level and word BPE never merge across the gap between a non-space
 character and a following space or line feed, nor between a letter and a
 following ASCII character that is none. A text can therefore be cut there into
 *units* whose ids do not depend on what surrounds them. Units repeat in a corpus,
-so a task keeps the ids of the units it has met (at most ``memo_entries``) and hands
-only new ones to the library, many at once.
+so a task keeps the ids of the units it has met (at most ``memo_entries`` units and
+``memo_bytes`` bytes of units and ids) and hands only new ones to the library, many at once.
 
 Texts for which the argument does not hold (they contain another kind of white
 space, or the string of an added token) are handed to the library whole.
@@ -16,9 +16,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: White space other than the two characters that end a unit. Python's class is
 #: wider than the library's, which only sends more texts the direct way.
@@ -55,7 +57,7 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Encodes texts to little-endian id bytes exactly as ``Tokenizer.encode`` does."""
 
-    def __init__(self, path: str, memo_entries: int = 400_000):
+    def __init__(self, path: str, memo_entries: int = 400_000, memo_bytes: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
         from tokenizers import Tokenizer
 
@@ -70,7 +72,7 @@ class Encoder:
         self.mode = self._mode(spec)
         self.memo = _Memo()
         self.memo.extra = {}
-        self.memo_entries = memo_entries
+        self.memo_entries, self.memo_bytes, self.memo_held = memo_entries, memo_bytes, 0
         if self.mode == "byte":
             self.sizes = np.zeros(self.vocab_size, np.int64)
             for token, i in spec["model"]["vocab"].items():
@@ -113,8 +115,11 @@ class Encoder:
         fresh = [u for u in set().union(*cut.values()) if u not in memo]
         if fresh:
             coded = self._lowered(fresh) if self.mode == "word" else self._units(fresh)
-            room = max(0, self.memo_entries - len(memo))
+            # what the bounds of the memo still admit; the rest serves this batch alone
+            held = np.cumsum([len(u) + len(c) for u, c in zip(fresh, coded)]) + self.memo_held
+            room = min(max(0, self.memo_entries - len(memo)), int(np.searchsorted(held, self.memo_bytes, "right")))
             memo.update(zip(fresh[:room], coded[:room]))
+            self.memo_held = int(held[room - 1]) if room else self.memo_held
             memo.extra = dict(zip(fresh[room:], coded[room:]))
         get = memo.__getitem__
         for i, units in cut.items():
@@ -173,7 +178,7 @@ def encoder(path: str, memo_entries: int = 400_000) -> Encoder:
     return Encoder(path, memo_entries)
 
 
-def groups_by_bytes(texts: list[str], limit: int = 2_000_000):
+def groups_by_bytes(texts: list[str], limit: int = 300_000):
     """Index ranges of about ``limit`` characters each, so that no step holds more."""
     start = total = 0
     for i, t in enumerate(texts):
@@ -185,8 +190,15 @@ def groups_by_bytes(texts: list[str], limit: int = 2_000_000):
         yield start, len(texts)
 
 
-def encode_all(path: str, texts: list[str]) -> list[bytes]:
-    enc, out = encoder(path), []
-    for a, b in groups_by_bytes(texts):
-        out += enc.encode(texts[a:b])
-    return out
+def slices(column: pa.Array, rows: int = 500) -> Iterator[list[str]]:
+    """The texts of an Arrow column as Python strings, ``rows`` at a time and about ``groups_by_bytes`` characters."""
+    for at in range(0, len(column), rows):
+        texts = column.slice(at, rows).to_pylist()
+        for a, b in groups_by_bytes(texts):
+            yield texts[a:b]
+
+
+def encoded_slices(enc: Encoder, column: pa.Array) -> Iterator[bytes]:
+    """Ids of each text of an Arrow column."""
+    for texts in slices(column):
+        yield from enc.encode(texts)

@@ -15,7 +15,7 @@ TOXIC_AT, QUALITY_AT = 0.5, 0.7
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     manifest = token_output.write_token_shards(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return token_output.digests(token_output.read_token_shards(spark, folder, manifest))
+    return token_output.shard_digests(spark, folder, manifest)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -91,7 +93,9 @@ def test_token_shards(spark, which, request):
     docs = request.getfixturevalue(which)
     folder = scratch_path(spark, "t")
     manifest = token_output.write_token_shards(docs, folder, WORD, 1)
-    got = token_output.digests(token_output.read_token_shards(spark, folder, manifest)).collect()
+    got = token_output.shard_digests(spark, folder, manifest).collect()
+    read = token_output.read_token_shards(spark, folder, manifest, width=5000).collect()
+    assert sorted((str(r["doc_id"]), r["start"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in read) == sorted((str(r[0]), *r[1:]) for r in got)
     rows = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0))
     counts = {}
     for k, t in rows:
@@ -104,10 +108,27 @@ def test_token_shards(spark, which, request):
         at += r["n_tokens"]
     order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert order == [k for k, _ in rows]
-    asked = spark.createDataFrame([(rows[-1][0],), (10**12,), (-5,)], "doc_id long")
+    asked = spark.createDataFrame([(rows[-1][0],), (10**12,), (-5,), (None,)], "doc_id long")
     found = {r["doc_id"]: r["ids"] for r in token_output.lookup_tokens(asked, folder, manifest).collect()}
     assert found[10**12] is None and found[-5] is None
     assert bytes(found[rows[-1][0]]) == u32([*ids_of(WORD, rows[-1][1]), 1])
+    assert (found[None] is None) == (None not in [k for k, _ in rows])
+
+
+def test_token_shards_least_key_and_strangers(spark):
+    """The smallest key is a key like any other; a fingerprint that agrees by chance doesn't make a key present."""
+    least = -(1 << 63)
+    docs = spark.createDataFrame([(least, "a b"), (None, "c"), (None, "d e"), (7, "x"), (7, "y"), (7, "x")], "doc_id long, text string").coalesce(1)
+    folder = scratch_path(spark, "t")
+    manifest = token_output.write_token_shards(docs, folder, WORD, 1)
+    got = token_output.shard_digests(spark, folder, manifest)
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got.collect()) == sorted([(str(least), 3), ("None", 2), ("None", 3), ("7", 2), ("7", 2), ("7", 2)])
+    for r in manifest.collect():
+        shard = token_output.Shard(folder, r["shard"])
+        shard.marks = np.full_like(shard.marks, token_output.fingerprints(np.asarray([12345]))[0])
+        assert shard.find(np.asarray([12345]))[0].tolist() == [-1]
+    found = token_output.lookup_tokens(spark.createDataFrame([(7,), (least,), (None,)], "doc_id long"), folder, manifest)
+    assert {str(r["doc_id"]): r["count"] for r in found.groupBy("doc_id").count().collect()} == {"7": 3, str(least): 1, "None": 2}
 
 
 def test_chat(spark):
@@ -230,6 +251,45 @@ def test_quality_rules(which, request):
     assert quality_rules.judge_documents(docs.where("false")).count() == 0
 
 
+def plain_bad(line):
+    words = [w for w in re.split("[ \\t\\n\\x0b\\f\\r]+", line) if w]
+    if sum(bool(re.search(r"(?:[^\W\d_]|[0-9.,])[#*$%&|<>]{2,}$", w)) for w in words) >= 3 or sum(len(w) > 2 and w.endswith("!!") for w in words) >= 3:
+        return True
+    if len(re.findall(r"[ \t\x0b\f\r][|»›·][ \t\x0b\f\r]", line)) >= 2 or line.count("|") == 1 and re.match(r"^[^|]{1,80}[ \t\x0b\f\r]\|[ \t\x0b\f\r]?$", line):
+        return True
+    low = line.lower()
+    return low.strip(" \t\x0b\f\r") in quality_rules.NAVIGATION.split("|") or any(p in low for p in quality_rules.BOILERPLATE.split("|"))
+
+
+BAD_LINES = ["one$$ two## three%% four", "now!! buy!! more!!", "a | b | c", "Home » News › x", "Title of it |", "  Log In ", "see our Privacy Policy here", "word.## x,** 3<>"]
+FINE_LINES = ["one$$ two## three", "now!! buy!! x", "!! !! !! !!", "a | b", "home again", "a#b##c d##e f##g", "x" * 90 + " |", "###", "naïve rule, plain text.", "a |b| c |"]
+
+
+def test_quality_line_rules(spark):
+    """Each rule on its own, and the share of text lost against a plain version."""
+    lines = spark.createDataFrame([(x,) for x in BAD_LINES + FINE_LINES], "line string")
+    got = {r["line"]: r["bad"] for r in lines.select("line", quality_rules.bad_line(F.col("line")).alias("bad")).collect()}
+    assert {x for x, bad in got.items() if bad} == set(BAD_LINES)
+    assert all(plain_bad(x) == bad for x, bad in got.items())
+    good = "this line of the text has words that no rule minds at all, number "
+    texts = ["\n".join([*(good + "abcdefghij"[i] * (i + 2) for i in range(n)), *BAD_LINES[:k]]) for n in range(6) for k in range(len(BAD_LINES) + 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_rules.judge_documents(docs).collect():
+        kept = [x for x in r["text"].split("\n") if not plain_bad(x)]
+        every, left = (sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", x))) for x in (r["text"], "\n".join(kept)))
+        lost = 1 - left / every if every else 1.0
+        assert r["cleaned"] == "\n".join(kept) and abs(r["lost"] - lost) < 1e-12
+        assert r["kept"] == (not r["base_failed"] and lost <= 0.4)
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "a##" * 333_000, "a## " * 250_000, "!" * 1_000_000, " " * 1_000_000])
+def test_quality_rules_take_linear_time(spark, text):
+    began = time.time()
+    row = quality_rules.verdicts(quality_rules.judge_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert time.time() - began < 10
+    assert row["base_failed"] == (len(text.split()) < 10 or row["n_repeat_words"] > 0.2 * row["n_words"])
+
+
 def test_quality_rules_keep_clean(spark, sf, small):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     judged = quality_rules.judge_documents(small).join(labels, "doc_id").where("not base_failed")
@@ -290,9 +350,14 @@ def test_exchange_reaches_the_bound(spark):
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 700, 3000)
     frame = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
-    got = packing.pack(frame, 2048, rows_per_partition=300)
+    report = []
+    got = packing.pack(frame, 2048, rows_per_partition=300, report=report)
     assert got.count() == 3000
-    assert got.select("sequence_id").distinct().count() <= -(-int(lengths.sum()) // 2048) + 2
+    made = got.select("sequence_id").distinct().count()
+    assert made <= -(-int(lengths.sum()) // 2048) + 2
+    last = report[-1]
+    assert (last["sequences"], last["bound"]) == (made, packing.lower_bound(np.bincount(lengths, minlength=2049), 2048))
+    assert last["certified"] == (made == last["bound"]) and report[0]["sequences"] >= made and all(r["partition_bounds"] <= r["packed"] for r in report)
 
 
 def test_lower_bounds_hold():
@@ -330,11 +395,22 @@ def plain_top(rows, every, k):
 def test_topk(spark, sf):
     frame = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = plain_top([(r["vec_id"], r["embedding"]) for r in frame.collect()], 50, 5)
-    for shard, block in ((8192, 1024), (60, 3)):
+    for shard, block in ((8192, 1024), (20, 3)):
         got = topk.top_k(frame, shard_rows=shard, block_rows=block)
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_topk_meets_only_its_own_tree():
+    """A shard without candidates has no tree; its queries don't meet the tree before."""
+    tree = topk.BallTree(np.array([[1.0], [2.0]])).pack(np.array([10, 11]))
+    rows = [(0, 0, tree, None, None, None, None), (0, 0, None, 1, 5, -1000, [1.0]), (1, 0, None, 2, 6, -1000, [1.0]), (2, 0, tree, None, None, None, None), (2, 0, None, 3, 10, -1000, [3.0])]
+    names = {"shard": pa.int32(), "block": pa.int32(), "tree": pa.binary(), "query_row": pa.int64(), "vec_id": pa.int64(), "floor": pa.int64(), "v": pa.list_(pa.float64())}
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), names.values())], list(names))
+    for cut in ([whole], [whole.slice(i, 1) for i in range(5)], [whole.slice(0, 3), whole.slice(3)]):
+        out = [r for b in topk._meet(5)(iter(cut)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(out) == [(1, 10, 1), (1, 11, 2), (3, 11, 6)]
+
+
 def test_topk_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (50, [-1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (100, [None, 1.0]), (5, [0.0, 0.0]), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [1.0, 2.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -347,6 +423,58 @@ def test_topk_edges(spark):
     assert topk.top_k(frame.where("vec_id = 0")).count() == 0
 
 
+def plain_grams(text, bits=toxicity.BITS):
+    """Counts of hashed n-grams of characters, one at a time."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    out = {}
+    for n in toxicity.SIZES:
+        for i in range(len(low) - n + 1):
+            h = 0
+            for c in low[i : i + n]:
+                h = (h * 0x01000193 + ord(c) + 1) % 2**32
+            bucket = h * (0x9E3779B1 + 2 * n) % 2**32 >> 32 - bits
+            out[bucket] = out.get(bucket, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("block", [500_000, 50, 7])
+def test_toxicity_features_and_ratios(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "_BLOCK", block)
+    texts = ["", "abc", "Привет мир, ABC привет мир" * 3, "hello HELLO hello world" * 9, "é\U0001f600" * 30, "hello world", "x\ny\nzzzzz"]
+    doc, bucket, value = toxicity.features(texts, np.ones(1 << toxicity.BITS, bool))
+    got = {(int(d), int(b)): v for d, b, v in zip(doc, bucket, value)}
+    want = {(i, b): np.log1p(c * 40 / np.sqrt(len(t) + 200)) for i, t in enumerate(texts) for b, c in plain_grams(t).items()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    labels = np.array([0, 1, 0, 1, 0, 1, 0])
+    ratio, _ = toxicity.log_count_ratios(texts, labels)
+    for b in {b for t in texts for b in plain_grams(t)}:
+        toxic, clean = (sum(b in plain_grams(t) for t, y in zip(texts, labels) if y == own) for own in (1, 0))
+        assert abs(ratio[b] - (np.log((toxic + 0.5) / 4) - np.log((clean + 0.5) / 5))) < 1e-9
+
+
+def test_quality_gradient():
+    """Against finite differences of the loss; and features that don't see the neighbours."""
+    rng = np.random.default_rng(3)
+    texts = ["", "One. Two, three; four!", "word " * 300, "LOUD | bars #" * 90, "é" * 700, "mixed 123\n" * 150]
+    x, owner = quality_mil.passages(texts)
+    assert np.array_equal(x, np.concatenate([quality_mil.passages([t])[0] for t in texts]))
+    shape = {"w": (quality_mil.WIDTH, 5), "wb": (5,), "v": (5, 3), "u": (5, 3), "a": (3,), "c": (5,), "b": (1,)}
+    parts = {k: rng.normal(0, 0.4, s) for k, s in shape.items()}
+    fixed, labels = {"mean": x.mean(0), "spread": x.std(0) + 1e-3}, np.array([0, 1, 1, 0, 1, 0])
+
+    def loss(p):
+        z = quality_mil.Model(p | fixed)._forward(x, owner, len(texts))[-1]
+        return np.logaddexp(0, np.where(labels == 1, -z, z)).mean()
+
+    got = quality_mil.gradient(quality_mil.Model(parts | fixed), x, owner, labels)
+    for name, value in parts.items():
+        for at in list(np.ndindex(value.shape))[:: max(1, value.size // 6)]:
+            up, down = ({k: v.copy() for k, v in parts.items()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - got[name][at]) < 1e-6
+
+
 @pytest.mark.parametrize("name,label,at,least", [("op4_toxicity", "toxic", 0.5, 0.93), ("op6_quality_mil", "quality", 0.7, 0.95)])
 def test_classifiers_on_held_out(spark, name, label, at, least):
     sf = "/root/testdata/sf0.1"

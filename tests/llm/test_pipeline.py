@@ -2,6 +2,7 @@
 
 import corpus_pipeline as cp
 import pytest
+from pyspark.sql import functions as F
 
 from daybook.llm.common import materialise
 
@@ -44,3 +45,17 @@ def test_null_texts_pass(spark, sf):
     for name, stage in cp.STAGES:
         assert stage(spark, docs, sf).count() <= 3, name
         assert stage(spark, docs.where("false"), sf).count() == 0, name
+
+
+def test_columns_with_clashing_names_pass_untouched(spark, sf):
+    names = ["_label", "_score", "_score_", "n_lines", "n_dropped", "_n_lines", "_text", "_hash", "_first", "fp", "score"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.concat(F.lit(f"{i}-"), F.col("doc_id")))
+    docs = materialise(docs, "clash")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{i}-{r['doc_id']}" for r in rows for i, n in enumerate(names)), name
+    assert cp.STAGES[-1][1](spark, docs, sf).count() >= 60
