@@ -14,28 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm import line_dedup, packing, quality_mil, simhash_dedup, toxicity
-from daybook.llm.common import documents, fold, labels, materialise
+from daybook.llm.common import documents, fold, labels, materialise, unused
 from daybook.llm.queries import QUALITY_AT, TOXIC_AT
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_mil.train_model(docs, labels(spark, sf_dir), fold("doc_id", 4) != 2)
-    return quality_mil.score_documents(docs, model, score="_score").where(F.col("_score") >= QUALITY_AT).select(*docs.columns)
+    score = unused(docs, "_score")
+    return quality_mil.score_documents(docs, model, score=score).where(F.col(score) >= QUALITY_AT).drop(score)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
     model = toxicity.train_model(docs, labels(spark, sf_dir), fold("doc_id", 5) != 0)
-    return toxicity.score_documents(docs, model, score="_score").where(F.col("_score") < TOXIC_AT).select(*docs.columns)
+    score = unused(docs, "_score")
+    return toxicity.score_documents(docs, model, score=score).where(F.col(score) < TOXIC_AT).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a smaller document holds too; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
+    counts = unused(docs, "_n_lines"), unused(docs, "_n_dropped")
+    kept = line_dedup.dedup_lines(docs, counts=counts)
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+        kept = kept.withColumn("n_chars", F.when(F.col(counts[1]) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
