@@ -191,7 +191,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     if not total or not n_asked:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     shards = math.ceil(total / shard_rows)
-    blocks = max(math.ceil(n_asked / block_rows), min(shards, math.ceil(n_asked / 128), 64))
+    blocks = max(math.ceil(n_asked / block_rows), min(shards, math.ceil(n_asked / 512), 64))
     lowest = F.lit(-_LIMIT - 1).cast("long")
     dealt = rows.select("vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
     trees = materialise(dealt.groupBy("shard").applyInPandas(_grow, "shard int, tree binary"), "trees")
