@@ -10,9 +10,13 @@ TRACKING = r"^(utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|igshid|ref|ref_src)="
 
 
 def normalize_url(url: Column) -> Column:
-    """https, lower-case host without www., no trailing slash, no tracking parameters; other schemes stay."""
+    """https, lower-case host without www., no trailing slash but a root page's, no tracking parameters; other schemes stay.
+
+    Rules of single hosts (parameters that one keeps, short video links) are not built.
+    """
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^https?://([^/?#]*)", 1)), r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1), r"/$", "")
+    path = F.when(path == "", "/").otherwise(path)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
     clean = F.concat(F.lit("https://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))

@@ -36,7 +36,8 @@ def changepoints(df: DataFrame, key: str, order: str, value: str, least: int = 5
         def cost(a, b):
             return s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (b - a)
 
-        penalty, segments, cuts = math.log(max(len(x), 2)) * x.var(), [(0, len(x))], []
+        spread = x.var(ddof=1) if len(x) > 1 else 1.0
+        penalty, segments, cuts = math.log(max(len(x), 2)) * spread if spread > 0 else 1.0, [(0, len(x))], []
         while segments and len(cuts) < most:
             best = None
             for a, b in segments:
@@ -60,9 +61,9 @@ def periods(df: DataFrame, key: str, order: str, value: str, top: int = 5) -> Da
     def spectrum(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(order)[value].to_numpy(float)
         n, out = len(x), []
-        if n >= 4:
+        if n >= 8:
             power = np.abs(np.fft.rfft(x - x.mean())) ** 2 / n
-            ks = [k for k in range(1, n // 2 + 1) if 2 <= n / k <= n / 2]
+            ks = [k for k in range(1, n // 2) if 2 <= n / k <= n / 2]
             if ks and power[ks].max() > 1e-12:
                 floor = max(2 * np.median(power[ks]), 0.1 * power[ks].max())
                 strong = sorted((k for k in ks if power[k] >= floor), key=lambda k: -power[k])[:top]

@@ -86,7 +86,7 @@ def promotion_freshness(spark, sf_dir):
 @query("""SELECT source, count(*) AS n, round(count(*) FILTER (WHERE l.doc_id IS NULL) * 1.0 / count(*), 4) AS unlabelled, CASE WHEN count(*) FILTER (WHERE l.doc_id IS NULL) * 1.0 / count(*) > 0.7 THEN 'low' WHEN count(*) < 30 THEN 'medium' ELSE 'high' END AS tier
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source""")
 def evidence_confidence(spark, sf_dir):
-    """Tiers from size and missing share."""
+    """Q13: tiers from size and missing share (Q16, Q17, A19, G17 and M49 have more than these tiers)."""
     j = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l")), "doc_id", "left")
     g = j.groupBy("source").agg(F.count("*").alias("n"), (F.count_if(F.col("l").isNull()) / F.count("*")).alias("u"))
     return g.select("source", "n", F.round("u", 4).alias("unlabelled"), F.when(F.col("u") > 0.7, "low").when(F.col("n") < 30, "medium").otherwise("high").alias("tier"))

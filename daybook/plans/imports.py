@@ -51,7 +51,7 @@ def nested_bins(spark, sf_dir):
     day = events(spark, sf_dir).where(F.col("event_type").isin(*BINNED)).groupBy(F.col("event_type").alias("kind"), "user_id", "day").agg(bins)
     path = export_path(spark, "bins")
     day.write.partitionBy("kind").options(header=True, quote='"', escape='"').csv(path)
-    rows, _ = read_csv(spark, path, "user_id long, day date, binning string, kind string")
+    rows = read_csv(spark, path, "user_id long, day date, binning string, kind string")
     bin_ = F.explode(F.from_json("binning", "array<struct<start_time:long,score:double>>")).alias("b")
     return rows.select("kind", "user_id", "day", bin_).groupBy("kind", "user_id", "day").agg(F.count("*").alias("n_bins"), F.round(F.min("b.score"), 4).alias("low"), F.round(F.max("b.score"), 4).alias("high"))
 
@@ -97,7 +97,7 @@ def history_visits(spark, sf_dir):
     second = spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<page_id:long,url:string,visit_s:long>>")).alias("v")).select("v.*")
     path = export_path(spark, "store")
     part(2).select("page_id", F.col("url").alias("link"), (F.col("page_id") * 1_000_000).alias("visit_us")).write.options(header=True, quote='"', escape='"').csv(path)
-    third, _ = read_csv(spark, path, "page_id long, link string, visit_us long")
+    third = read_csv(spark, path, "page_id long, link string, visit_us long")
     shapes = [(first, "takeout"), (second, "extension"), (third, "store")]
     union = None
     for rows, name in shapes:
@@ -136,7 +136,7 @@ def comment_rows(spark, sf_dir):
     """Comments from CSV with a header, quoted texts over several lines, within bounds."""
     path = export_path(spark, "comments")
     table(spark, sf_dir, "conversations").where("text IS NOT NULL AND text <> ''").select("conv_id", "role", F.base64(F.encode("text", "UTF-8")).alias("raw"), F.regexp_replace("text", "[\\r\\n]+", "\n").alias("body")).write.options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
-    rows, _ = read_csv(spark, path, "conv_id long, role string, raw string, body string")
+    rows = read_csv(spark, path, "conv_id long, role string, raw string, body string")
     return rows.where("conv_id BETWEEN 10 AND 200").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.char_length(F.decode(F.unbase64("raw"), "UTF-8"))).alias("chars"), F.min("conv_id").alias("first_conv"))
 
 
@@ -146,7 +146,7 @@ def bookmark_rows(spark, sf_dir):
     path = export_path(spark, "bookmarks")
     p = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 5 == 4, F.concat(F.lit("no."), F.col("page_id").cast("string"))).otherwise(F.col("page_id").cast("string")).alias("id"), "url", (F.col("page_id") % 5).alias("folder"))
     p.write.options(header=True, quote='"', escape='"').csv(path)
-    rows, _ = read_csv(spark, path, "id long, url string, folder int")
+    rows = read_csv(spark, path, "id long, url string, folder int")
     return rows.where("id >= 20").select(F.col("id").alias("page_id"), "url", "folder")
 
 

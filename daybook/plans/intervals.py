@@ -299,7 +299,7 @@ def hourly_presence(spark, sf_dir):
 @query(sql("""WITH g AS (SELECT user_id, ("at" - lag("at") OVER (PARTITION BY user_id ORDER BY "at", event_id)) / 1e6 AS gap FROM ev)
 SELECT user_id, count(*) AS n, round(quantile_cont(gap, 0.1), 3) AS p10, round(quantile_cont(gap, 0.5), 3) AS p50, round(quantile_cont(gap, 0.9), 3) AS p90 FROM g WHERE gap <= 86400 GROUP BY user_id HAVING count(*) >= 10""", "ev"))
 def interval_dynamics(spark, sf_dir):
-    """Deciles of the time between events inside bursts."""
+    """S34, the deciles of S35: time between events inside bursts."""
     w = Window.partitionBy("user_id").orderBy("at", "event_id")
     g = events(spark, sf_dir).withColumn("gap", (F.col("at") - F.lag("at").over(w)) / 1e6).where("gap <= 86400")
     q = F.percentile("gap", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))

@@ -111,7 +111,7 @@ def symbol_survival(spark, sf_dir):
 @query("""SELECT o_orderpriority AS kind, round(quantile_cont(d, 0.5), 4) AS p50, round(quantile_cont(d, 0.75), 4) AS p75, round(quantile_cont(d, 0.95), 4) AS p95, round(avg(d), 4) AS mean_days, count(*) AS n
 FROM (SELECT o_orderpriority, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY o_orderpriority""")
 def frontier_slo(spark, sf_dir):
-    """Exact quantiles of the days to merge."""
+    """Exact quantiles of the days to merge (what A25, A57, A58, M32 and M41 report besides is not here)."""
     d = changes(spark, sf_dir).join(commits(spark, sf_dir).select("sha", "kind", F.col("day").alias("opened")), "sha").select("kind", F.datediff("day", "opened").alias("d"))
     q = F.percentile("d", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.95)))
     return d.groupBy("kind").agg(q.alias("q"), F.avg("d").alias("m"), F.count("*").alias("n")).select(
@@ -154,7 +154,7 @@ def domain_breakdown(spark, sf_dir):
 @query("""SELECT url, count(*) AS mentions, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM (
 SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+[.][a-z]+')) AS url FROM documents) GROUP BY url""")
 def url_mentions(spark, sf_dir):
-    """Addresses in texts with mention and document counts."""
+    """Mail addresses in texts with mention and document counts; extracted_urls has the links of pages."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9.]+@[A-Za-z0-9.]+[.][a-z]+"), F.lit(0))).alias("url"))
     return d.groupBy("url").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
 

@@ -60,7 +60,7 @@ def month_quarter_keys(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') AS host,
-regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/$', '') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
+coalesce(nullif(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/$', ''), ''), '/') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
 k AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|igshid|ref|ref_src)=')), '&') AS kept FROM p)
 SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN 'https://' || host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END ELSE url END AS url FROM k""")
 def normalized_urls(spark, sf_dir):
@@ -90,7 +90,7 @@ def degraded_confidence(spark, sf_dir):
 @query("""WITH l AS (SELECT doc_id, lower(trim(unnest(string_split(text, chr(10))))) AS line FROM documents), c AS (SELECT doc_id, line, count(*) AS n FROM l WHERE length(line) >= 3 GROUP BY ALL)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_unique, round(1 - count(*) * 1.0 / sum(n), 4) AS duplicate_share FROM c GROUP BY doc_id""")
 def repetition_metrics(spark, sf_dir):
-    """Repeated normalised lines of a text."""
+    """F32, the shares of F33: repeated normalised lines of a text."""
     l = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.lower(F.trim("line")).alias("line")).where(F.char_length("line") >= 3)
     c = l.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
     return c.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_unique"), F.round(1 - F.count("*") / F.sum("n"), 4).alias("duplicate_share"))
@@ -99,7 +99,7 @@ def repetition_metrics(spark, sf_dir):
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CASE WHEN event_type IN ('click', 'view') THEN 'browse' WHEN event_type = 'error' AND value > 50 THEN 'incident'
 WHEN event_type = 'error' THEN 'noise' ELSE 'commerce' END AS mode FROM events""")
 def rule_cascade(spark, sf_dir):
-    """ordered rules, first match wins; a tolerant JSON number."""
+    """ordered rules, first match wins; a tolerant JSON number."""
     t = F.col("event_type")
     rules = [(t.isin("click", "view"), "browse"), ((t == "error") & (F.col("value") > 50), "incident"), (t == "error", "noise")]
     mode = reduce(lambda rest, rule: F.when(rule[0], F.lit(rule[1])).otherwise(rest), reversed(rules), F.lit("commerce"))

@@ -20,7 +20,7 @@ def daily(spark, sf_dir):
 @query(sql(DAILY + """, p AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i, v FROM d)
 SELECT a.event_type, CAST(sum(sign(b.v - a.v)) AS BIGINT) AS s, round(quantile_cont((b.v - a.v) / (b.i - a.i), 0.5), 5) AS slope, max(b.i) AS n FROM p a JOIN p b ON a.event_type = b.event_type AND a.i < b.i GROUP BY a.event_type""", "ev"))
 def trend_by_type(spark, sf_dir):
-    """Mann-Kendall S and Sen slope."""
+    """S and slope of T01, of daily means; trend_tests has the p and the verdict."""
     return trend(daily(spark, sf_dir), "event_type", "day", "v").withColumn("slope", F.round("slope", 5))
 
 
@@ -104,14 +104,14 @@ def growth_slopes(spark, sf_dir):
 
 @query()
 def bootstrap_deltas(spark, sf_dir):
-    """Seeded bootstrap interval of a mean difference; random draws, no SQL."""
+    """Seeded bootstrap interval of a mean difference; random draws, no SQL."""
     e = events(spark, sf_dir).withColumn("arm", F.col("user_id") % 2 == 0)
     return bootstrap_delta(e, "event_type", "arm", "value", iterations=200)
 
 
 @query()
 def permutation_tests(spark, sf_dir):
-    """Seeded permutation p-values; random draws, no SQL."""
+    """The Monte Carlo form of M21: seeded permutation p-values; random draws, no SQL."""
     e = events(spark, sf_dir).withColumn("arm", F.col("user_id") % 2 == 0)
     return permutation_p(e, "event_type", "arm", "value", iterations=200)
 
@@ -122,7 +122,10 @@ SELECT vec_id, round(c, 5) AS cosine FROM s ORDER BY c DESC, vec_id LIMIT 10""")
 def semantic_search(spark, sf_dir):
     """Cosine top-k for one query vector."""
     v = table(spark, sf_dir, "embeddings")
-    q = F.lit([float(x) for x in v.where("vec_id = 0").select("embedding").first()[0]])
+    asked = v.where("vec_id = 0 AND embedding IS NOT NULL").select("embedding").first()
+    if asked is None:
+        return spark.createDataFrame([], "vec_id long, cosine double")
+    q = F.lit([float(x) for x in asked[0]])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     e = F.col("embedding")
     return v.select("vec_id", (dot(e, q) / F.sqrt(dot(e, e) * dot(q, q))).alias("c")).orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id", F.round("c", 5).alias("cosine"))

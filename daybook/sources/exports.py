@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.sources.shared import shared_dir
+from daybook.sources.shared import cut, shared_dir
 
 _BAD = "_malformed"
 
@@ -32,8 +32,16 @@ def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
     return parsed.where(f"_r.{_BAD} IS NULL").select(*kept, "_r.*").drop(_BAD), parsed.where(f"_r.{_BAD} IS NOT NULL").select(*kept, F.col("value").alias("line"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Records of a CSV scan with a header, quoted fields over several lines included, and the records that don't fit."""
+def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    rows = spark.read.options(**options).schema(f"{schema}, {_BAD} string").csv(path)
-    return rows.where(f"{_BAD} IS NULL").drop(_BAD), rows.where(f"{_BAD} IS NOT NULL").select(F.col(_BAD).alias("line"))
+    return spark.read.options(**options).schema(f"{schema}, {_BAD} string").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a CSV scan with a header, quoted fields over several lines included; those that don't fit are left out."""
+    return _csv(spark, path, schema).where(f"{_BAD} IS NULL").drop(_BAD)
+
+
+def malformed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records that ``read_csv`` leaves out (column ``line``), written to the shared folder once."""
+    return cut(_csv(spark, path, schema).where(f"{_BAD} IS NOT NULL")).select(F.col(_BAD).alias("line"))

@@ -10,10 +10,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from daybook.functions.significance import normal_p, student_p, with_q
 from daybook.operators import dedup, graph, joins, series, sessions
 from daybook.plans import catalog, graphs
+from daybook.plans.registry import registry
 from daybook.plans.scalars import query_spec
 from daybook.sources import snapshots
+from daybook.sources.exports import export_path, malformed_csv, read_csv, read_json, write_lines
+from daybook.sources.shared import shared_dir
 from daybook.streaming import jobs
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,8 +48,64 @@ def test_query_matches_sql(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_query_without_sql_runs(spark, sf, name):
-    assert catalog.queries()[name](spark, sf).count() >= 0
+def test_query_without_sql_holds_what_it_must(spark, sf, name):
+    """Rows there are (but for cuts and periods, which a series may lack), keys set, shares and intervals in their bounds."""
+    got = catalog.queries()[name](spark, sf)
+    rows = [r.asDict() for r in got.collect()]
+    assert rows or name in ("changepoints_by_type", "periods_by_type")
+    for r in rows:
+        assert r[got.columns[0]] is not None
+        assert all(0 <= r[c] <= 1 for c in ("p", "p_value", "rank") if r.get(c) is not None)
+        assert all(r[a] <= r[b] for a, b in (("low", "high"), ("start", "end")) if a in r and b in r)
+
+
+def test_names_are_registered_once():
+    found, register = registry()
+    register()(test_names_are_registered_once)
+    with pytest.raises(ValueError):
+        register()(test_names_are_registered_once)
+    assert "month_quarter_keys" in catalog.queries() and "period_keys" in catalog.queries()
+
+
+def test_student_and_normal_p(spark):
+    """Against tables of the t and normal distributions."""
+    known = [(12.706, 1, 0.05), (4.303, 2, 0.05), (2.776, 4, 0.05), (2.571, 5, 0.05), (2.228, 10, 0.05), (2.763, 28, 0.01), (0.0, 7, 1.0), (3.0, 0, 1.0)]
+    for r in spark.createDataFrame(known, "t double, df long, p double").withColumn("got", student_p(F.col("t"), F.col("df"))).collect():
+        assert abs(r["got"] - r["p"]) < 2e-4
+    known = [(1.95996, 0.05), (-2.57583, 0.01), (0.0, 1.0), (3.29053, 0.001), (9.0, 0.0)]
+    for r in spark.createDataFrame(known, "z double, p double").withColumn("got", normal_p(F.col("z"))).collect():
+        assert abs(r["got"] - r["p"]) < 1e-6
+    frame = spark.createDataFrame([(1, 1, 0.01), (1, 2, 0.04), (1, 3, 0.03), (1, 4, 0.5)], "f int, k int, p double")
+    assert [round(r["q"], 6) for r in with_q(frame, ["f"], ["k"]).orderBy("k").collect()] == [0.04, 0.053333, 0.053333, 0.5]
+
+
+def test_malformed_records_come_apart(spark):
+    lines = spark.createDataFrame([('{"a": 1}',), ("  ",), ('{"a": ',), ('{"a": 2, "b": "x"}',)], "value string")
+    rows, bad = read_json(spark, write_lines(lines, "lines"), "a long, b string")
+    assert {r["a"]: r["b"] for r in rows.collect()} == {1: None, 2: "x"}
+    assert [r["line"] for r in bad.collect()] == ['{"a": ']
+    path = export_path(spark, "csv")
+    spark.createDataFrame([("1", 'say "hi",\nthere'), ("no", "x")], "id string, said string").write.options(header=True, quote='"', escape='"').csv(path)
+    rows, bad = (f(spark, path, "id long, said string") for f in (read_csv, malformed_csv))
+    assert [(r["id"], r["said"]) for r in rows.collect()] == [(1, 'say "hi",\nthere')] and bad.count() == 1
+
+
+def test_shared_dir_must_be_set_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
 
 
 def test_merge_and_tolerance(spark):
