@@ -232,7 +232,7 @@ def public_text(spark, sf_dir):
 
 @query(sql("""WITH p AS (SELECT thread, project, max(day) AS landed FROM commits WHERE status = 'F' GROUP BY ALL), o AS (SELECT sha, thread, project, day, status FROM commits WHERE status <> 'F'), l AS (SELECT o.*, CASE WHEN status = 'P' THEN 'in review' WHEN p.landed >= o.day THEN 'superseded' WHEN p.landed IS NULL THEN 'new' ELSE 'open' END AS lifecycle FROM o LEFT JOIN p USING (thread, project))
 SELECT project, lifecycle, count(*) AS n, min(day) AS oldest FROM l GROUP BY ALL""", "commits"))
-def open_frontier(spark, sf_dir):
+def frontier_items(spark, sf_dir):
     """Open items by lifecycle, linked to the landed work of their thread."""
     c = commits(spark, sf_dir)
     p = c.where("status = 'F'").groupBy("thread", "project").agg(F.max("day").alias("landed"))
