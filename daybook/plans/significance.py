@@ -186,3 +186,47 @@ def stratified_bootstraps(spark, sf_dir):
     e = m.groupBy("event_type", "rep", "stratum").agg(F.sum(F.expr("IF(treated, mean, -mean)")).alias("effect"), F.count("*").alias("arms")).where("arms = 2")
     s = e.groupBy("event_type", "rep").agg(F.avg("effect").alias("effect"))
     return s.groupBy("event_type").agg(F.round(F.percentile("effect", 0.025), 2).alias("low"), F.round(F.percentile("effect", 0.975), 2).alias("high"))
+
+
+@query(sql(UNITS + """, m AS (SELECT unnest(range(0, 1024)) AS mask), k AS (SELECT mask FROM m WHERE bit_count(mask & 341) = 2 AND bit_count(mask & 682) = 2),
+s AS (SELECT event_type, mask, abs(sum(CASE WHEN (mask >> unit) & 1 = 1 THEN 3 * total ELSE -2 * total END)) AS t, abs(sum(CASE WHEN unit < 4 THEN 3 * total ELSE -2 * total END)) AS seen FROM x, k GROUP BY ALL)
+SELECT event_type, count(*) AS partitions, CAST(max(seen) AS BIGINT) AS observed, round(count(*) FILTER (WHERE t >= seen) * 1.0 / count(*), 6) AS p FROM s GROUP BY event_type""", "ev"))
+def stratified_permutation_tests(spark, sf_dir):
+    """Exact permutation within strata: two treated of five units in each of two strata, all 100 ways; six times the difference of means, a whole number."""
+    even, odd = (sum(1 << u for u in range(first, 10, 2)) for first in (0, 1))
+    x = units(spark, sf_dir).withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(1023))))
+    x = x.where(f"bit_count(mask & {even}) = 2 AND bit_count(mask & {odd}) = 2")
+    side = lambda test: F.when(test, 3 * F.col("total")).otherwise(-2 * F.col("total"))
+    s = x.groupBy("event_type", "mask").agg(F.abs(F.sum(side(F.expr("getbit(mask, unit)") == 1))).alias("t"), F.abs(F.sum(side(F.col("unit") < 4))).alias("seen"))
+    return s.groupBy("event_type").agg(F.count("*").alias("partitions"), F.max("seen").alias("observed"), F.round(F.count_if(F.col("t") >= F.col("seen")) / F.count("*"), 6).alias("p"))
+
+
+#: A day's outcome: purchases; what may move it: a genre's minutes, a weighted mean of a feature.
+OUTCOME = "o AS (SELECT day, count(*) FILTER (WHERE event_type = 'purchase') AS y FROM ev GROUP BY 1)"
+
+
+def outcome(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("day").agg(F.count_if(F.col("event_type") == "purchase").alias("y"))
+
+
+@query(sql("WITH " + OUTCOME + """, g AS (SELECT day, 'g' || user_id % 3 AS genre, CAST(sum(floor(value)) AS BIGINT) AS x FROM ev WHERE event_type = 'view' GROUP BY ALL), r AS (SELECT genre, count(*) AS n, corr(x, y) AS r FROM g JOIN o USING (day) GROUP BY 1 HAVING count(*) >= 5),
+t AS (SELECT *, 1 AS family, """ + correlation_p_sql("r", "(n - 2)") + " AS p FROM r), tested AS (" + with_q_sql("t", "family", "genre") + ") SELECT genre, n, round(r, 4) AS r, round(p, 4) AS p, round(q, 4) AS q FROM tested", "ev"))
+def genre_outcomes(spark, sf_dir):
+    """Each genre's daily minutes against the day's outcome, with p and q over genres."""
+    g = events(spark, sf_dir).where("event_type = 'view'").groupBy("day", F.concat(F.lit("g"), (F.col("user_id") % 3).cast("string")).alias("genre")).agg(F.sum(F.floor("value")).alias("x"))
+    r = g.join(outcome(spark, sf_dir), "day").groupBy("genre").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).where("n >= 5")
+    t = with_q(r.withColumn("family", F.lit(1)).withColumn("p", correlation_p(F.col("r"), F.col("n") - 2)), ["family"], ["genre"])
+    return t.select("genre", "n", *[F.round(c, 4).alias(c) for c in ("r", "p", "q")])
+
+
+@query(sql("WITH " + OUTCOME + """, f AS (SELECT day, sum(value * (user_id % 7)) / sum(value) AS x FROM ev WHERE event_type = 'view' AND value > 0 GROUP BY 1), c AS (SELECT day, x, y, lag(x) OVER (ORDER BY day) AS px, lag(y) OVER (ORDER BY day) AS py FROM f JOIN o USING (day)),
+r AS (SELECT count(*) AS n, corr(x, y) AS r, corr(x, px) AS r1x, corr(y, py) AS r1y FROM c), e AS (SELECT *, CASE WHEN r1x * r1y > 0 THEN greatest(5, least(n * (1 - r1x * r1y) / (1 + r1x * r1y), n)) ELSE n END AS n_eff FROM r), d AS (SELECT *, greatest(CAST(round(n_eff, 6) AS BIGINT) - 2, 1) AS df FROM e)
+SELECT n, round(r, 4) AS r, round(n_eff, 3) AS n_eff, round(""" + correlation_p_sql("r", "df") + ", 4) AS p FROM d", "ev"))
+def feature_outcomes(spark, sf_dir):
+    """A day's weighted feature mean against its outcome, p at the effective sample size."""
+    v = events(spark, sf_dir).where("event_type = 'view' AND value > 0").groupBy("day").agg((F.sum(F.col("value") * (F.col("user_id") % 7)) / F.sum("value")).alias("x"))
+    w = Window.orderBy("day")  # a row a day
+    c = v.join(outcome(spark, sf_dir), "day").withColumn("px", F.lag("x").over(w)).withColumn("py", F.lag("y").over(w))
+    r = c.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.corr("x", "px").alias("r1x"), F.corr("y", "py").alias("r1y")).withColumn("n_eff", effective_n(F.col("n"), F.col("r1x"), F.col("r1y")))
+    r = r.withColumn("p", correlation_p(F.col("r"), F.greatest(F.round(F.round("n_eff", 6)).cast("long") - 2, F.lit(1))))
+    return r.select("n", F.round("r", 4).alias("r"), F.round("n_eff", 3).alias("n_eff"), F.round("p", 4).alias("p"))
