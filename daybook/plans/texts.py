@@ -356,3 +356,30 @@ def source_status(spark, sf_dir):
     s = e.where("user_id % 2 = 0 OR event_type <> 'signup'").groupBy(F.col("event_type").alias("source")).agg(F.max("day").alias("seen"), F.count("*").alias("n"))
     age = F.datediff("last", "seen").cast("long")
     return s.join(F.broadcast(last), F.lit(True)).select("source", "n", "seen", age.alias("age"), F.when(age == 0, "fresh").when(age <= 2, "late").otherwise("stale").alias("status"))
+
+
+@query(sql("""WITH d AS (SELECT event_type AS product, day, count(*) AS n FROM ev GROUP BY ALL) SELECT product, count(*) AS n_days, CAST(sum(n) AS BIGINT) AS n_events, max(n) AS busiest, min(day) FILTER (WHERE n = top) AS busiest_day FROM (SELECT *, max(n) OVER (PARTITION BY product) AS top FROM d) GROUP BY product""", "ev"))
+def product_days(spark, sf_dir):
+    """Daily counts by product, and each product's busiest day."""
+    d = events(spark, sf_dir).groupBy(F.col("event_type").alias("product"), "day").agg(F.count("*").alias("n"))
+    return d.groupBy("product").agg(F.count("*").alias("n_days"), F.sum("n").alias("n_events"), F.max("n").alias("busiest"), F.min_by("day", F.struct(-F.col("n"), "day")).alias("busiest_day"))
+
+
+@query(sql("""WITH a AS (SELECT event_type AS experiment, CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'treated' END AS arm, CAST(floor(value * 100) AS BIGINT) AS v FROM ev), s AS (SELECT experiment, arm, count(*) AS n, sum(v) / 100.0 / count(*) AS mean FROM a GROUP BY ALL)
+SELECT c.experiment, c.n AS n_control, t.n AS n_treated, round(c.mean, 3) AS control, round(t.mean, 3) AS treated, round(t.mean - c.mean, 3) AS effect FROM s c JOIN s t ON c.experiment = t.experiment AND c.arm = 'control' AND t.arm = 'treated'""", "ev"))
+def experiment_arms(spark, sf_dir):
+    """The arms of M24: size and mean of both arms of each experiment group and the effect; bootstrap_deltas has the intervals."""
+    v = F.floor(F.col("value") * 100)
+    a = events(spark, sf_dir).withColumn("treated", F.col("user_id") % 2 != 0)
+    s = a.groupBy(F.col("event_type").alias("experiment")).agg(*[F.struct(F.count_if(test).alias("n"), (F.sum(F.when(test, v)) / 100 / F.count_if(test)).alias("mean")).alias(n) for n, test in (("c", ~F.col("treated")), ("t", F.col("treated")))])
+    s = s.where("c.n > 0 AND t.n > 0")
+    return s.select("experiment", F.col("c.n").alias("n_control"), F.col("t.n").alias("n_treated"), F.round("c.mean", 3).alias("control"), F.round("t.mean", 3).alias("treated"), F.round(F.col("t.mean") - F.col("c.mean"), 3).alias("effect"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, length(coalesce(text, '')) AS n FROM conversations), s AS (SELECT conv_id, CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS own FROM t GROUP BY 1)
+SELECT conv_id, total, own, CASE WHEN total = 0 THEN NULL ELSE own * 100 // total END AS own_percent FROM s""")
+def session_composition(spark, sf_dir):
+    """The shares of J41: how much of each session falls to one lane."""
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(n).alias("total"), F.coalesce(F.sum(F.when(F.col("role") == "assistant", n)), F.lit(0)).alias("own"))
+    return s.withColumn("own_percent", F.when(F.col("total") > 0, F.expr("own * 100 div total")))
