@@ -57,3 +57,86 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
         lost = 1 - (held.agg(F.sum("in")).first()[0] or 0.0)
         ranks = held.select("id", ((1 - damping) / n + damping * (F.col("in") + lost / n)).alias("rank"))
     return ranks
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """id, score: the share of shortest directed paths that pass through a node, over (n - 1)(n - 2) where there are more than two nodes.
+
+    All sources advance a level at a time, so each level is one join on the edges and no task holds a graph. The state is a row
+    for each source and each node that it reaches; ``sources`` (default: all nodes) bounds it, and scores are then sums over these sources.
+    """
+    edges = cut(edges.select("source", "target").where("source <> target").distinct())  # read by every level
+    starts = nodes if sources is None else sources
+    levels = [cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("start", "node")
+    while True:
+        ahead = levels[-1].join(edges, levels[-1]["node"] == edges["source"]).groupBy("start", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
+        ahead = cut(ahead.join(seen, ["start", "node"], "left_anti"))
+        if ahead.isEmpty():
+            break
+        levels.append(ahead)
+        seen = seen.unionByName(ahead.select("start", "node"))
+    held = levels[-1].withColumn("through", F.lit(0.0))
+    totals = held.select("node", "through")
+    for level in levels[-2:0:-1]:  # towards the sources, which take no score of their own
+        given = held.select("start", F.col("node").alias("target"), ((1 + F.col("through")) / F.col("paths")).alias("given"))
+        back = level.join(edges, level["node"] == edges["source"]).select("start", "node", "paths", "target").join(given, ["start", "target"])
+        sums = back.groupBy("start", "node").agg(F.sum(F.col("paths") * F.col("given")).alias("through"))
+        held = cut(level.join(sums, ["start", "node"], "left").na.fill(0.0, ["through"]))
+        totals = totals.unionByName(held.select("node", "through"))
+    n = nodes.count()
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    sums = totals.groupBy(F.col("node").alias("id")).agg(F.sum("through").alias("s"))
+    return nodes.select("id").join(sums, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)) * scale, 6).alias("score"))
+
+
+def _spread(marks: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """id, mark: the least mark that reaches each node along source -> target, by rounds until no mark falls."""
+    before = None
+    for _ in range(limit):
+        sent = edges.join(marks, edges["source"] == marks["id"]).select(F.col("target").alias("id"), "mark")
+        marks = cut(marks.unionByName(sent).groupBy("id").agg(F.min("mark").alias("mark")))
+        state = marks.agg(F.sum(F.xxhash64("id", "mark").cast("decimal(38,0)"))).first()[0]
+        if state == before:
+            return marks
+        before = state
+    raise RuntimeError(f"marks have not settled after {limit} rounds")
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame, limit: int = 200) -> DataFrame:
+    """id, component (the least id of the strongly connected component), by colouring.
+
+    Each turn, the least id that reaches a node is its colour; what reaches the colour's own node back inside the colour is its
+    component and leaves the graph. Nodes without an edge in or out are components alone and go first. Turns grow with the
+    length of chains of components, rounds with the diameter; either raises beyond ``limit``.
+    """
+    left, edges = cut(nodes.select("id").distinct()), cut(edges.select("source", "target").where("source <> target").distinct())
+    done = None
+    for _ in range(limit):
+        through = edges.select(F.col("source").alias("id")).intersect(edges.select(F.col("target").alias("id")))
+        found = left.join(through, "id", "left_anti").select("id", F.col("id").alias("component"))
+        inner = edges.join(through.withColumnRenamed("id", "source"), "source", "left_semi").join(through.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
+        colours = _spread(through.select("id", F.col("id").alias("mark")), inner, limit)
+        source, target = (colours.select(F.col("id").alias(c), F.col("mark").alias(f"{c}_mark")) for c in ("source", "target"))
+        within = cut(inner.join(source, "source").join(target, "target").where("source_mark = target_mark").select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("source_mark").alias("colour")))
+        # backwards from the node that gave the colour: only marks equal to the colour matter
+        back = _spread(colours.where("id = mark"), within.select("source", "target"), limit)
+        found = cut(found.unionByName(back.select("id", F.col("mark").alias("component"))))
+        done = found if done is None else done.unionByName(found)
+        left = cut(left.join(found, "id", "left_anti"))
+        if left.isEmpty():
+            return done
+        edges = edges.join(found.select(F.col("id").alias("source")), "source", "left_anti").join(found.select(F.col("id").alias("target")), "target", "left_anti")
+        edges = cut(edges.select("source", "target"))
+    raise RuntimeError(f"components have not settled after {limit} turns")
+
+
+def longest_chain(edges: DataFrame, components: DataFrame) -> int:
+    """Components on the longest path of the graph of components (which has no cycle); 0 without components."""
+    source, target = (components.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part")) for c in ("source", "target"))
+    dag = cut(edges.join(source, "source").join(target, "target").where("source_part <> target_part").select("source_part", "target_part").distinct())
+    depth, ends = 0, components.select(F.col("component").alias("part")).distinct()
+    while not ends.isEmpty():
+        depth += 1
+        ends = cut(ends.join(dag, F.col("part") == F.col("source_part")).select(F.col("target_part").alias("part")).distinct())
+    return depth

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from daybook.plans import cohorts, coverage, evidence, evidence_graph, graphs, imports, intervals, models, rollups, scalars, significance, stats, texts
+from daybook.plans import cohorts, coverage, evidence, evidence_graph, graphs, imports, intervals, models, networks, rollups, scalars, significance, stats, texts
 
-SECTIONS = (rollups, scalars, intervals, stats, graphs, cohorts, coverage, models, evidence, significance, evidence_graph, imports, texts)
+SECTIONS = (rollups, scalars, intervals, stats, graphs, cohorts, coverage, models, evidence, significance, evidence_graph, imports, texts, networks)
 
 
 def _all() -> dict:
