@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daybook.functions.text import commit_refs, conventional_subject, degrade_confidence, logical_date, normalize_url
+from daybook.functions.text import TRACKING, commit_refs, compression_ratio, conventional_subject, degrade_confidence, logical_date, normalize_url
 from daybook.plans.registry import registry
 from daybook.sources.tables import sql, table
 
@@ -59,10 +59,11 @@ def month_quarter_keys(spark, sf_dir):
     return o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.concat(F.year("o_orderdate"), F.lit("-Q"), F.quarter("o_orderdate")).alias("quarter")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') AS host,
-coalesce(nullif(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/$', ''), ''), '/') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
-k AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|igshid|ref|ref_src)=')), '&') AS kept FROM p)
-SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN 'https://' || host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END ELSE url END AS url FROM k""")
+#: The rule by its cases: hosts of the pages keep no parameter of their own, so short video links and kept parameters are held by the tests.
+@query("""WITH p AS (SELECT page_id, trim(url) AS url, regexp_replace(regexp_replace(lower(regexp_extract(url, '^(https?:)?//([^/?#]*)', 2)), '^www\\.', ''), ':.*', '') AS host,
+regexp_extract(url, '^(https?:)?//[^/?#]*([^?#]*)', 2) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
+k AS (SELECT *, list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(""" + "|".join(TRACKING) + """)')), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END) AS kept FROM p)
+SELECT page_id, CASE WHEN host <> '' THEN 'https://' || host || CASE WHEN path IN ('', '/') THEN '/' WHEN suffix(path, '/') THEN path[:-2] ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END ELSE url END AS url FROM k""")
 def normalized_urls(spark, sf_dir):
     """canonical URLs of all pages."""
     return table(spark, sf_dir, "pages").select("page_id", normalize_url(F.col("url")).alias("url"))
@@ -96,6 +97,18 @@ def repetition_metrics(spark, sf_dir):
     return c.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_unique"), F.round(1 - F.count("*") / F.sum("n"), 4).alias("duplicate_share"))
 
 
+@query()
+def text_compression(spark, sf_dir):
+    """The rest of F33: compression ratio of a text's normalised lines, and its eight most repeated lines; held to zlib in the tests."""
+    l = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", "at", F.lower(F.trim("line")).alias("line")).where(F.char_length("line") >= 3)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])  # the lines of one text
+    ratios = l.groupBy("doc_id").agg(F.concat_ws("\n", lines).alias("blob")).select("doc_id", compression_ratio(F.col("blob")).alias("compression_ratio"))
+    c = l.groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.min("at").alias("at")).where("n > 1")
+    ranked = c.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "at"))).where("_n <= 8")
+    top = ranked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "n", "line"))), lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"))).alias("top_lines"))
+    return ratios.join(top, "doc_id", "left").select("doc_id", F.round("compression_ratio", 6).alias("compression_ratio"), F.coalesce("top_lines", F.expr("CAST(array() AS array<struct<line:string,n:bigint>>)")).alias("top_lines"))
+
+
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CASE WHEN event_type IN ('click', 'view') THEN 'browse' WHEN event_type = 'error' AND value > 50 THEN 'incident'
 WHEN event_type = 'error' THEN 'noise' ELSE 'commerce' END AS mode FROM events""")
 def rule_cascade(spark, sf_dir):
