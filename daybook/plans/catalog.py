@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from daybook.plans import cohorts, coverage, evidence, evidence_graph, exposures, graphs, imports, intervals, models, networks, rollups, scalars, significance, stats, texts
+from daybook.plans import claims, cohorts, coverage, evidence, evidence_graph, exposures, graphs, imports, intervals, models, networks, readers, rollups, scalars, significance, stats, texts
 
-SECTIONS = (rollups, scalars, intervals, stats, graphs, cohorts, coverage, models, evidence, significance, evidence_graph, imports, texts, networks, exposures)
+SECTIONS = (rollups, scalars, intervals, stats, graphs, cohorts, coverage, models, evidence, significance, evidence_graph, imports, texts, networks, exposures, readers, claims)
 
 
 def _all() -> dict:

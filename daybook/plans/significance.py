@@ -104,9 +104,8 @@ z AS (SELECT cohort, n1, n2, ranks - n1 * (n1 + 1) / 2.0 AS u, sqrt(n1 / 12.0 *
 s AS (SELECT *, (u - n1 * n2 / 2.0) / nullif(sd, 0) AS z FROM z), w AS (SELECT *, 1 AS family, """ + normal_p_sql("z") + """ AS p FROM s WHERE z IS NOT NULL)"""
 
 
-@query(sql(VALUES + ", tested AS (" + with_q_sql("w", "family", "cohort") + """) SELECT cohort, CAST(n1 AS BIGINT) AS n, CAST(n2 AS BIGINT) AS n_rest, round(u, 1) AS u, round(2 * u / n1 / n2 - 1, 4) AS cliffs_delta, round(p, 4) AS p, round(q, 4) AS q FROM tested""", "ev"))
-def cohort_rank_tests(spark, sf_dir):
-    """The rank test of M12: each cohort against the rest by Mann-Whitney with ties, Cliff's delta and q; ranks over distinct values."""
+def rank_tests(spark, sf_dir):
+    """cohort, n1, n2, u, z, p, q of each cohort against the rest; ranks over distinct tenths."""
     v = events(spark, sf_dir).groupBy("event_type", F.floor(F.col("value") * 10).cast("long").alias("v")).agg(F.count("*").alias("k"))
     every = v.groupBy("v").agg(F.sum("k").alias("every"), F.map_from_entries(F.collect_list(F.struct("event_type", "k"))).alias("by"))
     # a row a distinct value and cohort: distinct tenths, not events
@@ -117,7 +116,13 @@ def cohort_rank_tests(spark, sf_dir):
     m = c.groupBy("cohort").agg(F.sum("own").alias("n1"), (F.sum("every") - F.sum("own")).alias("n2"), F.sum(F.expr("own * (below + (every + 1) / 2.0D)")).alias("ranks"), F.sum(F.expr("CAST(every AS DOUBLE) * every * every - every")).alias("ties"))
     z = m.where("n1 > 0 AND n2 > 0").withColumn("u", F.expr("ranks - n1 * (n1 + 1) / 2.0D")).withColumn("sd", F.expr("sqrt(n1 / 12.0D * n2 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0D))))"))
     w = z.withColumn("z", F.expr("(u - n1 * n2 / 2.0D) / nullif(sd, 0D)")).where("z IS NOT NULL").withColumn("family", F.lit(1)).withColumn("p", normal_p(F.col("z")))
-    t = with_q(w, ["family"], ["cohort"])
+    return with_q(w, ["family"], ["cohort"])
+
+
+@query(sql(VALUES + ", tested AS (" + with_q_sql("w", "family", "cohort") + """) SELECT cohort, CAST(n1 AS BIGINT) AS n, CAST(n2 AS BIGINT) AS n_rest, round(u, 1) AS u, round(2 * u / n1 / n2 - 1, 4) AS cliffs_delta, round(p, 4) AS p, round(q, 4) AS q FROM tested""", "ev"))
+def cohort_rank_tests(spark, sf_dir):
+    """The rank test of M12: each cohort against the rest by Mann-Whitney with ties, Cliff's delta and q; ranks over distinct values."""
+    t = rank_tests(spark, sf_dir)
     return t.select("cohort", F.col("n1").alias("n"), F.col("n2").alias("n_rest"), F.round("u", 1).alias("u"), F.round(F.expr("2 * u / n1 / n2 - 1"), 4).alias("cliffs_delta"), F.round("p", 4).alias("p"), F.round("q", 4).alias("q"))
 
 
