@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 10_000
+
 
 def latest_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key under ``order`` (a total order)."""
@@ -35,12 +37,22 @@ def merge_islands(df: DataFrame, keys: list[str], gap: int, start: str = "start"
     return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).withColumn("island", F.col("island").cast("long"))
 
 
+def in_blocks(df: DataFrame, order: Window, opens: Column) -> DataFrame:
+    """``_block``: stretches of the window's key, each begun by ``opens``, put together up to some BLOCK rows; none is divided."""
+    marked = df.withColumn("_at", F.row_number().over(order)).withColumn("_opens", opens)
+    first = F.max(F.when(F.col("_opens"), F.col("_at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("_block", F.floor(first / BLOCK)).drop("_at", "_opens")
+
+
 def drop_within(df: DataFrame, key: str, at: str, tolerance: int) -> DataFrame:
     """Greedy: a row goes if a kept row of its key lies at most ``tolerance`` before it.
 
-    Which rows stay depends on those kept before, so each key is walked in order; keys are
-    many (URLs), a key's rows few.
+    Which rows stay depends on those kept before, so rows are walked in order; a gap over the
+    tolerance forgets them, so a key is cut at such gaps, into blocks of some ``BLOCK`` rows.
     """
+    w = Window.partitionBy(key).orderBy(at)
+    opens = F.coalesce(F.col(at) - F.lag(at).over(w) > tolerance, F.lit(True))
+    cut = in_blocks(df, w, opens)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(at, kind="stable")
@@ -48,9 +60,9 @@ def drop_within(df: DataFrame, key: str, at: str, tolerance: int) -> DataFrame:
         for t in rows[at]:
             keep.append(last is None or t - last > tolerance)
             last = t if keep[-1] else last
-        return rows[keep]
+        return rows[keep].drop(columns="_block")
 
-    return df.groupBy(key).applyInPandas(walk, df.schema)
+    return cut.groupBy(key, "_block").applyInPandas(walk, df.schema)
 
 
 def union_preferring(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

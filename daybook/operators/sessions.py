@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daybook.operators.dedup import in_blocks
 from daybook.operators.joins import interval_join
 
 
@@ -19,9 +20,13 @@ def number_sessions(df: DataFrame, keys: list[str], at: str, order: list[str], g
 def absorbing_sessions(df: DataFrame, key: str, kind: str, start: str, end: str, gap: int, absorb: int) -> DataFrame:
     """Runs of one kind; a short item of another kind is absorbed and counted as an interruption.
 
-    What an item is compared with depends on what was absorbed before it, so a key's items
-    are walked in order.
+    What an item is compared with depends on what was absorbed before it, so items are walked
+    in order. No run reaches past the greatest end before it, so a key is cut where an item
+    starts over ``gap`` after that, into blocks of some thousands of items.
     """
+    w = Window.partitionBy(key).orderBy(start, end, kind)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    items = in_blocks(df.select(key, kind, start, end), w, F.coalesce(F.col(start) - reach > gap, F.lit(True)))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows, out, now = rows.sort_values([start, end, kind], kind="stable"), [], None
@@ -39,7 +44,7 @@ def absorbing_sessions(df: DataFrame, key: str, kind: str, start: str, end: str,
         return done
 
     types = dict(df.dtypes)
-    return df.select(key, kind, start, end).groupBy(key).applyInPandas(walk, f"{key} {types[key]}, {kind} {types[kind]}, {start} long, {end} long, items long, interruptions long")
+    return items.groupBy(key, "_block").applyInPandas(walk, f"{key} {types[key]}, {kind} {types[kind]}, {start} long, {end} long, items long, interruptions long")
 
 
 def alternations(df: DataFrame, key: str, kind: str, at: str, order: str, least: int = 4) -> DataFrame:

@@ -40,7 +40,7 @@ def median_contrasts(counts: DataFrame, draws: int = DRAWS) -> DataFrame:
         v, name = rows["v"].to_numpy(float), rows["cohort"].iloc[0]
         sides = [rows[c].to_numpy(np.int64) for c in ("own", "rest")]
         if min(s.sum() for s in sides) == 0:
-            return pd.DataFrame({"cohort": [], "median_delta": [], "median_ratio": [], "low": [], "high": []})
+            return pd.DataFrame({"cohort": [name], "median_delta": [0.0], "median_ratio": [0.0], "low": [0.0], "high": [0.0]}).iloc[:0]
         own, rest = (_middle(v, s[None, :])[0] for s in sides)
         rng = np.random.default_rng(zlib.crc32(str(name).encode()))
         drawn = [_middle(v, rng.multinomial(s.sum(), s / s.sum(), draws)) for s in sides]

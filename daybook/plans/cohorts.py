@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from daybook.operators.dedup import merge_islands
+from daybook.operators.quantiles import percentiles
 from daybook.operators.sessions import number_sessions
 from daybook.plans.registry import registry
+from daybook.sources.shared import cut
 from daybook.sources.tables import changes, commits, events, sql, table
 
 REGISTRY, query = registry()
@@ -21,8 +23,9 @@ SELECT event_type, user_id, min("at") AS start, max("at") AS "end", count(*) AS
 def machine_episodes(spark, sf_dir):
     """Exceedances of median + k * MAD, merged by gap, with a least count."""
     e = events(spark, sf_dir)
-    med = e.groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("med"))  # a row a series kind
-    dev = e.join(med, "event_type").groupBy("event_type").agg((F.max("med") + 1.5 * 1.4826 * F.percentile(F.abs(F.col("value") - F.col("med")), F.lit(0.5))).alias("threshold"))
+    med = percentiles(e, ["event_type"], "value", {"med": 0.5}).select("event_type", "med")  # a row a series kind
+    off = e.join(med, "event_type").select("event_type", F.abs(F.col("value") - F.col("med")).alias("off"))
+    dev = percentiles(off, ["event_type"], "off", {"mad": 0.5}).join(med, "event_type").select("event_type", F.expr("med + 1.5D * 1.4826D * mad AS threshold"))
     x = e.join(dev, "event_type").where("value > threshold").select("event_type", "user_id", F.col("at").alias("start"), F.col("at").alias("end"))
     return merge_islands(x, ["event_type", "user_id"], 48 * HOUR).where("n >= 2").select("event_type", "user_id", "start", "end", "n")
 
@@ -30,16 +33,18 @@ def machine_episodes(spark, sf_dir):
 @query(sql("""SELECT event_type, hour(to_timestamp("at" / 1e6) AT TIME ZONE 'UTC') AS hour, round(median(value), 4) AS med, round(quantile_cont(value, 0.25), 4) AS q1, round(quantile_cont(value, 0.75), 4) AS q3, count(*) AS n FROM ev GROUP BY ALL""", "ev"))
 def observational_baselines(spark, sf_dir):
     """Hourly bands of each source."""
-    e = events(spark, sf_dir)
-    g = e.groupBy("event_type", F.hour(F.timestamp_micros("at")).cast("long").alias("hour")).agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
-    return g.select("event_type", "hour", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("med", "q1", "q3"))], "n")
+    e = events(spark, sf_dir).withColumn("hour", F.hour(F.timestamp_micros("at")).cast("long"))
+    q = percentiles(e, ["event_type", "hour"], "value", {"med": 0.5, "q1": 0.25, "q3": 0.75})
+    return q.select("event_type", "hour", *[F.round(n, 4).alias(n) for n in ("med", "q1", "q3")], "n")
 
 
 @query(sql("""SELECT project, kind, count(*) AS n, count(*) FILTER (WHERE status = 'P') AS censored, round(median(lines), 4) AS med, round(quantile_cont(lines, 0.95), 4) AS p95 FROM commits GROUP BY ALL HAVING count(*) >= 5""", "commits"))
 def cohort_mining(spark, sf_dir):
     """Cohorts by two dimensions with censoring."""
-    g = commits(spark, sf_dir).groupBy("project", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "P").alias("censored"), F.percentile("lines", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
-    return g.where("n >= 5").select("project", "kind", "n", "censored", F.round(F.col("q")[0], 4).alias("med"), F.round(F.col("q")[1], 4).alias("p95"))
+    c = commits(spark, sf_dir)
+    g = c.groupBy("project", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "P").alias("censored")).where("n >= 5")
+    q = percentiles(c, ["project", "kind"], "lines", {"med": 0.5, "p95": 0.95}).drop("n")
+    return g.join(q, ["project", "kind"]).select("project", "kind", "n", "censored", F.round("med", 4).alias("med"), F.round("p95", 4).alias("p95"))
 
 
 @query(sql("""WITH f AS (SELECT event_type, value, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY "at" RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS exposed FROM ev)
@@ -48,7 +53,8 @@ def lagged_exposures(spark, sf_dir):
     """Outcome with and without an exposure in the day before."""
     w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-24 * HOUR, -1)
     f = events(spark, sf_dir).withColumn("exposed", F.coalesce(F.max((F.col("event_type") == "error").cast("int")).over(w), F.lit(0)))
-    return f.where("event_type <> 'error'").groupBy("event_type", "exposed").agg(F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 4).alias("med"))
+    f = cut(f.where("event_type <> 'error'").select("event_type", "exposed", "value"))  # read by each step of the ranks
+    return percentiles(f, ["event_type", "exposed"], "value", {"med": 0.5}).select("event_type", "exposed", "n", F.round("med", 4).alias("med"))
 
 
 @query(sql("""WITH r AS (SELECT event_type, user_id % 2 = 0 AS arm, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rk FROM ev)
@@ -82,7 +88,7 @@ SELECT event_type, round(max(m) FILTER (WHERE treated AND after) - max(m) FILTER
 def matched_designs(spark, sf_dir):
     """Difference in differences of medians about a boundary, against a control."""
     treated, after = (F.col("user_id") % 2 == 0).alias("treated"), (F.col("day") >= "2024-01-16").alias("after")
-    s = events(spark, sf_dir).groupBy("event_type", treated, after).agg(F.percentile("value", F.lit(0.5)).alias("m"), F.count("*").alias("n"))
+    s = percentiles(events(spark, sf_dir).select("event_type", treated, after, "value"), ["event_type", "treated", "after"], "value", {"m": 0.5})
     side = lambda t, a: F.max(F.when((F.col("treated") == t) & (F.col("after") == a), F.col("m")))
     did = side(True, True) - side(True, False) - (side(False, True) - side(False, False))
     return s.groupBy("event_type").agg(F.round(did, 4).alias("did"), F.min("n").alias("least_side"))

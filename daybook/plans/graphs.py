@@ -86,11 +86,11 @@ def page_rank(spark, sf_dir):
 ON a.thread = b.thread AND a.sha < b.sha AND a.kind <> b.kind GROUP BY ALL""", "commits"))
 def dataset_correlations(spark, sf_dir):
     """Weighted pairs of kinds that share a key."""
-    c = commits(spark, sf_dir).select("thread", "sha", "kind", "day")
-    a, b = c, c.select("thread", F.col("sha").alias("sha_b"), F.col("kind").alias("k_b"), F.col("day").alias("day_b"))
-    p = a.join(b, "thread").where("sha < sha_b AND kind <> k_b")
-    weight = 1 / (1 + F.abs(F.datediff("day", "day_b")))
-    return p.groupBy(F.least("kind", "k_b").alias("kind_a"), F.greatest("kind", "k_b").alias("kind_b")).agg(F.count("*").alias("n"), F.round(F.sum(weight), 4).alias("weight"))
+    c = commits(spark, sf_dir).groupBy("thread", "kind", "day").agg(F.count("*").alias("k"))  # equal rows combine: a thread has few kinds and days
+    b = c.select("thread", F.col("kind").alias("kind_b"), F.col("day").alias("day_b"), F.col("k").alias("k_b"))
+    p = c.withColumnRenamed("kind", "kind_a").join(b, "thread").where("kind_a < kind_b").withColumn("n", F.col("k") * F.col("k_b"))
+    weight = F.col("n") / (1 + F.abs(F.datediff("day", "day_b")))
+    return p.groupBy("kind_a", "kind_b").agg(F.sum("n").alias("n"), F.round(F.sum(weight), 4).alias("weight"))
 
 
 @query(sql("""WITH v AS (SELECT event_id, user_id, "at" FROM ev WHERE event_type = 'view'), c AS (SELECT v.event_id AS view_id, v.user_id, min(e."at") AS click_at FROM v JOIN ev e ON e.user_id = v.user_id AND e.event_type = 'click' AND e."at" > v."at" AND e."at" - v."at" <= 86400000000 GROUP BY ALL)
