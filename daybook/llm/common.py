@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,24 @@ def unused(docs: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def others(docs: DataFrame, *names: str) -> list[str]:
+    """The columns of ``docs`` but those that ``names`` would replace, in any case."""
+    taken = {n.lower() for n in names}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
+def sliced(body: bytes, table: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text, some ``size`` bytes at a time: ``table`` makes blanks of what is no part of a word."""
+    at = 0
+    while at < len(body):
+        end = at + size
+        part = body[at:end].translate(table)
+        # a word that runs over the end goes on to its own end
+        while end < len(body) and part[-1:] != b" ":
+            more = body[end : end + 65536].translate(table)
+            stop = more.find(b" ") + 1 or len(more)
+            part, end = part + more[:stop], end + stop
+        yield part.split()
+        at = end

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import chat_format, chunked_bpe, line_dedup, packing, quality_mil, quality_rules, simhash_dedup, token_output, topk, toxicity
+from daybook.llm import centroids, chat_format, chunked_bpe, license_scan, line_dedup, packing, quality_mil, quality_rules, simhash_dedup, source_divergence, token_output, topk, toxicity
 from daybook.llm.common import documents, fold, labels, scratch_path
 
 TOXIC_AT, QUALITY_AT = 0.5, 0.7
@@ -63,10 +63,25 @@ def op10_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
 
 
+def op11_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digests(license_scan.scan_licenses(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.compare_sources(documents(spark, sf_dir), min_docs=3, top=200)
+
+
+def op13_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(*centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3))
+
+
 def queries() -> dict:
-    own = (op1_token_shards, op2_chat_format, op3_simhash_dedup, op4_toxicity, op5_line_dedup, op6_quality_mil, op7_quality_rules, op8_chunked_bpe, op9_best_fit_packing, op10_ball_tree_topk)
+    own = (
+        op1_token_shards, op2_chat_format, op3_simhash_dedup, op4_toxicity, op5_line_dedup, op6_quality_mil, op7_quality_rules, op8_chunked_bpe, op9_best_fit_packing,
+        op10_ball_tree_topk, op11_license_index, op12_source_divergence, op13_heap_kmeans,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op10_ball_tree_topk": topk.ORACLE}
+    return {"op2_chat_format": chat_format.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op10_ball_tree_topk": topk.ORACLE, "op12_source_divergence": source_divergence.ORACLE, "op13_heap_kmeans": centroids.ORACLE}
