@@ -12,17 +12,15 @@ where a hash occurs twice.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows
 are judged each; an empty table gives no rows; other columns are passed on (the names of
-measures replace columns so named).
+measures replace columns so named, in any case).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import text_or_empty
+from daybook.llm.common import let, others, text_or_empty
 
 BLANK = " \t\n\x0b\x0c\r"
 WINDOW = 5
@@ -34,11 +32,6 @@ BOILERPLATE = (
 NAVIGATION = "home|menu|search|login|log in|sign in|sign up|next|previous|back to top|skip to content|contact us|about us|sitemap"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _covered(grams: Column) -> Column:
     """Words that windows with a repeated hash cover."""
 
@@ -98,7 +91,7 @@ def judge_documents(docs: DataFrame, text: str = "text", max_lost: float = 0.4,
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost") <= max_lost))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost", "cleaned", "base_failed", "kept"]
-    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in added], *added)
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in others(docs, *added)], *added)
 
 
 def verdicts(judged: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.common import materialise, sliced
+from daybook.llm.common import let, materialise, sliced
 
 #: Bytes to terms: what is no part of a term becomes a blank, A-Z become a-z.
 TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -112,10 +112,11 @@ def share(count: Column, total: Column) -> Column:
 
     def more(state: Column) -> Column:
         left = state["rest"] * 1000
-        return F.struct((state["out"] * 1000 + F.floor(_div(left, total))).alias("out"), (left % total).alias("rest"))
+        return F.struct((state["out"] * 1000 + _div(left, total)).alias("out"), (left % total).alias("rest"))
 
     start = F.struct(_div(count, total).alias("out"), (count % total).alias("rest"))
-    return 1 + F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), start, lambda a, _: more(a))["out"]
+    large = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), start, lambda a, _: more(a))["out"]
+    return 1 + F.when(count <= 9_000_000_000, _div(count * 1_000_000_000, total)).otherwise(large)
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -149,7 +150,7 @@ def compare_sources(
     # each kept term with its share in every source that has it
     if small:
         totals = groups.where("v > 0").groupBy("lang", "v", "n_lang").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("n_group", "p0")))).alias("of"))
-        shared = lambda h: F.struct(h["source"].alias("source"), share(h["n"] + 1, F.element_at("of", h["source"])["n_group"] + F.col("v")).alias("p"), F.element_at("of", h["source"])["p0"].alias("p0"))
+        shared = lambda h: let(F.element_at("of", h["source"]), lambda g: F.struct(h["source"].alias("source"), share(h["n"] + 1, g["n_group"] + F.col("v")).alias("p"), g["p0"].alias("p0")))
         met = terms.join(F.broadcast(totals), "lang").select("lang", "digest", "term", share(F.col("n") + 1, F.col("n_lang") + F.col("v")).alias("q"), F.transform("held", shared).alias("held"))
     else:
         rows = terms.select("lang", "digest", "term", "n", F.explode("held").alias("h")).withColumn("source", F.col("h.source")).join(groups, ["lang", "source"])
