@@ -8,15 +8,16 @@ Scale: each text is split and hashed once, into a table of line hashes in the sh
 folder. Counting shuffles a hash and a key a line, made distinct before and after
 the shuffle, so a line that every document holds is a row per document spread over all
 tasks and then one partial count a task. A line that makes up a thousandth of all shared
-lines or more is hot: there are at most a thousand of those, whatever the size of the
-corpus, so they are broadcast and their rows never meet in one task; the other lines are
-joined by their hash. The texts move once, to meet their dropped positions.
+lines or more is hot: there are at most a thousand of those, so they are broadcast and their rows never meet in one task; the other lines are
+joined by their hash. Where a stage has so many partitions that a thousandth of the lines is
+more than a quarter of a partition's share, a line of that quarter is hot: the list
+then grows with the partitions, four lines each. The texts move once, to meet their dropped positions.
 
 Defined results: a null or empty text is one empty line; blank and short lines (key under
 ``min_chars`` code points) always stay; a null key counts as the smallest document; rows
 that repeat a key are one document for counting, and each row loses its lines all the
 same; an empty table gives no rows; other columns are passed on (columns with the names of
-the two counts are replaced).
+the two counts, in any case, are replaced).
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import materialise, text_or_empty
+from daybook.llm.common import materialise, others, text_or_empty
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FIRST = -(1 << 63)
-_HOT = 1000  # a line is hot at this part of all lines; so many lines at most can be
+_HOT = 1000  # a line is hot at this part of all lines, or at a quarter of a partition's share; so many lines at most can be
 
 
 def line_key(line: Column) -> Column:
@@ -37,6 +38,11 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
 
 
+def hot_part(partitions: int) -> int:
+    """A line is hot from one in so many of all shared lines."""
+    return max(_HOT, 4 * partitions)
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """Documents with shared lines dropped, and how many lines each had and lost (columns ``counts``)."""
     number = F.coalesce(F.col(key).cast("long"), F.lit(_FIRST))
@@ -54,8 +60,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     )
     shared = materialise(counted, "shared-lines")
     total = shared.agg(F.sum("_n")).first()[0] or 0
-    hot = F.broadcast(shared.where(F.col("_n") * _HOT >= total).drop("_n"))
-    cold = shared.where(F.col("_n") * _HOT < total).drop("_n")
+    part = hot_part(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(shared.where(F.col("_n") * part >= total).drop("_n"))
+    cold = shared.where(F.col("_n") * part < total).drop("_n")
     met = lines.join(hot, ["_h1", "_h2"]).unionByName(lines.join(hot, ["_h1", "_h2"], "left_anti").join(cold, ["_h1", "_h2"]))
     gone = met.where(F.col("_k") != F.col("_first")).groupBy("_k", "_t").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
 
@@ -72,8 +79,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
 
     kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n_gone), stretch)), "\n")
     added = {text: F.when(n_gone == 0, F.col(f"_row.`{text}`")).otherwise(kept), counts[0]: F.size("_lines").cast("long"), counts[1]: n_gone.cast("long")}
-    names = [*[c for c in docs.columns if c not in added], *added]
-    return met.select(*[added[c].alias(c) if c in added else F.col(f"_row.`{c}`").alias(c) for c in names])
+    kept_columns = [F.col(f"_row.`{c}`").alias(c) for c in others(docs, *added)]
+    return met.select(*kept_columns, *[value.alias(name) for name, value in added.items()])
 
 
 def digests(deduped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
