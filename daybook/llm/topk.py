@@ -11,7 +11,7 @@ before it, so that most nodes are cut off at once and few rows leave a task.
 Scale: each query meets each shard once, which the exact question asks for. Candidates are
 shuffled once, for the trees; trees travel once a block (a block has ``block_rows``
 queries, or less where that gives the tasks work, 64 blocks at most), queries once a
-shard. Nothing is broadcast; a task holds one tree and one Arrow batch of queries.
+shard. A round's partitions follow the cluster, not the number of pairs. Nothing is broadcast; a task holds one tree and one Arrow batch of queries.
 Scores are exact: products are summed in double precision only while all sums stay under
 2**53, else in Python integers and held to the range of a long.
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.common import materialise
@@ -182,15 +182,26 @@ def _meet(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, block_rows: int = 65_536) -> DataFrame:
+def shard_size(total: int) -> int:
+    """Candidates a shard: more where there are many, so that trees are copied to fewer pairs, up to what a task holds."""
+    return min(131_072, max(8192, math.ceil(total / 2048)))
+
+
+def partitions(pairs: int, spark: SparkSession) -> int:
+    """Tasks of a round: one for each pair of block and shard while these are few, else several pairs a task."""
+    return min(pairs, 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", shard_rows: int | None = None, block_rows: int = 65_536) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of every query (ids divisible by ``every``)."""
+    spark = vectors.sparkSession
     rows = materialise(quantise(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()), "quantised")
     total = rows.count()
     asked = rows.where(F.col("vec_id") % every == 0)
     n_asked = asked.count()
     if not total or not n_asked:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    shards = math.ceil(total / shard_rows)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    shards = math.ceil(total / (shard_rows or shard_size(total)))
     blocks = max(math.ceil(n_asked / block_rows), min(shards, math.ceil(n_asked / 512), 64))
     lowest = F.lit(-_LIMIT - 1).cast("long")
     dealt = rows.select("vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"))
@@ -215,7 +226,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
             known = asked.join(floors, "query_row", "left").withColumn("floor", F.coalesce("floor", lowest))
         known = pairs(known, "shard", F.transform(steps, lambda j: F.pmod(F.col("block") + j, F.lit(shards)).cast("int")))
         met = held.unionByName(known.withColumn("tree", F.lit(None).cast("binary")).select(held.columns))
-        n_tasks = blocks * (min(hi, shards) - lo)
+        n_tasks = partitions(blocks * (min(hi, shards) - lo), spark)
         met = met.repartition(n_tasks, "shard", "block").sortWithinPartitions("shard", "block", F.col("tree").isNull())
         found = met.mapInArrow(_meet(k), "query_row long, vec_id long, score long")
         # at most k rows a query and shard, and k of the rounds before, reach the window
