@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import text_or_empty
+from daybook.llm.common import materialise, text_or_empty
 
 BITS, SIZES = 20, (4, 6, 8)
 _BLOCK = 500_000
@@ -168,11 +168,21 @@ def fit(texts: list[str], labels: np.ndarray, keep: int = 6000, smooth: float =
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows: int, room: int, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``rows`` labelled documents, ``room`` bytes in all, that ``train`` admits."""
     docs = docs.select(F.col(key), text_or_empty(text).alias("_text"))
+    spark = docs.sparkSession
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).where(train)
     known = known.groupBy(key).agg(F.max(label).cast("int").alias("_label"))
-    # ids first: the sort holds small rows, and the join's side has a bound
-    picked = known.join(docs.select(key).distinct(), key, "left_semi").orderBy(F.xxhash64(key), key).limit(rows)
+    # ids first: some labelled ones, the smallest hashes, meet the documents' ids in a scan without a shuffle; more where too few are there
+    asked = 4 * rows
+    while True:
+        tried = materialise(known.orderBy(F.xxhash64(key), key).limit(asked), "labelled")
+        held = docs.select(key).join(F.broadcast(tried), key).groupBy(key).agg(F.max("_label").alias("_label"))  # at most ``asked`` rows
+        picked = materialise(held.orderBy(F.xxhash64(key), key).limit(rows), "picked")
+        if picked.count() >= rows or tried.count() < asked:
+            break
+        asked *= 4
+    # one scan of the texts; what it keeps has a bound in rows
     met = docs.join(F.broadcast(picked), key).select(key, "_label", "_text", F.xxhash64("_text").alias("_hash"))
+    met = materialise(met, "labelled-texts")
     sizes = met.select(key, "_hash", F.octet_length("_text").alias("_bytes")).orderBy(F.xxhash64(key), key, "_hash").limit(rows).collect()
     taken = []
     for r in sizes:  # in this order; a text for which no room is left is passed over
@@ -181,7 +191,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows:
             taken.append((r[key], r["_hash"]))
     if not taken:
         return [], np.zeros(0, np.int64)
-    chosen = docs.sparkSession.createDataFrame(taken, met.select(key, "_hash").schema).distinct()
+    chosen = spark.createDataFrame(taken, met.select(key, "_hash").schema).distinct()
     got = met.join(F.broadcast(chosen), [key, "_hash"]).orderBy(F.xxhash64(key), key, "_hash").limit(len(taken)).collect()
     return [r["_text"] for r in got], np.array([r["_label"] for r in got], np.int64)
 
