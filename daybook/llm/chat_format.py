@@ -11,13 +11,15 @@ A control string inside a text or role gets a backslash after its first characte
 every backslash is doubled, so no control string of the output comes from a text and the
 texts can be read back exactly.
 
-A batch of turns is assembled without a Python loop over turns: lengths of all segments,
-cumulative offsets, and one scatter of header, content and footer bytes into one
-preallocated buffer that becomes the Arrow column.
+Turns are assembled in slices of some megabytes, without a Python loop over turns: lengths
+of all segments, cumulative offsets, and a scatter of header, content and footer bytes into
+one preallocated buffer that becomes the Arrow column. Scatter indices are made for a few
+megabytes at a time; a long text is copied as it is.
 
 Scale: one shuffle on the conversation, sorted within partitions and streamed. A
 conversation comes out in parts (at turn boundaries, in order), so one that holds a third
-of all turns never has to fit into one buffer; only its running digest is sequential.
+of all turns never has to fit into one buffer; only its running digest is sequential. A single
+turn is never divided: it needs some six times its own length while it is escaped and copied.
 
 Defined results: turns are ordered by turn (null first), then role and text; a null text
 or role is empty; a null conv_id is a conversation of its own; repeated rows are turns
@@ -69,16 +71,48 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+SLICE = 1 << 22  # bytes of text that a buffer takes at a time, if no turn alone has more
+LONG = 1 << 16  # from here on a segment is copied by itself
+
+
 def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray, pick: np.ndarray | None = None) -> None:
     """Copy segment i (or pick[i]) of ``data`` to out[at[i]:]."""
     begins, lengths = offsets[:-1], np.diff(offsets)
     if pick is not None:
         begins, lengths = begins[pick], lengths[pick]
-    total = int(lengths.sum())
-    if not total:
-        return
-    within = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[np.repeat(at, lengths) + within] = data[np.repeat(begins, lengths) + within]
+    for i in np.flatnonzero(lengths >= LONG).tolist():
+        out[at[i] : at[i] + lengths[i]] = data[begins[i] : begins[i] + lengths[i]]
+    short = np.flatnonzero((lengths > 0) & (lengths < LONG))
+    upto = np.cumsum(lengths[short])
+    for own in np.split(short, np.searchsorted(upto, np.arange(SLICE, int(upto[-1]) if len(upto) else 0, SLICE))):
+        n = lengths[own]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(at[own], n) + within] = data[np.repeat(begins[own], n) + within]
+
+
+def _points(buffer: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Code points before each of the places: all bytes but continuation bytes count."""
+    out, before = np.zeros(len(places), np.int64), 0
+    order = np.argsort(places, kind="stable")
+    ranked = places[order]
+    for a in range(0, len(buffer) + 1, SLICE):
+        part = buffer[a : a + SLICE]
+        counts = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80, dtype=np.int32)])
+        lo, hi = np.searchsorted(ranked, [a, a + SLICE])
+        out[order[lo:hi]] = before + counts[ranked[lo:hi] - a]
+        before += int(counts[-1])
+    return out
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of turns with some SLICE bytes of text."""
+    upto = np.cumsum(np.asarray(pc.binary_length(batch.column(2)), np.int64))
+    at = 0
+    while at < len(batch):
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right"))
+        end = max(at + 1, end)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,20 +150,17 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, parts = object(), 0
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (part for whole in batches for part in _slices(whole)):
             buffer, turn_at, body_from, body_to = assemble(batch.column(1), batch.column(2))
             convs = batch.column(0)
             ids = convs.to_pylist()
             first = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])]
             edges = np.asarray([*first, len(ids)])
-            # code points before each byte: all bytes but continuation bytes count
-            points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
             spoken = np.asarray(pc.equal(batch.column(1), "assistant"))
             picked = np.flatnonzero(spoken)
-            begin = points[turn_at[edges[np.searchsorted(edges, picked, "right") - 1]]]
-            starts, lengths = points[body_from[picked]] - begin, points[body_to[picked]] - points[body_from[picked]]
+            begin = turn_at[edges[np.searchsorted(edges, picked, "right") - 1]]
+            began, came, went = np.split(_points(buffer, np.concatenate([begin, body_from[picked], body_to[picked]])), 3)
+            starts, lengths = came - began, went - came
             spans_at = pa.array(np.searchsorted(picked, edges), pa.int32())
             part = np.zeros(len(first), np.int32)
             part[0] = parts if ids[0] == last else 0
