@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.sources.shared import cut
@@ -140,3 +140,58 @@ def longest_chain(edges: DataFrame, components: DataFrame) -> int:
         depth += 1
         ends = cut(ends.join(dag, F.col("part") == F.col("source_part")).select(F.col("target_part").alias("part")).distinct())
     return depth
+
+
+HARD_DEPTH, HARD_NODES = 5, 1000
+
+
+def walk_evidence(
+    edges: DataFrame, nodes: DataFrame, starts: DataFrame, relations: list[str] | None = None, max_depth: int = 3, max_nodes: int = 200, direction: str = "out", keep=None
+) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first walks from many starts at once, held to a depth and a number of nodes.
+
+    ``edges``: source_id, target_id, relation; ``nodes``: id and what ``keep`` (a Column over nodes, for the output only: the walk goes
+    through nodes that it leaves out) needs. First frame: start, node, depth, parent, relation, direction (of the edge that reached the
+    node: the least parent, relation and direction of those that did). Second: start, visited, truncated, reason.
+    Where a level has more nodes than there is room for, those with the least ids are kept. Depth is at most 5, nodes 1,000.
+    """
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"no direction {direction}")
+    max_depth, max_nodes = min(max_depth, HARD_DEPTH), min(max_nodes, HARD_NODES)
+    known = cut(nodes.select("id").distinct())
+    e = edges.select("source_id", "target_id", "relation").distinct()
+    if relations is not None:
+        e = e.where(F.col("relation").isin(*relations)) if relations else e.where("false")
+    ways = {"out": e.select(F.col("source_id").alias("parent"), F.col("target_id").alias("node"), "relation", F.lit("out").alias("direction")), "in": e.select(F.col("target_id").alias("parent"), F.col("source_id").alias("node"), "relation", F.lit("in").alias("direction"))}
+    steps = ways[direction] if direction != "both" else ways["out"].unionByName(ways["in"])
+    steps = cut(steps.join(known.withColumnRenamed("id", "node"), "node", "left_semi"))  # read by every level
+    asked = starts.select(F.col("id").alias("start")).distinct()
+    found = asked.join(known.withColumnRenamed("id", "start"), "start", "left_semi")
+    none = F.lit(None)
+    level = cut(found.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), none.cast("string").alias("relation"), none.cast("string").alias("direction"), none.cast(nodes.schema["id"].dataType).alias("parent")))
+    levels = [level]
+    for depth in range(1, max_depth + 1):
+        seen = levels[0].select("start", "node")
+        for one in levels[1:]:
+            seen = seen.unionByName(one.select("start", "node"))
+        room = seen.groupBy("start").agg((F.lit(max_nodes) - F.count("*")).alias("_room")).where("_room > 0")
+        ahead = level.join(room.select("start"), "start", "left_semi").select("start", F.col("node").alias("parent")).join(steps, "parent").join(seen, ["start", "node"], "left_anti")
+        ahead = ahead.groupBy("start", "node").agg(F.min(F.struct("parent", "relation", "direction")).alias("_by"))
+        rank = F.row_number().over(Window.partitionBy("start").orderBy("node"))
+        # the limit that is the same for all starts first: tasks keep that many rows of a start before they meet
+        ahead = ahead.withColumn("_rank", rank).where(F.col("_rank") <= max_nodes).join(room, "start").where("_rank <= _room")
+        level = cut(ahead.select("start", "node", F.lit(depth).alias("depth"), "_by.relation", "_by.direction", "_by.parent"))
+        levels.append(level)
+        if level.isEmpty():
+            break
+    out = levels[0]
+    for one in levels[1:]:
+        out = out.unionByName(one)
+    summary = out.groupBy("start").agg(F.count("*").alias("visited"), F.max("depth").alias("_deep"))
+    full, deep = F.col("visited") >= max_nodes, F.col("_deep") == max_depth
+    full = full & (F.col("visited") > 1)
+    reason = F.when(full, f"max_nodes cap ({max_nodes}) reached").when(deep, f"max_depth cap ({max_depth}) reached")
+    summary = asked.join(summary, "start", "left").select("start", F.coalesce("visited", F.lit(0)).alias("visited"), F.coalesce(full | deep, F.lit(False)).alias("truncated"), F.when(F.col("visited").isNull(), "start is not in the graph").otherwise(reason).alias("reason"))
+    if keep is not None:
+        out = out.join(nodes.where(keep).select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    return out.select("start", "node", "depth", "parent", "relation", "direction"), summary

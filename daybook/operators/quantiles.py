@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daybook.sources.shared import cut
+
 
 def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], accuracy: int = 10_000, small: int = 100_000) -> DataFrame:
     """keys, n (values that are not null) and a column a name of ``wanted``: the interpolated percentile, null for a group of nulls.
@@ -17,6 +19,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     b = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, edges, accuracy).alias("_edges"), F.min(value).alias("_min"), F.max(value).alias("_max"))
     pick = lambda i, whole: F.when(F.col("_n") <= small, F.col(whole)).otherwise(F.col("_edges")[i])
     b = b.select(*keys, "_n", *[pick(2 * i, "_min").alias(f"_lo{i}") for i in range(len(ps))], *[pick(2 * i + 1, "_max").alias(f"_hi{i}") for i in range(len(ps))])
+    b = cut(b)  # a row a group, which three joins below would each compute again
     near = df.select(*keys, F.col(value).alias("_v")).where("_v IS NOT NULL").join(b, keys)
     under = near.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_under{i}") for i in range(len(ps))])
     inside = F.array_compact(F.array(*[F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), i) for i in range(len(ps))]))

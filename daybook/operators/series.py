@@ -15,16 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trend(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Mann-Kendall S and Sen slope of each series, over its points in order."""
-    w = Window.partitionBy(key).orderBy(order)
-    points = df.where(F.col(value).isNotNull()).select(key, F.row_number().over(w).alias("i"), F.col(value).alias("x"))
-    later = points.select(key, F.col("i").alias("j"), F.col("x").alias("y"))
-    pairs = points.join(later, key).where("i < j")
-    slope = (F.col("y") - F.col("x")) / (F.col("j") - F.col("i"))
-    return pairs.groupBy(key).agg(F.sum(F.signum(F.col("y") - F.col("x"))).cast("long").alias("s"), F.percentile(slope, F.lit(0.5)).alias("slope"), F.max("j").cast("long").alias("n"))
-
-
 def changepoints(df: DataFrame, key: str, order: str, value: str, least: int = 5, most: int = 5) -> DataFrame:
     """Binary segmentation on squared error with a BIC penalty; means are of the whole prefix and suffix."""
 
@@ -170,13 +160,17 @@ def _seen(cells: DataFrame, key: str) -> DataFrame:
     return cells.groupBy(key).agg((mean("t") - mean("c")).alias("delta"))
 
 
-def permutation_p(df: DataFrame, key: str, arm: str, value: str, iterations: int = 1000, seed: int = 7, block_values: int = 5000) -> DataFrame:
-    """Share of seeded relabellings with a mean difference at least as large.
+def relabelled(df: DataFrame, key: str, arm: str, value: str, iterations: int = 1000, seed: int = 7, block_values: int = 5000) -> DataFrame:
+    """key, replicate, delta: the difference of means in each seeded relabelling of a key's rows.
 
     A relabelling keeps the size of both arms: hypergeometric counts a block first, then a value within it. A key with
     1e9 rows or more is refused by numpy, not cut.
     """
+    cells = value_blocks(df, key, arm, value, block_values)
+    return _relabelled(cells, key, iterations, seed).select(key, "replicate", _delta().alias("delta"))
 
+
+def _relabelled(cells: DataFrame, key: str, iterations: int, seed: int) -> DataFrame:
     def chosen(rng, colours, n):
         return rng.multivariate_hypergeometric(colours, n, method="marginals")
 
@@ -190,7 +184,12 @@ def permutation_p(df: DataFrame, key: str, arm: str, value: str, iterations: int
         s_t = np.array([chosen(rng, t + c, n) @ x for n in take_t])
         return s_t, (t + c) @ x - s_t
 
+    return _replicates(cells, key, iterations, allocate, draw)
+
+
+def permutation_p(df: DataFrame, key: str, arm: str, value: str, iterations: int = 1000, seed: int = 7, block_values: int = 5000) -> DataFrame:
+    """Share of seeded relabellings with a mean difference at least as large (see ``relabelled``)."""
     cells = value_blocks(df, key, arm, value, block_values)
-    means = _replicates(cells, key, iterations, allocate, draw).join(_seen(cells, key).withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
+    means = _relabelled(cells, key, iterations, seed).join(_seen(cells, key).withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
     hit = F.abs(_delta()) >= F.abs("delta") - 1e-9 * F.greatest(F.lit(1.0), F.abs("delta"))  # sums in another order differ in the last digits
     return means.groupBy(key).agg(((F.count_if(hit) + 1) / (iterations + 1)).alias("p"))

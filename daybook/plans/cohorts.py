@@ -23,9 +23,9 @@ SELECT event_type, user_id, min("at") AS start, max("at") AS "end", count(*) AS
 def machine_episodes(spark, sf_dir):
     """Exceedances of median + k * MAD, merged by gap, with a least count."""
     e = events(spark, sf_dir)
-    med = percentiles(e, ["event_type"], "value", {"med": 0.5}).select("event_type", "med")  # a row a series kind
+    med = cut(percentiles(e, ["event_type"], "value", {"med": 0.5}).select("event_type", "med"))  # a row a series kind
     off = e.join(med, "event_type").select("event_type", F.abs(F.col("value") - F.col("med")).alias("off"))
-    dev = percentiles(off, ["event_type"], "off", {"mad": 0.5}).join(med, "event_type").select("event_type", F.expr("med + 1.5D * 1.4826D * mad AS threshold"))
+    dev = cut(percentiles(off, ["event_type"], "off", {"mad": 0.5}).join(med, "event_type").select("event_type", F.expr("med + 1.5D * 1.4826D * mad AS threshold")))
     x = e.join(dev, "event_type").where("value > threshold").select("event_type", "user_id", F.col("at").alias("start"), F.col("at").alias("end"))
     return merge_islands(x, ["event_type", "user_id"], 48 * HOUR).where("n >= 2").select("event_type", "user_id", "start", "end", "n")
 
@@ -132,7 +132,7 @@ def workflow_mechanics(spark, sf_dir):
 
 @query(sql("""SELECT round(var_pop(m), 4) AS between_var, round(avg(v), 4) AS within_var, count(*) AS groups FROM (SELECT owner, avg(lines) AS m, var_samp(lines) AS v FROM changes GROUP BY owner HAVING count(*) > 1)""", "changes"))
 def measurement_system(spark, sf_dir):
-    """Variance between and within groups."""
+    """The means' and the mean variance of owners; measurement_checks has the components of M47."""
     g = changes(spark, sf_dir).groupBy("owner").agg(F.avg("lines").alias("m"), F.var_samp("lines").alias("v"), F.count("*").alias("n")).where("n > 1")
     return g.agg(F.round(F.var_pop("m"), 4).alias("between_var"), F.round(F.avg("v"), 4).alias("within_var"), F.count("*").alias("groups"))
 

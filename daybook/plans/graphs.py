@@ -10,22 +10,16 @@ from daybook.plans.registry import registry
 from daybook.sources.tables import commits, events, sql, table
 
 REGISTRY, query = registry()
-#: Suppliers that follow each other in an order. EDGES keeps lines of 49 and more, about one in 25; the queries named whole_ and page_rank take all lines.
-EDGES = """e AS (SELECT DISTINCT l_suppkey AS source, nxt AS target FROM (SELECT l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS nxt FROM lineitem WHERE l_quantity >= 49) WHERE nxt IS NOT NULL AND nxt <> l_suppkey)"""
-WHOLE = EDGES.replace(" WHERE l_quantity >= 49", "")
+#: Suppliers that follow each other in an order, over all lines.
+WHOLE = """e AS (SELECT DISTINCT l_suppkey AS source, nxt AS target FROM (SELECT l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS nxt FROM lineitem) WHERE nxt IS NOT NULL AND nxt <> l_suppkey)"""
 
 
-def edges(spark, sf_dir, lines: str = "true"):
-    l = table(spark, sf_dir, "lineitem").where(lines)
+def edges(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
     nxt = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
     return l.select(F.col("l_suppkey").alias("source"), nxt.alias("target")).where("target IS NOT NULL AND target <> source").distinct()
 
 
-def heavy_edges(spark, sf_dir):
-    """The edges of EDGES."""
-    return edges(spark, sf_dir, "l_quantity >= 49")
-
-
 def nodes(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
 
@@ -36,40 +30,20 @@ def both_degrees(e, nodes):
     return nodes.join(d, "id", "left").na.fill(0)
 
 
-@query("WITH RECURSIVE " + EDGES + """, r AS (SELECT s_suppkey AS start, s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 5
-UNION SELECT start, target, depth + 1 FROM r JOIN e ON node = source WHERE depth < 3) SELECT start, node, min(depth) AS depth FROM r GROUP BY ALL""")
-def evidence_walk(spark, sf_dir):
-    """Cycle-safe reach from five suppliers over heavy lines up to depth 3, as its SQL says; whole_evidence_walk does the whole job."""
-    return walk(heavy_edges(spark, sf_dir), nodes(spark, sf_dir).where("id <= 5"), 3)
-
-
 @query("WITH RECURSIVE " + WHOLE + """, r AS (SELECT min(s_suppkey) AS start, min(s_suppkey) AS node, 0 AS depth FROM supplier GROUP BY s_nationkey
 UNION SELECT start, target, depth + 1 FROM r JOIN e ON node = source WHERE depth < 5) SELECT start, node, min(depth) AS depth FROM r GROUP BY ALL""")
 def whole_evidence_walk(spark, sf_dir):
-    """Cycle-safe reach up to depth 5 over all lines, from the first supplier of every nation."""
+    """Cycle-safe reach up to depth 5 over all lines, from the first supplier of every nation."""
     first = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("id"))
     return walk(edges(spark, sf_dir), first.select("id"), 5)
 
 
-@query("WITH RECURSIVE " + EDGES + """, u AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),
-r AS (SELECT s_suppkey AS id, s_suppkey AS node FROM supplier UNION SELECT r.id, u.b FROM r JOIN u ON r.node = u.a) SELECT id, min(node) AS component FROM r GROUP BY id""")
-def weak_components(spark, sf_dir):
-    """Connected components over heavy lines, as its SQL says; whole_weak_components does the whole job."""
-    return connected(heavy_edges(spark, sf_dir), nodes(spark, sf_dir))
-
-
 @query()
 def whole_weak_components(spark, sf_dir):
-    """Connected components over all lines; recursive SQL is too slow here, held to a union-find in the tests."""
+    """Connected components over all lines; recursive SQL is too slow here, held to a union-find in the tests."""
     return connected(edges(spark, sf_dir), nodes(spark, sf_dir))
 
 
-@query("WITH " + EDGES + """SELECT s_suppkey AS id, (SELECT count(*) FROM e WHERE source = s_suppkey) AS out_degree, (SELECT count(*) FROM e WHERE target = s_suppkey) AS in_degree FROM supplier""")
-def degrees(spark, sf_dir):
-    """In- and out-degrees over heavy lines, as its SQL says; whole_degrees does the whole job."""
-    return both_degrees(heavy_edges(spark, sf_dir), nodes(spark, sf_dir))
-
-
 @query("WITH " + WHOLE + """SELECT s_suppkey AS id, (SELECT count(*) FROM e WHERE source = s_suppkey) AS out_degree, (SELECT count(*) FROM e WHERE target = s_suppkey) AS in_degree FROM supplier""")
 def whole_degrees(spark, sf_dir):
     """The degrees of G13, over all lines."""

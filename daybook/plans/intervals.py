@@ -55,16 +55,9 @@ def path_overlap(c: DataFrame) -> DataFrame:
     return near.groupBy("sha").agg(F.countDistinct("other").alias("others"), F.countDistinct("path").alias("paths"))
 
 
-@query(sql("""SELECT c.sha AS sha, count(DISTINCT h.sha) AS others, count(DISTINCT h.path) AS paths FROM (SELECT sha, path, day FROM changes WHERE path % 7 <> 0) c
-JOIN (SELECT sha, path, day FROM changes WHERE path % 7 <> 0) h ON c.path = h.path AND c.sha < h.sha AND abs(c.day - h.day) <= 3 GROUP BY c.sha""", "changes"))
-def file_overlap(spark, sf_dir):
-    """Pairs that share a path within a band of days, without every seventh path, as its SQL says; whole_file_overlap does the whole job."""
-    return path_overlap(changes(spark, sf_dir).where("path % 7 <> 0"))
-
-
 @query(sql("""SELECT c.sha AS sha, count(DISTINCT h.sha) AS others, count(DISTINCT h.path) AS paths FROM changes c JOIN changes h ON c.path = h.path AND c.sha < h.sha AND abs(c.day - h.day) <= 3 GROUP BY c.sha""", "changes"))
 def whole_file_overlap(spark, sf_dir):
-    """Pairs that share a path within a band of days, over all paths.
+    """Pairs that share a path within a band of days, over all paths.
 
     The join is on path and time bin, not on the project, so a project's size doesn't square.
     """

@@ -54,7 +54,7 @@ def logical_days(spark, sf_dir):
 
 @query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter, count(*) AS n FROM orders GROUP BY ALL""")
 def month_quarter_keys(spark, sf_dir):
-    """Month and quarter keys."""
+    """Month and quarter keys."""
     o = table(spark, sf_dir, "orders")
     return o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.concat(F.year("o_orderdate"), F.lit("-Q"), F.quarter("o_orderdate")).alias("quarter")).agg(F.count("*").alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from daybook.functions.significance import correlation_p, correlation_p_sql, effective_n, normal_p, normal_p_sql, with_q, with_q_sql
+from daybook.operators import resampling, slopes
 from daybook.plans.registry import registry
 from daybook.sources.tables import events, sql
 
@@ -40,10 +41,8 @@ p2 AS (SELECT *, CASE WHEN var_s = 0 OR s = 0 THEN 0 ELSE (s - sign(s)) / sqrt(v
 SELECT event_type, n, s, round(slope, 5) AS slope, round(p, 5) AS p, CASE WHEN p >= 0.05 THEN 'stable' WHEN s > 0 THEN 'rising' ELSE 'falling' END AS direction FROM q""", "ev"))
 def trend_tests(spark, sf_dir):
     """Mann-Kendall S with tied variance, its normal p, Sen's slope and the verdict, of daily counts."""
-    d = counts(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("day")))
-    b = d.select("event_type", F.col("v").alias("w"), F.col("i").alias("j"))
-    pairs = d.join(b, "event_type").where("i < j")  # days, not events: a series is short
-    s = pairs.groupBy("event_type").agg(F.sum(F.signum((F.col("w") - F.col("v")).cast("double"))).cast("long").alias("s"), F.percentile((F.col("w") - F.col("v")) / (F.col("j") - F.col("i")), 0.5).alias("slope"))
+    d = counts(spark, sf_dir)
+    s = slopes.trend(d, "event_type", "day", "v").drop("n")
     t = d.groupBy("event_type", "v").agg(F.count("*").alias("t")).groupBy("event_type").agg(F.sum("t").alias("n"), F.sum(F.expr("t * (t - 1) * (2 * t + 5)")).alias("tied"))
     z = s.join(t, "event_type").where("n >= 10").withColumn("var_s", F.expr("(n * (n - 1) * (2 * n + 5) - tied) / 18.0D"))
     z = z.withColumn("z", F.when((F.col("var_s") == 0) | (F.col("s") == 0), F.lit(0.0)).otherwise((F.col("s") - F.signum(F.col("s").cast("double"))) / F.sqrt("var_s"))).withColumn("p", normal_p(F.col("z")))
@@ -126,84 +125,72 @@ def cohort_rank_tests(spark, sf_dir):
     return t.select("cohort", F.col("n1").alias("n"), F.col("n2").alias("n_rest"), F.round("u", 1).alias("u"), F.round(F.expr("2 * u / n1 / n2 - 1"), 4).alias("cliffs_delta"), F.round("p", 4).alias("p"), F.round("q", 4).alias("q"))
 
 
-#: Ten users' shares of each type: thousandths summed, so that every sum below is a whole number.
-UNITS = """WITH u AS (SELECT event_type, CAST(user_id % 10 AS INTEGER) AS unit, sum(CAST(floor(value * 1000) AS BIGINT)) FILTER (WHERE day_of < 15) AS before, sum(CAST(floor(value * 1000) AS BIGINT)) FILTER (WHERE day_of >= 15) AS after
+#: Units are twelve groups of users: thousandths summed, so that every sum below is a whole number; a type's difference is its later half of the month less its earlier one.
+UNITS = """WITH u AS (SELECT event_type, CAST(user_id % 12 AS INTEGER) AS unit, sum(CAST(floor(value * 1000) AS BIGINT)) FILTER (WHERE day_of < 15) AS before, sum(CAST(floor(value * 1000) AS BIGINT)) FILTER (WHERE day_of >= 15) AS after
 FROM (SELECT *, day(day) - 1 AS day_of FROM ev) GROUP BY ALL), x AS (SELECT event_type, unit, CAST(coalesce(after, 0) - coalesce(before, 0) AS BIGINT) AS delta, CAST(coalesce(after, 0) + coalesce(before, 0) AS BIGINT) AS total FROM u)"""
+#: The same with every user as a unit.
+USERS = UNITS.replace("CAST(user_id % 12 AS INTEGER)", "user_id")
 
 
-def units(spark, sf_dir):
+def units(spark, sf_dir, unit=None):
     e = events(spark, sf_dir).withColumn("w", F.floor(F.col("value") * 1000).cast("long")).withColumn("late", F.dayofmonth("day") > 15)
-    u = e.groupBy("event_type", (F.col("user_id") % 10).cast("int").alias("unit")).agg(F.sum(F.when(F.col("late"), F.col("w")).otherwise(-F.col("w"))).alias("delta"), F.sum("w").alias("total"))
-    return u
+    unit = (F.col("user_id") % 12).cast("int") if unit is None else F.col(unit)
+    return e.groupBy("event_type", unit.alias("unit")).agg(F.sum(F.when(F.col("late"), F.col("w")).otherwise(-F.col("w"))).alias("delta"), F.sum("w").alias("total"))
 
 
-@query(sql(UNITS + """, m AS (SELECT unnest(range(0, 1024)) AS mask), s AS (SELECT event_type, mask, abs(sum(CASE WHEN (mask >> unit) & 1 = 1 THEN -delta ELSE delta END)) AS total, abs(sum(delta)) AS seen FROM x, m GROUP BY ALL)
-SELECT event_type, count(*) AS flips, CAST(max(seen) AS BIGINT) AS observed, round(count(*) FILTER (WHERE total >= seen) / 1024.0, 6) AS p FROM s GROUP BY event_type""", "ev"))
+@query(sql(UNITS + """, m AS (SELECT unnest(range(0, 4096)) AS mask), s AS (SELECT event_type, mask, abs(sum(CASE WHEN (mask >> unit) & 1 = 1 THEN -delta ELSE delta END)) AS total, abs(sum(delta)) AS seen, count(*) AS n FROM x, m GROUP BY ALL)
+SELECT event_type, max(n) AS pairs, round(count(*) FILTER (WHERE total >= seen) / 4096.0, 6) AS p, 'exact' AS method FROM s GROUP BY event_type""", "ev"))
 def sign_flip_tests(spark, sf_dir):
-    """Exact sign-flip p of ten paired differences: all 1,024 flips."""
-    x = units(spark, sf_dir).withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(1023))))
-    flipped = F.when(F.expr("getbit(mask, unit)") == 1, -F.col("delta")).otherwise(F.col("delta"))
-    s = x.groupBy("event_type", "mask").agg(F.abs(F.sum(flipped)).alias("total"), F.abs(F.sum("delta")).alias("seen"))
-    return s.groupBy("event_type").agg(F.count("*").alias("flips"), F.max("seen").alias("observed"), F.round(F.count_if(F.col("total") >= F.col("seen")) / 1024, 6).alias("p"))
+    """Exact sign-flip p of paired differences, for any number of pairs; its SQL counts all flips of twelve."""
+    t = resampling.sign_flip_p(units(spark, sf_dir), "event_type", "unit", "delta")
+    return t.select("event_type", "pairs", F.round("p", 6).alias("p"), "method")
 
 
-@query(sql(UNITS + """, m AS (SELECT unnest(range(0, 1024)) AS mask), s AS (SELECT event_type, mask, abs(sum(CASE WHEN (mask >> unit) & 1 = 1 THEN total ELSE -total END)) AS t, abs(sum(CASE WHEN unit < 5 THEN total ELSE -total END)) AS seen FROM x, m WHERE bit_count(mask) = 5 GROUP BY ALL)
-SELECT event_type, count(*) AS partitions, CAST(max(seen) AS BIGINT) AS observed, round(count(*) FILTER (WHERE t >= seen) * 1.0 / count(*), 6) AS p FROM s GROUP BY event_type""", "ev"))
+@query(sql(UNITS + """, m AS (SELECT unnest(range(0, 4096)) AS mask), s AS (SELECT event_type, mask, abs(sum(CASE WHEN (mask >> unit) & 1 = 1 THEN total ELSE -total END)) AS t, abs(sum(CASE WHEN unit < 6 THEN total ELSE -total END)) AS seen, count(*) AS n FROM x, m WHERE bit_count(mask) = 6 GROUP BY ALL)
+SELECT event_type, max(n) AS units, round(count(*) FILTER (WHERE t >= seen) * 1.0 / count(*), 6) AS p, 'exact' AS method FROM s GROUP BY event_type""", "ev"))
 def exact_permutation_tests(spark, sf_dir):
-    """The exact form of M21: all 252 ways to choose five units of ten as the treated ones."""
-    x = units(spark, sf_dir).withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(1023)))).where(F.bit_count("mask") == 5)
-    side = lambda test: F.when(test, F.col("total")).otherwise(-F.col("total"))
-    s = x.groupBy("event_type", "mask").agg(F.abs(F.sum(side(F.expr("getbit(mask, unit)") == 1))).alias("t"), F.abs(F.sum(side(F.col("unit") < 5))).alias("seen"))
-    return s.groupBy("event_type").agg(F.count("*").alias("partitions"), F.max("seen").alias("observed"), F.round(F.count_if(F.col("t") >= F.col("seen")) / F.count("*"), 6).alias("p"))
+    """The exact form of M21, for any number of units; its SQL counts all ways to choose six of twelve as the treated ones."""
+    t = resampling.permutation_p(units(spark, sf_dir).withColumn("treated", F.col("unit") < 6), "event_type", "treated", "total")
+    return t.select("event_type", "units", F.round("p", 6).alias("p"), "method")
+
 
+@query(sql(UNITS + """, m AS (SELECT unnest(range(0, 4096)) AS mask), k AS (SELECT mask FROM m WHERE bit_count(mask & 1365) = 2 AND bit_count(mask & 2730) = 2),
+s AS (SELECT event_type, mask, abs(sum(CASE WHEN (mask >> unit) & 1 = 1 THEN 2 * total ELSE -total END)) AS t, abs(sum(CASE WHEN unit < 4 THEN 2 * total ELSE -total END)) AS seen, count(*) AS n FROM x, k GROUP BY ALL)
+SELECT event_type, max(n) AS units, round(count(*) FILTER (WHERE t >= seen) * 1.0 / count(*), 6) AS p, 'exact' AS method FROM s GROUP BY event_type""", "ev"))
+def stratified_permutation_tests(spark, sf_dir):
+    """Exact permutation within strata of any sizes; its SQL counts all ways to treat two of six units in each of two strata."""
+    x = units(spark, sf_dir).withColumn("stratum", F.col("unit") % 2).withColumn("treated", F.col("unit") < 4)
+    t = resampling.permutation_p(x, "event_type", "treated", "total", "stratum")
+    return t.select("event_type", "units", F.round("p", 6).alias("p"), "method")
 
-#: A seeded draw of a unit: a whole-number congruence of replicate and place, the same in every engine.
-DRAW = "((rep * 7919 + place * 104729 + 12345) * 48271 % 2147483647)"
 
+LOW, HIGH = (1 + i for i in resampling.tails(0.95, 1000))
 
-@query(sql(UNITS + f""", r AS (SELECT unnest(range(0, 500)) AS rep), k AS (SELECT unnest(range(0, 10)) AS place), w AS (SELECT rep, CAST({DRAW} // 7 % 10 AS INTEGER) AS unit, count(*) AS times FROM r, k GROUP BY ALL),
-b AS (SELECT event_type, rep, sum(times * delta) / 10.0 AS mean FROM w JOIN x USING (unit) GROUP BY ALL), o AS (SELECT event_type, sum(delta) / 10.0 AS mean FROM x GROUP BY 1)
-SELECT event_type, round(max(o.mean), 0) AS delta, round(quantile_cont(b.mean, 0.025), 0) AS low, round(quantile_cont(b.mean, 0.975), 0) AS high FROM b JOIN o USING (event_type) GROUP BY event_type""", "ev"))
+
+@query(sql(USERS + """, y AS (SELECT event_type, delta, row_number() OVER (PARTITION BY event_type ORDER BY unit) - 1 AS spot, count(*) OVER (PARTITION BY event_type) AS n FROM x),
+d AS (SELECT event_type, rep, """ + resampling.draw_sql("n", "'0'", "rep", "place") + """ AS spot FROM (SELECT event_type, rep, n, unnest(range(0, n)) AS place FROM (SELECT DISTINCT event_type, n FROM y), (SELECT unnest(range(0, 1000)) AS rep))),
+b AS (SELECT event_type, rep, avg(delta) AS mean FROM d JOIN y USING (event_type, spot) GROUP BY ALL), o AS (SELECT event_type, count(*) AS pairs, avg(delta) AS delta FROM y GROUP BY 1)
+SELECT event_type, max(pairs) AS pairs, round(max(o.delta), 2) AS delta, round(list_sort(list(b.mean))[""" + f"{LOW}], 2) AS low, round(list_sort(list(b.mean))[{HIGH}" + """], 2) AS high FROM b JOIN o USING (event_type) GROUP BY event_type""", "ev"))
 def paired_bootstraps(spark, sf_dir):
-    """Seeded bootstrap of the mean paired difference: 500 draws of ten pairs, 95 per cent interval."""
-    draws = spark.range(500).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("place"))
-    w = draws.groupBy("rep", F.expr(f"CAST({DRAW} div 7 % 10 AS INT)").alias("unit")).agg(F.count("*").alias("times"))
-    x = units(spark, sf_dir)
-    b = x.join(F.broadcast(w), "unit").groupBy("event_type", "rep").agg((F.sum(F.col("times") * F.col("delta")) / 10).alias("mean"))
-    o = x.groupBy("event_type").agg((F.sum("delta") / 10).alias("delta"))
-    q = b.groupBy("event_type").agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
-    return q.join(o, "event_type").select("event_type", *[F.round(c, 0).alias(c) for c in ("delta", "low", "high")])
-
-
-@query(sql(UNITS + f""", y AS (SELECT *, unit % 2 AS stratum, unit < 4 AS treated, CAST(row_number() OVER (PARTITION BY event_type, unit % 2, unit < 4 ORDER BY unit) - 1 AS INTEGER) AS spot FROM x), n AS (SELECT event_type, stratum, treated, count(*) AS n FROM y GROUP BY ALL),
-r AS (SELECT unnest(range(0, 300)) AS rep), d AS (SELECT event_type, stratum, treated, n, rep, CAST({DRAW.replace('place', '(stratum * 50 + i + CASE WHEN treated THEN 25 ELSE 0 END)')} // 7 % n AS INTEGER) AS spot FROM (SELECT n.*, unnest(range(0, n)) AS i FROM n), r),
-m AS (SELECT d.event_type, d.stratum, d.treated, rep, avg(total) AS mean FROM d JOIN y ON y.event_type = d.event_type AND y.stratum = d.stratum AND y.treated = d.treated AND y.spot = d.spot GROUP BY ALL),
-e AS (SELECT event_type, rep, stratum, sum(CASE WHEN treated THEN mean ELSE -mean END) AS effect FROM m GROUP BY ALL HAVING count(*) = 2), s AS (SELECT event_type, rep, avg(effect) AS effect FROM e GROUP BY ALL)
-SELECT event_type, round(quantile_cont(effect, 0.025), 2) AS low, round(quantile_cont(effect, 0.975), 2) AS high FROM s GROUP BY event_type""", "ev"))
+    """Seeded bootstrap of the mean paired difference of all users: 1,000 draws of as many pairs as there are, 95 per cent interval."""
+    b = resampling.paired_bootstrap(units(spark, sf_dir, "user_id"), "event_type", "unit", "delta")
+    return b.select("event_type", "pairs", *[F.round(c, 2).alias(c) for c in ("delta", "low", "high")])
+
+
+@query(sql(USERS + """, y AS (SELECT event_type, unit % 5 AS stratum, unit, unit % 3 = 0 AS arm, total FROM x), s0 AS (SELECT event_type, stratum, count(*) FILTER (WHERE arm) AS n_t, count(*) FILTER (WHERE NOT arm) AS n_c, avg(total) FILTER (WHERE arm) - avg(total) FILTER (WHERE NOT arm) AS gap FROM y GROUP BY ALL),
+s AS (SELECT *, least(n_t, n_c) AS weight, row_number() OVER (PARTITION BY event_type ORDER BY stratum) - 1 AS s, count(*) OVER (PARTITION BY event_type) AS strata FROM s0 WHERE n_t > 0 AND n_c > 0),
+z AS (SELECT event_type, s, arm, total, row_number() OVER (PARTITION BY event_type, s, arm ORDER BY unit) - 1 AS spot FROM y JOIN s USING (event_type, stratum)),
+q AS (SELECT event_type, rep, slot, """ + resampling.draw_sql("strata", "'0'", "rep", "slot") + """ AS s FROM (SELECT event_type, strata, rep, unnest(range(0, strata)) AS slot FROM (SELECT DISTINCT event_type, strata FROM s), (SELECT unnest(range(0, 1000)) AS rep))),
+a AS (SELECT q.*, weight, arm, CASE WHEN arm THEN n_t ELSE n_c END AS n FROM q JOIN s USING (event_type, s), (SELECT unnest([true, false]) AS arm)),
+d AS (SELECT event_type, rep, slot, s, weight, arm, """ + resampling.draw_sql("n", "'0'", "rep", "slot", "CAST(arm AS INTEGER)", "place") + """ AS spot FROM (SELECT *, unnest(range(0, n)) AS place FROM a)),
+m AS (SELECT event_type, rep, slot, weight, avg(total) FILTER (WHERE arm) - avg(total) FILTER (WHERE NOT arm) AS gap FROM d JOIN z USING (event_type, s, arm, spot) GROUP BY ALL),
+b AS (SELECT event_type, rep, sum(weight * gap) / sum(weight) AS mean FROM m GROUP BY ALL), o AS (SELECT event_type, count(*) AS strata, sum(weight * gap) / sum(weight) AS delta FROM s GROUP BY 1)
+SELECT event_type, max(strata) AS strata, round(max(o.delta), 2) AS delta, round(list_sort(list(b.mean))[""" + f"{LOW}], 2) AS low, round(list_sort(list(b.mean))[{HIGH}" + """], 2) AS high FROM b JOIN o USING (event_type) GROUP BY event_type""", "ev"))
 def stratified_bootstraps(spark, sf_dir):
-    """Seeded bootstrap within strata: 300 draws of each arm of each stratum, the mean of the strata's effects."""
-    spot = F.row_number().over(Window.partitionBy("event_type", "stratum", "treated").orderBy("unit")) - 1
-    y = units(spark, sf_dir).withColumn("stratum", F.col("unit") % 2).withColumn("treated", F.col("unit") < 4).withColumn("spot", spot)
-    n = y.groupBy("event_type", "stratum", "treated").agg(F.count("*").alias("n"))
-    d = n.withColumn("i", F.explode(F.expr("sequence(0, CAST(n AS INT) - 1)"))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(299)).cast("array<bigint>")))
-    d = d.withColumn("place", F.expr("stratum * 50 + i + IF(treated, 25, 0)")).withColumn("spot", F.expr(f"CAST({DRAW} div 7 % n AS INT)"))
-    m = d.join(y.select("event_type", "stratum", "treated", "spot", "total"), ["event_type", "stratum", "treated", "spot"]).groupBy("event_type", "stratum", "treated", "rep").agg(F.avg("total").alias("mean"))
-    e = m.groupBy("event_type", "rep", "stratum").agg(F.sum(F.expr("IF(treated, mean, -mean)")).alias("effect"), F.count("*").alias("arms")).where("arms = 2")
-    s = e.groupBy("event_type", "rep").agg(F.avg("effect").alias("effect"))
-    return s.groupBy("event_type").agg(F.round(F.percentile("effect", 0.025), 2).alias("low"), F.round(F.percentile("effect", 0.975), 2).alias("high"))
-
-
-@query(sql(UNITS + """, m AS (SELECT unnest(range(0, 1024)) AS mask), k AS (SELECT mask FROM m WHERE bit_count(mask & 341) = 2 AND bit_count(mask & 682) = 2),
-s AS (SELECT event_type, mask, abs(sum(CASE WHEN (mask >> unit) & 1 = 1 THEN 3 * total ELSE -2 * total END)) AS t, abs(sum(CASE WHEN unit < 4 THEN 3 * total ELSE -2 * total END)) AS seen FROM x, k GROUP BY ALL)
-SELECT event_type, count(*) AS partitions, CAST(max(seen) AS BIGINT) AS observed, round(count(*) FILTER (WHERE t >= seen) * 1.0 / count(*), 6) AS p FROM s GROUP BY event_type""", "ev"))
-def stratified_permutation_tests(spark, sf_dir):
-    """Exact permutation within strata: two treated of five units in each of two strata, all 100 ways; six times the difference of means, a whole number."""
-    even, odd = (sum(1 << u for u in range(first, 10, 2)) for first in (0, 1))
-    x = units(spark, sf_dir).withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(1023))))
-    x = x.where(f"bit_count(mask & {even}) = 2 AND bit_count(mask & {odd}) = 2")
-    side = lambda test: F.when(test, 3 * F.col("total")).otherwise(-2 * F.col("total"))
-    s = x.groupBy("event_type", "mask").agg(F.abs(F.sum(side(F.expr("getbit(mask, unit)") == 1))).alias("t"), F.abs(F.sum(side(F.col("unit") < 4))).alias("seen"))
-    return s.groupBy("event_type").agg(F.count("*").alias("partitions"), F.max("seen").alias("observed"), F.round(F.count_if(F.col("t") >= F.col("seen")) / F.count("*"), 6).alias("p"))
+    """Seeded blocked bootstrap: 1,000 draws of strata, and of each arm's units within, weighted by the smaller arm; 95 per cent interval."""
+    x = units(spark, sf_dir, "user_id").withColumn("stratum", F.col("unit") % 5).withColumn("treated", F.col("unit") % 3 == 0)
+    b = resampling.stratified_bootstrap(x, "event_type", "stratum", "unit", "treated", "total")
+    return b.select("event_type", "strata", *[F.round(c, 2).alias(c) for c in ("delta", "low", "high")])
 
 
 #: A day's outcome: purchases; what may move it: a genre's minutes, a weighted mean of a feature.

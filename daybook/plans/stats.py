@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from daybook.operators.series import anomalies, bootstrap_delta, changepoints, lagged_correlation, periods, permutation_p, trend
+from daybook.operators.series import anomalies, bootstrap_delta, changepoints, lagged_correlation, periods, permutation_p
+from daybook.operators.slopes import trend
 from daybook.plans.registry import registry
 from daybook.sources.tables import changes, events, sql, table, whole_months
 
@@ -106,14 +107,14 @@ def growth_slopes(spark, sf_dir):
 def bootstrap_deltas(spark, sf_dir):
     """Seeded bootstrap interval of a mean difference; random draws, no SQL."""
     e = events(spark, sf_dir).withColumn("arm", F.col("user_id") % 2 == 0)
-    return bootstrap_delta(e, "event_type", "arm", "value", iterations=200)
+    return bootstrap_delta(e, "event_type", "arm", "value")
 
 
 @query()
 def permutation_tests(spark, sf_dir):
     """The Monte Carlo form of M21: seeded permutation p-values; random draws, no SQL."""
     e = events(spark, sf_dir).withColumn("arm", F.col("user_id") % 2 == 0)
-    return permutation_p(e, "event_type", "arm", "value", iterations=200)
+    return permutation_p(e, "event_type", "arm", "value")
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, e), lambda p: CAST(p[1] AS DOUBLE) * p[2])) /

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daybook.functions.significance import normal_p, student_p, with_q
-from daybook.operators import dedup, graph, joins, series, sessions
+from daybook.operators import dedup, graph, joins, series, sessions, slopes
 from daybook.plans import catalog, graphs
 from daybook.plans.registry import registry
 from daybook.plans.scalars import query_spec
@@ -142,7 +142,7 @@ def test_series(spark):
     assert [(r["k"], r["at"], r["before"], r["after"]) for r in cuts] == [(1, 10, 0.0, 5.0)]
     found = series.periods(frame.where("k > 1"), "k", "i", "v").collect()
     assert [(r["k"], round(r["period"], 3)) for r in found] == [(3, 7.0)]
-    t = {r["k"]: (r["s"], r["slope"]) for r in series.trend(spark.createDataFrame([(1, i, 2.0 * i) for i in range(10)], "k long, i long, v double"), "k", "i", "v").collect()}
+    t = {r["k"]: (r["s"], r["slope"]) for r in slopes.trend(spark.createDataFrame([(1, i, 2.0 * i) for i in range(10)], "k long, i long, v double"), "k", "i", "v").collect()}
     assert t == {1: (45, 2.0)}
 
 
