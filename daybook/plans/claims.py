@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daybook.operators import ranks
 from daybook.operators.dedup import merge_islands
 from daybook.operators.joins import interval_join
 from daybook.plans.registry import registry
@@ -21,47 +18,15 @@ DRAWS = 500
 SIGNAL_Q, SIDE = 0.10, 5
 
 
-def _middle(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Medians of histograms, a row of counts each, over sorted values."""
-    reach, n = counts.cumsum(axis=1), counts.sum(axis=1)
-    low = (reach <= ((n - 1) // 2)[:, None]).sum(axis=1)
-    high = (reach <= (n // 2)[:, None]).sum(axis=1)
-    return (values[low] + values[high]) / 2
-
-
-def median_contrasts(counts: DataFrame, draws: int = DRAWS) -> DataFrame:
-    """Of cohort, v, own, rest (rows of a value in the cohort and outside): medians' difference, their ratio and its 95 % bootstrap interval.
-
-    A task holds a cohort's histogram: distinct values, never rows. Draws are multinomial and seeded by the cohort's name.
-    """
-
-    def contrast(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("v")
-        v, name = rows["v"].to_numpy(float), rows["cohort"].iloc[0]
-        sides = [rows[c].to_numpy(np.int64) for c in ("own", "rest")]
-        if min(s.sum() for s in sides) == 0:
-            return pd.DataFrame({"cohort": [name], "median_delta": [0.0], "median_ratio": [0.0], "low": [0.0], "high": [0.0]}).iloc[:0]
-        own, rest = (_middle(v, s[None, :])[0] for s in sides)
-        rng = np.random.default_rng(zlib.crc32(str(name).encode()))
-        drawn = [_middle(v, rng.multinomial(s.sum(), s / s.sum(), draws)) for s in sides]
-        low, high = np.percentile(drawn[0] - drawn[1], [2.5, 97.5])
-        return pd.DataFrame({"cohort": [name], "median_delta": [own - rest], "median_ratio": [own / rest if rest else None], "low": [low], "high": [high]})
-
-    return counts.groupBy("cohort").applyInPandas(contrast, "cohort string, median_delta double, median_ratio double, low double, high double")
-
-
 @query()
 def cohort_contrasts(spark, sf_dir):
-    """Each cohort against the rest: medians' difference (in steps of a tenth), ratio, bootstrap interval, rank test with p and q, Cliff's delta, and the signal rule.
+    """Each cohort against the rest: medians' difference, ratio, bootstrap interval, rank test with p and q, Cliff's delta, and the signal rule.
 
     A screening signal needs q of at most 0.10, an interval without zero, and five rows a side; held to a plain bootstrap in the tests.
     """
-    v = events(spark, sf_dir).groupBy("event_type", (F.floor(F.col("value") * 10) / 10).alias("v")).agg(F.count("*").alias("k"))
-    every = v.groupBy("v").agg(F.sum("k").alias("every"), F.map_from_entries(F.collect_list(F.struct("event_type", "k"))).alias("by"))  # an entry a cohort
-    cohorts = v.groupBy(F.col("event_type").alias("cohort")).agg(F.sum("k").alias("_n")).drop("_n")
-    c = cohorts.join(every, F.lit(True)).withColumn("own", F.coalesce(F.expr("by[cohort]"), F.lit(0)))  # distinct tenths by cohorts, no rows of events
-    m = median_contrasts(c.select("cohort", "v", "own", (F.col("every") - F.col("own")).alias("rest")))
-    t = rank_tests(spark, sf_dir).select("cohort", F.col("n1").alias("n"), F.col("n2").alias("n_rest"), F.expr("2 * u / n1 / n2 - 1").alias("cliffs_delta"), "p", "q")
+    held = ranks.in_stretches(events(spark, sf_dir), "event_type", "value")
+    m = ranks.median_contrasts(held, DRAWS)
+    t = rank_tests(held).select("cohort", F.col("n1").alias("n"), F.col("n2").alias("n_rest"), F.expr("2 * u / n1 / n2 - 1").alias("cliffs_delta"), "p", "q")
     signal = (F.col("q") <= SIGNAL_Q) & (F.col("low") * F.col("high") > 0) & (F.least("n", "n_rest") >= SIDE)
     rounded = [F.round(x, 4).alias(x) for x in ("median_delta", "median_ratio", "low", "high", "cliffs_delta", "p", "q")]
     return m.join(t, "cohort").select("cohort", "n", "n_rest", *rounded, F.when(signal, "screening_signal").otherwise("descriptive").alias("signal"))

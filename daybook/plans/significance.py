@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from daybook.functions.significance import correlation_p, correlation_p_sql, effective_n, normal_p, normal_p_sql, with_q, with_q_sql
-from daybook.operators import resampling, slopes
+from daybook.operators import ranks, resampling, slopes
 from daybook.plans.registry import registry
 from daybook.sources.tables import events, sql
 
@@ -94,8 +94,8 @@ def corrected_correlations(spark, sf_dir):
     return c.select("a_type", "b_type", "n", *[F.round(x, 4).alias(x) for x in ("r", "p_naive", "p")])
 
 
-#: Values in tenths: ranks are taken over distinct values and their counts, never over all rows of a cohort.
-VALUES = """WITH v AS (SELECT event_type, CAST(floor(value * 10) AS BIGINT) AS v, count(*) AS k FROM ev GROUP BY ALL), t AS (SELECT DISTINCT event_type AS cohort FROM v),
+#: Values with their counts: ranks are taken over distinct values, never over all rows of a cohort.
+VALUES = """WITH v AS (SELECT event_type, value AS v, count(*) AS k FROM ev WHERE value IS NOT NULL GROUP BY ALL), t AS (SELECT DISTINCT event_type AS cohort FROM v),
 g AS (SELECT cohort, v, sum(k) FILTER (WHERE event_type = cohort) AS own, sum(k) AS every FROM t, v GROUP BY ALL),
 c AS (SELECT cohort, v, coalesce(own, 0) AS own, every, sum(every) OVER (PARTITION BY cohort ORDER BY v) - every AS below FROM g),
 m AS (SELECT cohort, sum(own) AS n1, sum(every) - sum(own) AS n2, sum(own * (below + (every + 1) / 2.0)) AS ranks, sum(every * every * every - every) AS ties FROM c GROUP BY 1),
@@ -103,25 +103,16 @@ z AS (SELECT cohort, n1, n2, ranks - n1 * (n1 + 1) / 2.0 AS u, sqrt(n1 / 12.0 *
 s AS (SELECT *, (u - n1 * n2 / 2.0) / nullif(sd, 0) AS z FROM z), w AS (SELECT *, 1 AS family, """ + normal_p_sql("z") + """ AS p FROM s WHERE z IS NOT NULL)"""
 
 
-def rank_tests(spark, sf_dir):
-    """cohort, n1, n2, u, z, p, q of each cohort against the rest; ranks over distinct tenths."""
-    v = events(spark, sf_dir).groupBy("event_type", F.floor(F.col("value") * 10).cast("long").alias("v")).agg(F.count("*").alias("k"))
-    every = v.groupBy("v").agg(F.sum("k").alias("every"), F.map_from_entries(F.collect_list(F.struct("event_type", "k"))).alias("by"))
-    # a row a distinct value and cohort: distinct tenths, not events
-    cohorts = v.select(F.col("event_type").alias("cohort")).distinct()
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = every.withColumn("below", F.coalesce(F.sum("every").over(below), F.lit(0)))
-    c = ranked.join(F.broadcast(cohorts), F.lit(True)).withColumn("own", F.coalesce(F.expr("by[cohort]"), F.lit(0)))
-    m = c.groupBy("cohort").agg(F.sum("own").alias("n1"), (F.sum("every") - F.sum("own")).alias("n2"), F.sum(F.expr("own * (below + (every + 1) / 2.0D)")).alias("ranks"), F.sum(F.expr("CAST(every AS DOUBLE) * every * every - every")).alias("ties"))
-    z = m.where("n1 > 0 AND n2 > 0").withColumn("u", F.expr("ranks - n1 * (n1 + 1) / 2.0D")).withColumn("sd", F.expr("sqrt(n1 / 12.0D * n2 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0D))))"))
-    w = z.withColumn("z", F.expr("(u - n1 * n2 / 2.0D) / nullif(sd, 0D)")).where("z IS NOT NULL").withColumn("family", F.lit(1)).withColumn("p", normal_p(F.col("z")))
-    return with_q(w, ["family"], ["cohort"])
+def rank_tests(held):
+    """cohort, n1, n2, u, z, p, q of each cohort against the rest, from values in stretches."""
+    z = ranks.rank_sums(held).withColumn("z", F.expr("(u - n1 * n2 / 2.0D) / nullif(sd, 0D)")).where("z IS NOT NULL")
+    return with_q(z.withColumn("family", F.lit(1)).withColumn("p", normal_p(F.col("z"))), ["family"], ["cohort"])
 
 
 @query(sql(VALUES + ", tested AS (" + with_q_sql("w", "family", "cohort") + """) SELECT cohort, CAST(n1 AS BIGINT) AS n, CAST(n2 AS BIGINT) AS n_rest, round(u, 1) AS u, round(2 * u / n1 / n2 - 1, 4) AS cliffs_delta, round(p, 4) AS p, round(q, 4) AS q FROM tested""", "ev"))
 def cohort_rank_tests(spark, sf_dir):
-    """The rank test of M12: each cohort against the rest by Mann-Whitney with ties, Cliff's delta and q; ranks over distinct values."""
-    t = rank_tests(spark, sf_dir)
+    """The rank test of M12: each cohort against the rest by Mann-Whitney with ties, Cliff's delta and q; ranks over the values themselves."""
+    t = rank_tests(ranks.in_stretches(events(spark, sf_dir), "event_type", "value"))
     return t.select("cohort", F.col("n1").alias("n"), F.col("n2").alias("n_rest"), F.round("u", 1).alias("u"), F.round(F.expr("2 * u / n1 / n2 - 1"), 4).alias("cliffs_delta"), F.round("p", 4).alias("p"), F.round("q", 4).alias("q"))
 
 

@@ -3,21 +3,48 @@
 import numpy as np
 import pytest
 
-from daybook.operators import dedup, quantiles, sessions
-from daybook.plans import claims
+from daybook.operators import dedup, quantiles, ranks, sessions
 
 
-def test_median_contrasts(spark):
+
+@pytest.mark.parametrize("stretches", [1, 5, 40])
+def test_contrasts_of_values_themselves(spark, stretches):
+    """Ranks, medians and their interval against plain versions, whatever the stretches; ties, even and odd sizes, a cohort that is alone in nothing."""
     rng = np.random.default_rng(5)
-    own, rest = np.round(rng.normal(3, 2, 401), 1), np.round(rng.normal(1, 2, 700), 1)
-    rows = [("a", float(v), int((own == v).sum()), int((rest == v).sum())) for v in np.unique(np.concatenate([own, rest]))] + [("alone", 1.0, 3, 0)]
-    got = claims.median_contrasts(spark.createDataFrame(rows, "cohort string, v double, own long, rest long")).collect()
-    assert [r["cohort"] for r in got] == ["a"]
-    r = got[0]
-    assert abs(r["median_delta"] - (np.median(own) - np.median(rest))) < 1e-9 and abs(r["median_ratio"] - np.median(own) / np.median(rest)) < 1e-9
-    drawn = [np.median(rng.choice(own, len(own))) - np.median(rng.choice(rest, len(rest))) for _ in range(1500)]
-    low, high = np.percentile(drawn, [2.5, 97.5])
-    assert abs(r["low"] - low) < 0.12 and abs(r["high"] - high) < 0.12
+    groups = {"a": rng.normal(3, 2, 401), "b": np.round(rng.normal(1, 2, 700), 1), "c": np.round(rng.normal(1, 9, 50), 0), "one": np.array([2.5])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("b", float("nan"))]
+    held = ranks.in_stretches(spark.createDataFrame(rows, "g string, x double"), "g", "x", stretches)
+    got = {r["cohort"]: r for r in ranks.median_contrasts(held, 800).collect()}
+    sums = {r["cohort"]: r for r in ranks.rank_sums(held).collect()}
+    assert got.keys() == sums.keys() == groups.keys()
+    for k, own in groups.items():
+        rest = np.concatenate([v for q, v in groups.items() if q != k])
+        r, s = got[k], sums[k]
+        assert r["median_delta"] == pytest.approx(np.median(own) - np.median(rest)) and r["median_ratio"] == pytest.approx(np.median(own) / np.median(rest))
+        drawn = [np.median(rng.choice(own, len(own))) - np.median(rng.choice(rest, len(rest))) for _ in range(1500)]
+        low, high = np.percentile(drawn, [2.5, 97.5])
+        room = 0.15 * (high - low) + 0.06
+        assert abs(r["low"] - low) < room and abs(r["high"] - high) < room, k
+        u = sum((own[:, None] > rest[None, :]).sum(1) + 0.5 * (own[:, None] == rest[None, :]).sum(1))
+        assert (s["n1"], s["n2"]) == (len(own), len(rest)) and s["u"] == pytest.approx(u)
+        whole = np.concatenate([own, rest])
+        _, ties = np.unique(whole, return_counts=True)
+        n = len(whole)
+        assert s["sd"] == pytest.approx(np.sqrt(len(own) * len(rest) / 12 * ((n + 1) - (ties.astype(float) ** 3 - ties).sum() / (n * (n - 1)))))
+
+
+def test_middles_of_resamples():
+    """The drawn middle has the law of a resample's: compared by its quantiles, for odd and even sizes."""
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 7, 30):
+        fast = ranks.resampled_middles(n, 20_000, rng).mean(1)
+        plain = np.array([np.median(rng.integers(0, n, n)) for _ in range(20_000)])
+        assert abs(fast.mean() - plain.mean()) < 0.05 * max(1, plain.std()) and abs(fast.std() - plain.std()) < 0.05 * max(1, plain.std())
+
+
+def test_no_rows_no_contrasts(spark):
+    held = ranks.in_stretches(spark.createDataFrame([], "g string, x double"), "g", "x")
+    assert ranks.median_contrasts(held).count() == 0 and ranks.rank_sums(held).count() == 0
 
 
 def test_percentiles_of_small_and_large_groups(spark):
