@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.operators.dedup import in_blocks
 from daybook.operators.joins import interval_join
+from daybook.sources.shared import cut
 
 
 def number_sessions(df: DataFrame, keys: list[str], at: str, order: list[str], gap: int) -> DataFrame:
@@ -67,3 +70,73 @@ def downtime(states: DataFrame, unit: str, at: str, bad: Column, until: int) ->
     w = Window.partitionBy(unit).orderBy(at)
     marked = states.withColumn("_bad", bad).withColumn("_turn", F.coalesce(F.lag("_bad").over(w) != F.col("_bad"), F.lit(True))).where("_turn")
     return marked.withColumn("end", F.coalesce(F.lead(at).over(w), F.lit(until))).where("_bad").select(unit, F.col(at).alias("start"), "end")
+
+
+def absorbed_items(df: DataFrame, key: str, kind: str, start: str, end: str, gap: int, absorb: int) -> DataFrame:
+    """``df`` with ``session`` (its start, a stretch of the key and a number in it) and ``own`` of each item: false for one taken in as an interruption.
+
+    Items are put together as by ``absorbing_sessions``.
+    """
+    w = Window.partitionBy(key).orderBy(start, end, kind)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    items = in_blocks(df, w, F.coalesce(F.col(start) - reach > gap, F.lit(True)))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Items of a partition in order, a stretch after the other, batch by batch."""
+        at = now = None
+        number = 0
+        for rows in batches:
+            sessions, own = [], []
+            for q, b, k, s, e in zip(rows[key], rows["_block"], rows[kind], rows[start], rows[end]):
+                if at != (q, b):
+                    at, now, number = (q, b), None, -1
+                if now and s - now[1] <= gap and (k == now[0] or e - s <= absorb):
+                    now[1] = max(now[1], e)
+                else:
+                    number, now = number + 1, [k, e]
+                sessions.append(number)
+                own.append(k == now[0])
+            yield rows.assign(_n=sessions, own=own)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    ordered = items.repartition(key, "_block").sortWithinPartitions(key, "_block", start, end, kind)
+    walked = ordered.mapInPandas(walk, f"{fields}, _n long, own boolean")
+    return walked.withColumn("session", F.concat_ws(":", F.col(key).cast("string"), "_block", "_n")).drop("_n", "_block")
+
+
+def dominant(rows: DataFrame, key: str, name: str, weight: str, out: str) -> DataFrame:
+    """key, ``out``: the name with the greatest summed weight of each key, the least name of those that tie; null names count for none."""
+    by = rows.where(F.col(name).isNotNull()).groupBy(key, name).agg(F.sum(weight).alias("_w"))
+    return by.groupBy(key).agg(F.min(F.struct((-F.col("_w")).alias("w"), F.col(name).alias("name"))).alias("_d")).select(key, F.col("_d.name").alias(out))
+
+
+def app_sessions(spans: DataFrame, key: str, gap: int = 120_000_000, absorb: int = 30_000_000, least: int = 60_000_000) -> DataFrame:
+    """key, app, session, start, end, wall, mode, project, title, interruptions: runs of one app with what dominates their own spans.
+
+    ``spans``: key, app, start, end, mode, project, title. ``key`` should hold the logical day, on which a run never goes on to the next.
+    """
+    items = cut(absorbed_items(spans, key, "app", "start", "end", gap, absorb).withColumn("_d", F.col("end") - F.col("start")))  # read by each sum below
+    own = items.where("own")
+    g = items.groupBy(key, "session").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.when(F.col("own"), F.col("app"))).alias("app"), F.count_if(~F.col("own")).alias("interruptions"))
+    g = g.withColumn("wall", F.col("end") - F.col("start")).where(F.col("wall") >= least)
+    for name in ("mode", "project", "title"):
+        g = g.join(dominant(own, "session", name, "_d", name), "session", "left")
+    return g.select(key, "app", "session", "start", "end", "wall", "mode", "project", "title", "interruptions")
+
+
+def deep_blocks(sessions: DataFrame, key: str, productive: list[str], gap: int = 600_000_000, absorb: int = 300_000_000, least: int = 1_800_000_000, ratio: float = 0.85) -> DataFrame:
+    """key, start, end, mode, project, ratio, switches: long stretches of productive sessions of one project or mode.
+
+    A session is productive with a project or a mode of ``productive``; of a stretch, its own sessions fill ``ratio`` or more.
+    """
+    s = sessions.where(F.col("project").isNotNull() | F.col("mode").isin(*productive)).drop("session")
+    s = s.withColumn("_about", F.coalesce("project", "mode"))
+    items = cut(absorbed_items(s, key, "_about", "start", "end", gap, absorb))
+    own = items.where("own")
+    before = F.lag("app").over(Window.partitionBy("session").orderBy("start", "end"))
+    own = own.withColumn("_switch", F.coalesce((before != F.col("app")).cast("int"), F.lit(0)))
+    g = items.groupBy(key, "session").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.when(F.col("own"), F.col("wall"))).alias("_own"))
+    g = g.join(own.groupBy("session").agg(F.sum("_switch").alias("switches")), "session").withColumn("ratio", F.col("_own") / (F.col("end") - F.col("start")))
+    for name in ("mode", "project"):
+        g = g.join(dominant(own, "session", name, "wall", name), "session", "left")
+    return g.where((F.col("end") - F.col("start") >= least) & (F.col("ratio") >= ratio)).select(key, "start", "end", "mode", "project", "ratio", "switches")

@@ -33,8 +33,9 @@ p AS (SELECT b.event_id, count(DISTINCT scope) AS scopes, min(scope) AS scope FR
 SELECT scope, count(*) AS builds FROM p WHERE scopes = 1 GROUP BY scope""", "ev", "spans"))
 def scope_runs(spark, sf_dir):
     """A build belongs to a scope only where exactly one was active; least and greatest tell that without a set."""
-    b = events(spark, sf_dir).where("event_type = 'error'").select("event_id", "at", (F.col("at") + 1).alias("after"), F.lit(0).alias("k"))
-    s = spans(spark, sf_dir).where("event_type = 'purchase' AND end > start").select(F.col("user_id").alias("scope"), "start", "end", F.lit(0).alias("k"))
+    # builds and scopes of an hour meet by sixteenths of the builds, so that a busy hour is no single task
+    b = events(spark, sf_dir).where("event_type = 'error'").select("event_id", "at", (F.col("at") + 1).alias("after"), F.pmod(F.xxhash64("event_id"), F.lit(16)).cast("int").alias("k"))
+    s = spans(spark, sf_dir).where("event_type = 'purchase' AND end > start").select(F.col("user_id").alias("scope"), "start", "end", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
     p = interval_join(b, s, "k", HOUR, ("at", "after"), ("start", "end")).groupBy("event_id").agg(F.min("scope").alias("scope"), F.max("scope").alias("most"))
     return p.where("scope = most").groupBy("scope").agg(F.count("*").alias("builds"))
 

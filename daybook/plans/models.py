@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daybook.functions.times import parse_web_time
 from daybook.operators.dedup import merge_islands
 from daybook.operators.models import balanced_probability, cluster_rows, forest_forecast, smooth_states
+from daybook.operators.quantiles import percentiles
 from daybook.plans.registry import registry
 from daybook.plans.stats import DAILY, daily
 from daybook.sources.shared import shared_dir
@@ -85,11 +86,11 @@ def calibration(spark, sf_dir):
     """Slope of at least zero through the origin, refitted once without what lies beyond three MADs; refused where few rows are left."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
     slope = lambda x, y: F.greatest(F.sum(x * y) / F.sum(x * x), F.lit(0.0))
-    x, y, half = F.col("x"), F.col("y"), F.lit(0.5)
+    x, y = F.col("x"), F.col("y")
     r = l.join(l.groupBy("grp").agg(slope(x, y).alias("k")), "grp").select("grp", "x", "y", (y - F.col("k") * x).alias("e"))
-    r = r.join(r.groupBy("grp").agg(F.percentile("e", half).alias("med")), "grp").withColumn("off", F.abs(F.col("e") - F.col("med")))
+    r = r.join(percentiles(r, ["grp"], "e", {"med": 0.5}).select("grp", "med"), "grp").withColumn("off", F.abs(F.col("e") - F.col("med")))
     near = F.col("off") <= 3 * F.col("mad")
-    t = r.join(r.groupBy("grp").agg(F.percentile("off", half).alias("mad")), "grp").withColumn("near", near)
+    t = r.join(percentiles(r, ["grp"], "off", {"mad": 0.5}).select("grp", "mad"), "grp").withColumn("near", near)
     kept = F.when(F.col("near"), x), F.when(F.col("near"), y)
     fit = t.groupBy("grp").agg(F.count("*").alias("n"), F.count_if("near").alias("n_kept"), F.round(slope(*kept), 3).alias("slope"))
     return fit.where("n >= 20 AND n_kept >= 0.7 * n")

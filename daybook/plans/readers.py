@@ -39,7 +39,7 @@ def between(df: DataFrame, bounds, column: str = "day") -> DataFrame:
 def ready(spark, df: DataFrame, name: str, *by: str):
     """Write and read back as Parquet, in folders by ``by``, so that their filters skip whole folders."""
     path = export_path(spark, name)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(path)  # a folder's rows come from one task
     return spark.read.parquet(path)
 
 

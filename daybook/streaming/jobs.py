@@ -49,13 +49,34 @@ def near_pairs(a: DataFrame, b: DataFrame, late: str = "1 day", band: str = "90
 def append_by_day(stream: DataFrame, path: str, checkpoint: str):
     """Append new rows, partitioned by logical day; a replayed batch overwrites its own folder.
 
-    Each micro-batch writes under its number, so a batch that is run again after a failure
-    replaces what it wrote before.
+    Within a day each micro-batch writes under its number, so a batch that is run again after a
+    failure replaces what it wrote before, and a day's rows lie together; ``compact_day`` puts them into one folder.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         day = F.to_date(F.col("ts") - F.expr("INTERVAL 6 HOURS"))
         rows = batch.withColumn("logical_day", day).withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "logical_day").parquet(path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("logical_day", "batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact_day(spark: SparkSession, path: str, day: str, upto: int) -> int:
+    """Rewrite a day's batches up to number ``upto`` (none of which can run again) as batch -1; how many rows that has now.
+
+    The new folder is written apart and put in place of the old ones, batch -1 among them.
+    """
+    folder = f"{path}/logical_day={day}"
+    rows = spark.read.option("basePath", path).parquet(folder).where(F.col("batch") <= upto)
+    whole = f"{path}/_compacted-{day}"  # a name that readers pass over
+    rows.drop("logical_day", "batch").coalesce(1).write.mode("overwrite").parquet(whole)
+    n = spark.read.schema(EVENTS).parquet(whole).count()
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(top):
+        number = status.getPath().getName().partition("batch=")[2]
+        if number.lstrip("-").isdigit() and int(number) <= upto:
+            store.delete(status.getPath(), True)
+    store.rename(jvm.org.apache.hadoop.fs.Path(whole), jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=-1"))
+    return n
