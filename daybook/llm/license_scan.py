@@ -11,8 +11,8 @@ enough of the template's word pairs do. An exact phrase is found by its rarest w
 and compared word by word, so none of its places is missed.
 
 Words: A-Z in lower case, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Whole texts are read, in
-slices of some megabytes; of a document only the templates' words stay in memory, as
-numbers. There is no shuffle but the counts of the templates' words.
+slices of some megabytes; only a document that has all words of a phrase, or of a
+template's key phrases, is looked at further, and then as one number a word. There is no shuffle but the counts of the templates' words.
 
 Scale: two scans of the texts, each without a shuffle of texts. The index is as large as
 the templates, a parameter that the caller states; nothing that is broadcast or collected
@@ -135,16 +135,20 @@ def vocabulary(templates: Sequence[Template]) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(sorted({w for t in templates for w in words_of(t.text)} | {w for t in templates for k in t.keys for w in words_of(k)}))}
 
 
-def numbered(body: bytes, known: dict[bytes, int]) -> tuple[int, np.ndarray | None]:
-    """How many words a text has and, where it has two known ones or more, each word's number (-1: unknown)."""
-    parts, n, met = [], 0, set()
+def required(template: Template) -> frozenset[bytes]:
+    """Words without which a text doesn't hold the template: all of an exact phrase, those of the mandatory key phrases."""
+    return frozenset(w for t in ((template.text,) if template.exact else template.keys) for w in words_of(t))
+
+
+def numbered(body: bytes, known: dict[bytes, int], needs: Sequence[frozenset[bytes]]) -> tuple[int, np.ndarray | None]:
+    """How many words a text has and, where it has all of one of ``needs``, each word's number (-1: unknown)."""
+    n, met = 0, set()
     for words in sliced(body, WORDS):
         n += len(words)
         met |= known.keys() & set(words)
-        parts.append(np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words)) if met else np.full(len(words), -1, np.int32))
-    if len(met) < 2:
+    if not any(need <= met for need in needs):
         return n, None
-    return n, np.concatenate(parts)
+    return n, np.concatenate([np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words)) for words in sliced(body, WORDS)])
 
 
 class Index:
@@ -155,6 +159,7 @@ class Index:
         self.idf = np.zeros(len(self.known))
         for w, i in self.known.items():
             self.idf[i] = idf[w]
+        self.needs = [required(t) for t in templates]
         self.templates, self.probes, self.slack, self.agree = list(templates), probes, slack, agree
         number = lambda text: np.array([self.known[w] for w in words_of(text)], np.int32)
         self.texts = [number(t.text) for t in templates]
@@ -268,7 +273,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = PHRASES + NOT
         for bodies in batches:
             n_words, places, offsets = [], [], [0]
             for body in bodies:
-                n, ids = numbered(body.as_py(), index.known)
+                n, ids = numbered(body.as_py(), index.known, index.needs)
                 n_words.append(n)
                 places += index.scan(ids) if ids is not None else []
                 offsets.append(len(places))
