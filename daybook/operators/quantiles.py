@@ -11,10 +11,14 @@ from daybook.sources.shared import cut
 def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], accuracy: int = 10_000, small: int = 100_000) -> DataFrame:
     """keys, n (values that are not null) and a column a name of ``wanted``: the interpolated percentile, null for a group of nulls.
 
-    A mergeable sketch, off by at most n / accuracy ranks, bounds where each percentile can lie; rows under the bound are counted,
+    Where no group has more than ``small`` values, each is sorted in one buffer. Else a mergeable sketch, off by at most n / accuracy ranks, bounds where each percentile can lie; rows under the bound are counted,
     and only the distinct values inside it, some 6 / accuracy of a group, are ranked. A group of up to ``small`` values is ranked whole.
     """
     names, ps = list(wanted), list(wanted.values())
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= small:
+        q = df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.array(*[F.lit(p) for p in ps])).alias("_q"))
+        return q.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
     edges = [min(max(p + d, 0.0), 1.0) for p in ps for d in (-3 / accuracy, 3 / accuracy)]
     b = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, edges, accuracy).alias("_edges"), F.min(value).alias("_min"), F.max(value).alias("_max"))
     pick = lambda i, whole: F.when(F.col("_n") <= small, F.col(whole)).otherwise(F.col("_edges")[i])

@@ -123,7 +123,7 @@ def sen_slope(y: np.ndarray, listed: int | None = None) -> float | None:
         elif c > r2:
             high, upto = m, c
         else:  # m parts the two middle slopes
-            return float((_ranked(y, low, m, below, r1) + _ranked(y, m, high, c, r2)) / 2) if upto - below <= 64 * listed else float(m)
+            return (_select(y, low, m, below, c, r1, listed) + _select(y, m, high, c, upto, r2, listed)) / 2
     a, b = _between(y, low, high)
     slopes = np.sort((y[b] - y[a]) / (b - a))
     return float((slopes[r1 - below] + slopes[r2 - below]) / 2)
@@ -137,19 +137,38 @@ def _between(y: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.nda
     return by_low[first], by_low[second]
 
 
-def _ranked(y: np.ndarray, low: float, high: float, below: int, rank: int) -> float:
+def _select(y: np.ndarray, low: float, high: float, below: int, upto: int, rank: int, listed: int) -> float:
+    """The slope of a rank, which lies over ``low`` (``below`` slopes don't) and up to ``high`` (``upto`` do)."""
+    while upto - below > listed:
+        m = low + (high - low) / 2
+        if not low < m < high:
+            return float(high)
+        c = _up_to(y, m)
+        if c <= rank:
+            low, below = m, c
+        else:
+            high, upto = m, c
     a, b = _between(y, low, high)
     return float(np.sort((y[b] - y[a]) / (b - a))[rank - below])
 
 
-def trend(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """key, s, slope, n of each series over its points in order; a series is one task's, its pairs are not made."""
+def trend(df: DataFrame, key: str, order: str, value: str, short: int = 300) -> DataFrame:
+    """key, s, slope, n of each series over its points in order.
+
+    Where no series has more than ``short`` points their pairs are few, and are joined; else a series is one task's, and its pairs
+    are not made.
+    """
     kind = dict(df.dtypes)[key]
+    w = Window.partitionBy(key).orderBy(order)
+    points = df.where(F.col(value).isNotNull()).select(key, F.row_number().over(w).alias("_i"), F.col(value).cast("double").alias("_x"))
+    if (points.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= short:
+        later = points.select(key, F.col("_i").alias("_j"), F.col("_x").alias("_y"))
+        pairs = points.join(later, key).where("_i < _j")
+        slope = (F.col("_y") - F.col("_x")) / (F.col("_j") - F.col("_i"))
+        return pairs.groupBy(key).agg(F.sum(F.signum(F.col("_y") - F.col("_x"))).cast("long").alias("s"), F.percentile(slope, F.lit(0.5)).alias("slope"), F.max("_j").cast("long").alias("n"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         y = rows.sort_values("_i")["_x"].to_numpy(float)
         return pd.DataFrame({key: rows[key].iloc[:1], "s": [mann_kendall(y)], "slope": [sen_slope(y)], "n": [len(y)]})
 
-    w = Window.partitionBy(key).orderBy(order)
-    points = df.where(F.col(value).isNotNull()).select(key, F.row_number().over(w).alias("_i"), F.col(value).cast("double").alias("_x"))
     return points.groupBy(key).applyInPandas(run, f"{key} {kind}, s long, slope double, n long").where("n > 1")

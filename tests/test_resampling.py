@@ -145,6 +145,17 @@ def test_slope_of_a_long_series(spark):
     assert r["n"] == 200_000 and abs(r["slope"] - 0.01) < 1e-4 and r["s"] > 0 and time.time() - began < 90
 
 
+@pytest.mark.parametrize("short", [0, 300])
+def test_short_and_long_series_agree(spark, short):
+    rng = np.random.default_rng(10)
+    series = {k: rng.integers(0, 9, n).astype(float) for k, n in (("a", 2), ("b", 17), ("c", 60), ("one", 1))}
+    rows = [(k, i, float(v)) for k, y in series.items() for i, v in enumerate(y)] + [("a", 99, None)]
+    got = {r["k"]: (r["s"], r["slope"], r["n"]) for r in slopes.trend(spark.createDataFrame(rows, "k string, i int, v double"), "k", "i", "v", short).collect()}
+    assert got.keys() == {"a", "b", "c"}
+    for k, (s, slope, n) in got.items():
+        assert (s, n) == (brute_slope(series[k])[0], len(series[k])) and slope == pytest.approx(brute_slope(series[k])[1])
+
+
 def plain_baselines(rows, history=28, least=7):
     by = {}
     for k, day, v in rows:
