@@ -13,7 +13,7 @@ from daybook.operators.models import balanced_probability, cluster_rows, forest_
 from daybook.operators.quantiles import percentiles
 from daybook.plans.registry import registry
 from daybook.plans.stats import DAILY, daily
-from daybook.sources.shared import shared_dir
+from daybook.sources.shared import cut, shared_dir
 from daybook.sources.tables import commits, events, spans, sql, table
 
 REGISTRY, query = registry()
@@ -87,7 +87,7 @@ def calibration(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
     slope = lambda x, y: F.greatest(F.sum(x * y) / F.sum(x * x), F.lit(0.0))
     x, y = F.col("x"), F.col("y")
-    r = l.join(l.groupBy("grp").agg(slope(x, y).alias("k")), "grp").select("grp", "x", "y", (y - F.col("k") * x).alias("e"))
+    r = cut(l.join(l.groupBy("grp").agg(slope(x, y).alias("k")), "grp").select("grp", "x", "y", (y - F.col("k") * x).alias("e")))  # read by both medians
     r = r.join(percentiles(r, ["grp"], "e", {"med": 0.5}).select("grp", "med"), "grp").withColumn("off", F.abs(F.col("e") - F.col("med")))
     near = F.col("off") <= 3 * F.col("mad")
     t = r.join(percentiles(r, ["grp"], "off", {"mad": 0.5}).select("grp", "mad"), "grp").withColumn("near", near)
