@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from daybook.plans import claims, cohorts, coverage, evidence, evidence_graph, exposures, graphs, imports, inference, intervals, models, networks, operations, patterns, readers, rollups, scalars, significance, stats, texts
+from daybook.plans import claims, cohorts, coverage, evidence, evidence_graph, exposures, graphs, imports, inference, intervals, models, networks, operations, patterns, readers, rollups, scalars, significance, stats, texts, watchers
 
-SECTIONS = (rollups, scalars, intervals, stats, graphs, cohorts, coverage, models, evidence, significance, evidence_graph, imports, texts, networks, exposures, readers, claims, inference, operations, patterns)
+SECTIONS = (rollups, scalars, intervals, stats, graphs, cohorts, coverage, models, evidence, significance, evidence_graph, imports, texts, networks, exposures, readers, claims, inference, operations, patterns, watchers)
 
 
 def _all() -> dict:
