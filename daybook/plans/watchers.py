@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.operators import presence, titles
+from daybook.operators import night_gaps, presence, titles
 from daybook.operators.regimes import hidden_states
 from daybook.plans.models import day_features
 from daybook.plans.registry import registry
@@ -157,3 +157,34 @@ def anomaly_crossref(spark, sf_dir):
     odd = all_.where("k >= 20 AND (z > 2.5 OR z < -2)").select("event_type", "day", F.when(F.col("z") > 0, "high").otherwise("low").alias("direction"), F.round("z", 4).alias("z"))
     rest = all_.select(F.col("event_type").alias("other"), "day", F.round("z", 4).alias("other_z"))
     return odd.join(rest, (odd["day"] == rest["day"]) & (odd["event_type"] != rest["other"]), "left").select("event_type", odd["day"], "direction", "z", "other", "other_z")
+
+
+_SEGMENTS = """s AS (SELECT user_id % 4 AS who, start, "end" FROM spans WHERE event_type = 'view' AND "end" > start),
+r0 AS (SELECT *, max("end") OVER (PARTITION BY who ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+r1 AS (SELECT *, CASE WHEN reach IS NULL OR start - reach > 10800000000 THEN 1 ELSE 0 END AS fresh FROM r0), r2 AS (SELECT *, sum(fresh) OVER (PARTITION BY who ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS episode FROM r1),
+ep AS (SELECT who, episode, min(start) AS lo, max("end") AS hi, min(start) // 86400000000 AS night FROM r2 GROUP BY ALL),
+main AS (SELECT * FROM ep QUALIFY row_number() OVER (PARTITION BY who, night ORDER BY hi - lo DESC, lo) = 1),
+gaps AS (SELECT r2.who, night, reach AS gap_start, start AS gap_end, true AS intra FROM r2 JOIN main USING (who, episode) WHERE fresh = 0 AND start > reach
+UNION ALL SELECT * FROM (SELECT who, night, lag(hi) OVER (PARTITION BY who, night ORDER BY lo) AS gap_start, lo AS gap_end, false FROM ep) WHERE gap_start IS NOT NULL),
+mn AS (SELECT user_id % 4 AS who, "at" // 60000000 * 60000000 AS m, avg(value) FILTER (WHERE event_type = 'click') AS h, avg(value / 50) FILTER (WHERE event_type = 'error') AS v, count(*) FILTER (WHERE event_type = 'purchase' AND value > 120) AS p
+FROM ev GROUP BY ALL),
+ev1 AS (SELECT g.who, g.gap_start, g.gap_end, count(h) AS hr_minutes, avg(h) AS hr, avg(v) AS mv, count(*) FILTER (WHERE p > 0) AS press_minutes FROM gaps g JOIN mn ON mn.who = g.who AND m >= g.gap_start // 60000000 * 60000000 AND m < g.gap_end GROUP BY ALL),
+st AS (SELECT user_id % 4 AS who, start // 60000000 AS a, ("end" + 59999999) // 60000000 AS b FROM spans WHERE event_type = 'signup' AND "end" > start),
+st1 AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY who ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM st), st2 AS (SELECT *, sum(f) OVER (PARTITION BY who ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM st1),
+st3 AS (SELECT who, min(a) AS a, max(b) AS b FROM st2 GROUP BY who, i),
+sm AS (SELECT g.who, g.gap_start, g.gap_end, sum(least(b, (g.gap_end + 59999999) // 60000000) - greatest(a, g.gap_start // 60000000)) AS stage_minutes FROM gaps g JOIN st3 ON st3.who = g.who AND a < (g.gap_end + 59999999) // 60000000 AND b > g.gap_start // 60000000 GROUP BY ALL),
+bs AS (SELECT n.who, n.night, list(h ORDER BY h) AS hs FROM main n JOIN mn ON mn.who = n.who AND h IS NOT NULL AND m >= n.lo // 60000000 * 60000000 - 7200000000 AND m < n.hi + 7200000000 GROUP BY ALL HAVING count(*) >= 2),
+b1 AS (SELECT who, night, nullif(hs[greatest(CAST(floor(len(hs) * 0.2) AS BIGINT), 1)], 0) AS base FROM bs),
+j AS (SELECT g.*, coalesce(hr_minutes, 0) AS hr_minutes, hr, hr / base AS ratio, mv, coalesce(press_minutes, 0) AS press_minutes, CAST(coalesce(stage_minutes, 0) AS BIGINT) AS stage_minutes FROM gaps g LEFT JOIN ev1 USING (who, gap_start, gap_end) LEFT JOIN sm USING (who, gap_start, gap_end) LEFT JOIN b1 USING (who, night))"""
+
+
+@query(sql("WITH " + _SEGMENTS + """ SELECT who, night, gap_start, gap_end, intra, hr_minutes, round(hr, 6) AS hr_mean, round(ratio, 6) AS hr_ratio, round(mv, 6) AS movement_mean, press_minutes, stage_minutes,
+CASE WHEN press_minutes > 0 THEN 'confirmed_wake_pc' WHEN hr_minutes < 2 THEN 'sensor_absent' WHEN stage_minutes / ((gap_end - gap_start) / 60000000.0) >= 0.5 THEN 'stage_continuous' WHEN mv >= 2 THEN 'genuine_wake' WHEN ratio >= 1.15 THEN 'genuine_wake' WHEN ratio < 1.15 THEN 'missed_sleep' ELSE 'undetermined' END AS verdict FROM j""", "spans", "ev"))
+def gap_verdicts(spark, sf_dir):
+    """Every gap within and between the episodes of a night, by what the sensors saw in it; streams of events stand for the sensors."""
+    s, e = spans(spark, sf_dir).withColumn("who", F.col("user_id") % 4), events(spark, sf_dir).withColumn("who", F.col("user_id") % 4)
+    of = lambda kind: e.where(F.col("event_type") == kind)
+    part = lambda kind: s.where(F.col("event_type") == kind).select("who", "start", "end")
+    presses = of("purchase").where("value > 120").select("who", "at")
+    found = night_gaps.gap_evidence(part("view"), of("click").select("who", "at", "value"), of("error").select("who", "at", (F.col("value") / 50).alias("value")), presses, part("signup"), "who", 3 * HOUR, 2)
+    return found.withColumns({c: F.round(c, 6) for c in ("hr_mean", "hr_ratio", "movement_mean")})

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.operators import presence, regimes, titles
+from daybook.operators import night_gaps, presence, regimes, titles
 from daybook.sources.stores import one_store
 
 DAY = 86_400_000_000
@@ -231,3 +231,31 @@ def test_planted_regimes_are_found(spark):
     assert few.count() == 0 and few.columns == ["k", "t", "state"] and none == []
     same, _ = regimes.hidden_states(df.where("k = 1").withColumn("a", F.lit(1.0)).withColumn("b", F.lit(2.0)), "k", "t", ["a", "b"], 2)
     assert same.count() == 60
+
+
+MINUTE = 60_000_000
+
+
+def test_night_gaps_by_hand(spark):
+    """One night of six segments and a nap; each gap meets one verdict."""
+    at = lambda m: m * MINUTE
+    segments = frame(spark, [(1, at(a), at(b)) for a, b in ((100, 160), (180, 240), (260, 300), (320, 380), (400, 440), (460, 500), (800, 830))], "k long, start long, end long")
+    steady = [(1, at(m) + 7, 50.0) for m in range(100, 500) if not 160 <= m < 180]
+    heart = frame(spark, [(k, t, 70.0 if at(320 - 20) <= t < at(320) else v) for k, t, v in steady], "k long, at long, value double")
+    movement = frame(spark, [(1, at(385), 3.0), (1, at(392), 1.5)], "k long, at long, value double")
+    presses = frame(spark, [(1, at(245) + 1), (1, at(245) + 2)], "k long, at long")
+    stages = frame(spark, [(1, at(440), at(449)), (1, at(445), at(452)), (1, at(10), at(20))], "k long, start long, end long")
+    got = night_gaps.gap_evidence(segments, heart, movement, presses, stages, "k", at(90)).orderBy("gap_start").collect()
+    assert [(r["gap_start"] // MINUTE, r["gap_end"] // MINUTE, r["intra"], r["verdict"]) for r in got] == [
+        (160, 180, True, "sensor_absent"), (240, 260, True, "confirmed_wake_pc"), (300, 320, True, "genuine_wake"), (380, 400, True, "genuine_wake"),
+        (440, 460, True, "stage_continuous"), (500, 800, False, "sensor_absent"),
+    ]
+    assert got[1]["press_minutes"] == 1 and got[4]["stage_minutes"] == 12 and got[2]["hr_ratio"] == 1.4 and got[3]["movement_mean"] == 2.25
+    none = frame(spark, [], "k long, at long, value double")
+    calm = night_gaps.gap_evidence(segments, heart, none, none.drop("value"), stages.where("k = 2"), "k", at(90)).where("gap_start = 440 * 60000000L").first()
+    assert calm["verdict"] == "missed_sleep" and calm["hr_ratio"] == 1.0
+    empty = night_gaps.gap_evidence(segments, none, none, none.drop("value"), stages.where("k = 2"), "k", at(90)).collect()
+    assert len(empty) == 6 and {r["verdict"] for r in empty} == {"sensor_absent"}
+    nights = night_gaps.validated_nights(segments, night_gaps.gap_evidence(segments, heart, movement, presses, stages, "k", at(90)), "k", at(90))
+    assert sorted((r["start"] // MINUTE, r["end"] // MINUTE) for r in nights.collect()) == [(100, 240), (260, 300), (320, 380), (400, 500), (800, 830)]
+    assert night_gaps.gap_evidence(segments.where("k = 2"), heart, movement, presses, stages, "k", at(90)).count() == 0
