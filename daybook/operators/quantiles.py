@@ -2,42 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.sources.shared import cut
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], accuracy: int = 10_000, small: int = 100_000) -> DataFrame:
+#: Groups whose bounds are broadcast; more of them are joined by a shuffle.
+FEW = 10_000
+#: A large group's distinct values are cut into so many bins.
+BINS = 64
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], accuracy: int = 10_000, small: int = 100_000, weight: str | None = None) -> DataFrame:
     """keys, n (values that are not null) and a column a name of ``wanted``: the interpolated percentile, null for a group of nulls.
 
-    Where no group has more than ``small`` values, each is sorted in one buffer. Else a mergeable sketch, off by at most n / accuracy ranks, bounds where each percentile can lie; rows under the bound are counted,
-    and only the distinct values inside it, some 6 / accuracy of a group, are ranked. A group of up to ``small`` values is ranked whole.
+    ``df`` is read once: equal values of a group become one row with their number (the sum of ``weight``, a whole number that says how
+    often a row counts, where given). Where no group has more than ``small`` distinct values, each is sorted in one buffer. Else a mergeable
+    sketch cuts each group's distinct values into ``BINS`` bins, whose counts say in which bins a percentile lies; only these are ranked.
     """
     names, ps = list(wanted), list(wanted.values())
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= small:
-        q = df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.array(*[F.lit(p) for p in ps])).alias("_q"))
+    v = cut(df.groupBy(*keys, F.col(value).alias("_v")).agg((F.count("*") if weight is None else F.sum(weight)).alias("_k")))
+    sizes = v.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_k"))), F.lit(0)).alias("n"), F.count("_v").alias("_distinct"))
+    most, groups = sizes.agg(F.max("_distinct"), F.count("*")).first()
+    if (most or 0) <= small:
+        q = v.where("_v IS NULL OR _k > 0").groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(p) for p in ps]), F.col("_k")).alias("_q"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_k")).otherwise(0)).alias("n"))
         return q.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-    edges = [min(max(p + d, 0.0), 1.0) for p in ps for d in (-3 / accuracy, 3 / accuracy)]
-    b = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, edges, accuracy).alias("_edges"), F.min(value).alias("_min"), F.max(value).alias("_max"))
-    pick = lambda i, whole: F.when(F.col("_n") <= small, F.col(whole)).otherwise(F.col("_edges")[i])
-    b = b.select(*keys, "_n", *[pick(2 * i, "_min").alias(f"_lo{i}") for i in range(len(ps))], *[pick(2 * i + 1, "_max").alias(f"_hi{i}") for i in range(len(ps))])
-    b = cut(b)  # a row a group, which three joins below would each compute again
-    near = df.select(*keys, F.col(value).alias("_v")).where("_v IS NOT NULL").join(b, keys)
-    under = near.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_under{i}") for i in range(len(ps))])
-    inside = F.array_compact(F.array(*[F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), i) for i in range(len(ps))]))
-    held = near.select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_k"))
-    through = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    held = held.withColumn("_to", F.sum("_k").over(through)).join(b.select(*keys, "_n"), keys).join(under, keys)
-    columns = []
-    for i, (name, p) in enumerate(zip(names, ps)):
-        place = F.lit(p) * (F.col("_n") - 1)
-
-        def at(rank, i=i):
-            end = F.col("_to") + F.col(f"_under{i}")
-            return F.max(F.when((F.col("_i") == i) & (rank < end) & (rank >= end - F.col("_k")), F.col("_v")))
-
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
-    return b.select(*keys, F.col("_n").alias("n")).join(held.groupBy(*keys).agg(*columns), keys, "left")
+    sent = F.broadcast if groups <= FEW else lambda x: x
+    v = v.where("_v IS NOT NULL")
+    edges = cut(v.groupBy(*keys).agg(F.percentile_approx("_v", [i / BINS for i in range(1, BINS)], accuracy).alias("_edges")))
+    above = [(F.get("_edges", F.lit(i)) <= F.col("_v")).cast("int") for i in range(BINS - 1)]
+    v = v.join(sent(edges), keys).select(*keys, "_v", "_k", sum(above[1:], above[0]).alias("_bin"))
+    counts = v.groupBy(*keys, "_bin").agg(F.sum("_k").alias("_in"))
+    by = Window.partitionBy(*keys)  # a row a bin
+    counts = counts.withColumn("n", F.sum("_in").over(by)).withColumn("_before", F.sum("_in").over(by.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in"))
+    ranks = [(F.floor(p * (F.col("n") - 1)), F.ceil(p * (F.col("n") - 1))) for p in map(F.lit, ps)]
+    holds = [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_in")) for pair in ranks for r in pair]
+    held = counts.where(reduce(Column.__or__, holds)).select(*keys, "_bin", "_before", "n")
+    near = v.join(sent(cut(held)), [*keys, "_bin"])
+    near = near.withColumn("_to", F.col("_before") + F.sum("_k").over(Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_k")), F.col("_v")))
+
+    columns = [(at(low) + (at(high) - at(low)) * F.max(p * (F.col("n") - 1) - low)).alias(name) for name, p, (low, high) in zip(names, map(F.lit, ps), ranks)]
+    return sizes.select(*keys, "n").join(near.groupBy(*keys).agg(*columns), keys, "left")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from daybook.operators.quantiles import percentiles
 from daybook.plans import catalog
 from tests.test_reference_queries import plain
 
@@ -61,3 +62,16 @@ def test_episode_without_length(spark, tmp_path):
     rows = catalog.queries()["episode_contributors"](spark, str(tmp_path)).collect()
     against_sql("episode_contributors", rows, tmp_path, ["events"])
     assert [r["episode"] for r in rows if r["share"] != r["share"]] == [1]
+
+
+def test_percentiles_read_their_input_once(spark):
+    """Equal values are counted before anything moves, weights stand for rows, and large groups are ranked as small ones."""
+    df = spark.range(200_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") > 9, F.col("id") % 50 * F.col("id") % 41).alias("v"))
+    wanted = {"a": 0.0, "b": 0.31, "c": 0.95, "d": 1.0}
+    weights = df.groupBy("k", "v").agg(F.count("*").alias("w"))
+    want = sorted(tuple(round(float(x), 6) for x in r) for r in df.groupBy("k").agg(F.count("v"), *[F.percentile("v", p) for p in wanted.values()]).collect())
+    for frame, weight in ((df, None), (weights, "w")):
+        for small in (10, 100):
+            rows, most = moved(spark, lambda: percentiles(frame, ["k"], "v", wanted, 300, small, **({"weight": weight} if weight else {})).collect())
+            assert sorted(tuple(round(float(x), 6) for x in r) for r in rows) == want
+            assert most < 10_000
