@@ -51,16 +51,46 @@ def _spots(df: DataFrame, keys: list[str], unit: str) -> DataFrame:
     return df.withColumn("_spot", F.row_number().over(Window.partitionBy(*keys).orderBy(unit)) - 1)
 
 
+#: Groups of up to so many values are looked up in an array by the tasks that draw from them; draws from larger ones are joined.
+HELD = 1_000_000
+#: Values of a group that one buffer gathers, and tasks that draw from one group at once.
+BLOCK, TASKS = 50_000, 32
+
+
+def _drawn_means(slots: DataFrame, x: DataFrame, on: list[str], own: list[str], place: list[Column], held: int = HELD) -> DataFrame:
+    """on, own, _mean: for each slot (``on``, ``own``, _n) the mean of _n draws from the values (``on``, _spot, _v) of its group.
+
+    A draw is by ``place`` and its number. Draws are made and looked up in one task and never shuffled; a group's values are sent to
+    ``TASKS`` tasks, as an array of ``held`` values at most.
+    """
+    few, many = slots.where(F.col("_n") <= held), slots.where(F.col("_n") > held)
+    sizes = x.groupBy(*on).agg(F.count("*").alias("_n"))
+    places = F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("_place")
+    spot = draw(F.col("_n"), *place, F.col("_place"))
+    # an array in two steps, so that no buffer holds more than a block
+    blocks = x.join(sizes.where(F.col("_n") <= held).select(*on), on, "left_semi").groupBy(*on, F.expr(f"_spot div {BLOCK}").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_spot", "_v"))).alias("_a"))
+    arrays = blocks.select(*on, "_b", F.col("_a._v").alias("_a")).groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("_b", "_a"))).alias("_a")).select(*on, F.flatten(F.col("_a._a")).alias("_a"))
+    arrays = arrays.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(TASKS - 1))))
+    few = few.withColumn("_task", F.pmod(F.xxhash64(*on, *own), F.lit(TASKS)).cast("int"))
+    # by number: the slots are few bytes but much work, and would else be put together into one task
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = few.repartition(parts, *on, "_task").join(arrays.repartition(parts, *on, "_task").hint("merge"), [*on, "_task"])
+    looked = few.select(*on, *own, "_n", "_a", places).select(*on, *own, F.get("_a", spot.cast("int")).alias("_v")).groupBy(*on, *own).agg(F.avg("_v").alias("_mean"))
+    if many.isEmpty():
+        return looked
+    drawn = many.repartition(*on, *own).select(*on, *own, "_n", places).withColumn("_spot", spot)
+    return looked.unionByName(drawn.join(x.select(*on, "_spot", "_v"), [*on, "_spot"]).groupBy(*on, *own).agg(F.avg("_v").alias("_mean")))
+
+
 def paired_bootstrap(df: DataFrame, key: str, unit: str, delta: str, iterations: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """key, pairs, delta, low, high: the mean of paired differences with its percentile interval.
 
     Each replicate draws as many pairs as the key has. Rows without a difference are no pairs.
     """
-    x = _spots(df.where(F.col(delta).isNotNull()).select(key, unit, F.col(delta).alias("_d")), [key], unit)
-    n = x.groupBy(key).agg(F.count("*").alias("_n"), F.avg("_d").alias("delta"))
-    draws = n.select(key, "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_rep")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("_place"))
-    draws = draws.withColumn("_spot", draw(F.col("_n"), seed, F.col("_rep"), F.col("_place")))
-    means = draws.join(x.select(key, "_spot", "_d"), [key, "_spot"]).groupBy(key, "_rep").agg(F.avg("_d").alias("_mean"))
+    x = cut(_spots(df.where(F.col(delta).isNotNull()).select(key, unit, F.col(delta).alias("_v")), [key], unit))
+    n = cut(x.groupBy(key).agg(F.count("*").alias("_n"), F.avg("_v").alias("delta")))
+    reps = n.select(key, "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_rep"))
+    means = _drawn_means(reps, x, [key], ["_rep"], [F.lit(seed), F.col("_rep")])
     ends = _interval(means, key, confidence, iterations)
     return n.join(ends, F.col(key) == F.col("_key")).select(key, F.col("_n").alias("pairs"), "delta", "low", "high")
 
@@ -80,15 +110,16 @@ def stratified_bootstrap(df: DataFrame, key: str, stratum: str, unit: str, arm:
     """
     s = cut(_spots(complete_strata(df, key, stratum, arm, value), [key], stratum).withColumnRenamed("_spot", "_s"))
     weighed = lambda x: F.sum(F.col("weight") * x) / F.sum("weight")
-    n = s.groupBy(key).agg(F.count("*").alias("strata"), weighed(F.col("mean_t") - F.col("mean_c")).alias("delta"))
+    n = cut(s.groupBy(key).agg(F.count("*").alias("strata"), weighed(F.col("mean_t") - F.col("mean_c")).alias("delta")))
     x = df.where(F.col(value).isNotNull() & F.col(arm).isNotNull()).select(key, stratum, unit, F.col(arm).alias("_arm"), F.col(value).alias("_v"))
-    x = _spots(x, [key, stratum, "_arm"], unit).join(s.select(key, stratum, "_s"), [key, stratum]).select(key, "_s", "_arm", "_spot", "_v")
+    x = cut(_spots(x, [key, stratum, "_arm"], unit).join(s.select(key, stratum, "_s"), [key, stratum]).select(key, "_s", "_arm", "_spot", "_v"))
     slots = n.select(key, "strata", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_rep")).select("*", F.explode(F.sequence(F.lit(0), F.col("strata").cast("int") - 1)).alias("_slot"))
     slots = slots.withColumn("_s", draw(F.col("strata"), seed, F.col("_rep"), F.col("_slot"))).join(s.select(key, "_s", "n_t", "n_c", "weight"), [key, "_s"])
     arms = F.explode(F.array(F.struct(F.lit(True).alias("arm"), F.col("n_t").alias("n")), F.struct(F.lit(False).alias("arm"), F.col("n_c").alias("n"))))
-    drawn = slots.select(key, "_rep", "_slot", "_s", "weight", arms.alias("a")).select("*", F.col("a.arm").alias("_arm"), F.explode(F.sequence(F.lit(0), F.col("a.n").cast("int") - 1)).alias("_place"))
-    drawn = drawn.withColumn("_spot", draw(F.col("a.n"), seed, F.col("_rep"), F.col("_slot"), F.col("_arm").cast("int"), F.col("_place")))
-    met = drawn.join(x, [key, "_s", "_arm", "_spot"]).groupBy(key, "_rep", "_slot", "weight").agg(F.avg(F.when(F.col("_arm"), F.col("_v"))).alias("t"), F.avg(F.when(~F.col("_arm"), F.col("_v"))).alias("c"))
+    slots = slots.select(key, "_rep", "_slot", "_s", "weight", arms.alias("a")).select(key, "_rep", "_slot", "_s", "weight", F.col("a.arm").alias("_arm"), F.col("a.n").alias("_n"))
+    place = [F.lit(seed), F.col("_rep"), F.col("_slot"), F.col("_arm").cast("int")]
+    met = _drawn_means(slots, x, [key, "_s", "_arm"], ["_rep", "_slot", "weight"], place)
+    met = met.groupBy(key, "_rep", "_slot", "weight").agg(F.max(F.when(F.col("_arm"), F.col("_mean"))).alias("t"), F.max(F.when(~F.col("_arm"), F.col("_mean"))).alias("c"))
     means = met.groupBy(key, "_rep").agg(weighed(F.col("t") - F.col("c")).alias("_mean"))
     ends = _interval(means, key, confidence, iterations)
     return n.join(ends, F.col(key) == F.col("_key")).select(key, "strata", "delta", "low", "high")

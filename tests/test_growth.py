@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from daybook.operators import resampling
 from daybook.operators.quantiles import percentiles
 from daybook.plans import catalog
 from tests.test_reference_queries import plain
@@ -75,3 +76,21 @@ def test_percentiles_read_their_input_once(spark):
             rows, most = moved(spark, lambda: percentiles(frame, ["k"], "v", wanted, 300, small, **({"weight": weight} if weight else {})).collect())
             assert sorted(tuple(round(float(x), 6) for x in r) for r in rows) == want
             assert most < 10_000
+
+
+def test_draws_are_not_shuffled(spark):
+    """Bootstraps over tables too large to broadcast: 120,000 draws stay in the tasks that make them, and those joined from larger groups give the same means."""
+    df = spark.range(600).select((F.col("id") % 2).alias("k"), F.col("id").alias("unit"), (F.col("id") * 7 % 101).cast("double").alias("d"), (F.col("id") % 6).alias("s"), (F.col("id") % 5 < 2).alias("arm"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows, most = moved(spark, lambda: resampling.paired_bootstrap(df, "k", "unit", "d", 200).collect())
+        assert len(rows) == 2 and all(r["low"] < r["delta"] < r["high"] for r in rows) and most < 10_000
+        rows, most = moved(spark, lambda: resampling.stratified_bootstrap(df, "k", "s", "unit", "arm", "d", 200).collect())
+        assert len(rows) == 2 and all(r["low"] < r["delta"] < r["high"] for r in rows) and most < 10_000
+        x = resampling._spots(df.select("k", "unit", F.col("d").alias("_v")), ["k"], "unit")
+        slots = spark.range(40).select((F.col("id") % 2).alias("k"), F.col("id").alias("_rep"), F.lit(300).cast("long").alias("_n"))
+        means = [sorted((r["k"], r["_rep"], round(r["_mean"], 9)) for r in resampling._drawn_means(slots, x, ["k"], ["_rep"], [F.lit(0), F.col("_rep")], held).collect()) for held in (1000, 10)]
+        assert len(means[0]) == 40 and means[0] == means[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
