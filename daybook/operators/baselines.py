@@ -22,6 +22,13 @@ from daybook.sources.shared import cut
 MAD_TO_SD = 1.4826
 
 
+def _mean(v: Column, k: Column) -> Column:
+    """The mean of values ``v`` that each count ``k`` times, whatever their order: whole steps of 2 ** -20 add up exactly, only what is less is added as doubles."""
+    step = float(1 << 20)
+    steps = F.floor(v * step)
+    return (F.sum(steps.cast("decimal(19,0)") * k.cast("decimal(18,0)")).cast("double") / step + F.sum((v - steps / step) * k)) / F.sum(k)
+
+
 def _ends(wanted: Column, low: Column, high: Column) -> tuple[Column, Column]:
     """The least and the largest distance from ``wanted`` within [low, high]."""
     least = F.when(wanted < low, low - wanted).when(wanted > high, wanted - high).otherwise(F.lit(0.0))
@@ -69,7 +76,7 @@ def trailing_baselines(df: DataFrame, key: str, day: str, value: str, history: i
     marks = [i / bins for i in range(1, bins)]
     edges = v.groupBy(key).agg(F.percentile_approx("v", marks, 10_000).alias("_edges"))
     v = cut(v.join(edges, key).select(key, "day", "v", "k", F.size(F.filter("_edges", lambda e: e <= F.col("v"))).alias("bin")))
-    days = v.groupBy(key, "day").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"), F.max("v").alias("most"), F.sum("k").alias("n"))
+    days = v.groupBy(key, "day").agg(_mean(F.col("v"), F.col("k")).alias("mean"), F.max("v").alias("most"), F.sum("k").alias("n"))
     hist = v.groupBy(key, "day", "bin").agg(F.sum("k").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     ahead = hist.select(key, "bin", "n", "lo", "hi", "day", F.explode(F.sequence(F.lit(1), F.lit(history))).alias("_on")).withColumn("target", F.date_add("day", F.col("_on")))
     ahead = ahead.join(days.select(key, F.col("day").alias("target")), [key, "target"], "left_semi")

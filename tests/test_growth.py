@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.operators import resampling
+from daybook.operators import baselines, resampling
 from daybook.operators.quantiles import percentiles
 from daybook.plans import catalog
 from tests.test_reference_queries import plain
@@ -94,3 +94,13 @@ def test_draws_are_not_shuffled(spark):
         assert len(means[0]) == 40 and means[0] == means[1]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_daily_mean_is_exact(spark):
+    """stress_baselines: a mean of hundredths that lies half way between two ten-thousandths is rounded up, as SQL does, not down by the error of a sum."""
+    for n in range(8):
+        hundredths = [(i * 7919 + n * 104_729) % 9_973 for i in range(63)]
+        hundredths.append((-sum(hundredths) + 4 + 64 * 9_973 * n) % 64 + 64 * n)
+        exact = sum(hundredths) / 64 / 100
+        rows = spark.createDataFrame([(h / 100.0,) for h in hundredths], "v double").repartition(3).groupBy("v").agg(F.count("*").alias("k"))
+        assert sum(hundredths) % 64 == 4 and rows.agg(baselines._mean(F.col("v"), F.col("k"))).first()[0] == exact
