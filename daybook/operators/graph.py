@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daybook.operators import blocks
 from daybook.sources.shared import cut
 
 
@@ -62,31 +63,31 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
 def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """id, score: the share of shortest directed paths that pass through a node, over (n - 1)(n - 2) where there are more than two nodes.
 
-    All sources advance a level at a time, so each level is one join on the edges and no task holds a graph. The state is a row
-    for each source and each node that it reaches; ``sources`` (default: all nodes) bounds it, and scores are then sums over these sources.
+    All sources advance a level at a time, by products of blocks (64 sources and 512 nodes) with the blocks of links between 512 and 512 nodes,
+    so no task holds a graph. The state is a number for each source and each node that it reaches; ``sources`` (default: all nodes)
+    bounds it, and scores are then sums over these sources.
     """
-    edges = cut(edges.select("source", "target").where("source <> target").distinct())  # read by every level
+    edges = cut(edges.select("source", "target").where("source <> target").distinct())  # read three times
     starts = nodes if sources is None else sources
-    levels = [cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(1.0).alias("paths")))]
-    seen = levels[0].select("start", "node")
+    ids = nodes.select("id").unionByName(starts.select("id"))
+    places = blocks.numbered(ids.unionByName(edges.select(F.col("source").alias("id"))).unionByName(edges.select(F.col("target").alias("id"))))
+    links, copies = blocks.link_blocks(edges, places), blocks.salts(places)
+    first = cut(blocks.first_blocks(starts.select("id").distinct().join(places, "id")))
+    levels, seen = [first], blocks.seen_at(first)
     while True:
-        ahead = levels[-1].join(edges, levels[-1]["node"] == edges["source"]).groupBy("start", F.col("target").alias("node")).agg(F.sum("paths").alias("paths"))
-        ahead = cut(ahead.join(seen, ["start", "node"], "left_anti"))
+        found = blocks.reached(blocks.product(levels[-1].withColumnRenamed("paths", "x").select("s", "n", "x"), links, copies), seen)
+        ahead, seen = found.where("paths IS NOT NULL").select("s", "n", "paths"), found.select("s", "n", "seen")
         if ahead.isEmpty():
             break
         levels.append(ahead)
-        seen = seen.unionByName(ahead.select("start", "node"))
-    held = levels[-1].withColumn("through", F.lit(0.0))
-    totals = held.select("node", "through")
+    held = levels[-1].withColumn("through", F.lit(None).cast("binary"))
+    totals = blocks.through_nodes(held)
     for level in levels[-2:0:-1]:  # towards the sources, which take no score of their own
-        given = held.select("start", F.col("node").alias("target"), ((1 + F.col("through")) / F.col("paths")).alias("given"))
-        back = level.join(edges, level["node"] == edges["source"]).select("start", "node", "paths", "target").join(given, ["start", "target"])
-        sums = back.groupBy("start", "node").agg(F.sum(F.col("paths") * F.col("given")).alias("through"))
-        held = cut(level.join(sums, ["start", "node"], "left").na.fill(0.0, ["through"]))
-        totals = totals.unionByName(held.select("node", "through"))
+        held = blocks.passed(level, blocks.product(blocks.shares(held), links, copies, back=True))
+        totals = totals.unionByName(blocks.through_nodes(held))
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = totals.groupBy(F.col("node").alias("id")).agg(F.sum("through").alias("s"))
+    sums = totals.groupBy("at").agg(F.sum("through").alias("s")).join(places, "at").select("id", "s")
     return nodes.select("id").join(sums, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)) * scale, 6).alias("score"))
 
 

@@ -1,10 +1,11 @@
 """What a query moves grows with its input, not with the pairs or draws that it stands for."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.operators import baselines, resampling
+from daybook.operators import baselines, graph, resampling
 from daybook.operators.quantiles import percentiles
 from daybook.plans import catalog
 from tests.test_reference_queries import plain
@@ -104,3 +105,29 @@ def test_daily_mean_is_exact(spark):
         exact = sum(hundredths) / 64 / 100
         rows = spark.createDataFrame([(h / 100.0,) for h in hundredths], "v double").repartition(3).groupBy("v").agg(F.count("*").alias("k"))
         assert sum(hundredths) % 64 == 4 and rows.agg(baselines._mean(F.col("v"), F.col("k"))).first()[0] == exact
+
+
+def test_betweenness_moves_blocks(spark):
+    """700 nodes and some 7,000 links over several blocks: half a million pairs of nodes are never rows; scores as by one search a source."""
+    rng = np.random.default_rng(5)
+    links = {(int(a), int(b)) for a, b in rng.integers(0, 700, (7000, 2)) if a != b}
+    after = {v: [b for a, b in links if a == v] for v in range(700)}
+    want = dict.fromkeys(range(700), 0.0)
+    for s in range(700):
+        paths, depth, order = {s: 1.0}, {s: 0}, [s]
+        for v in order:
+            for w in after[v]:
+                if w not in depth:
+                    depth[w], paths[w] = depth[v] + 1, 0.0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] += paths[v]
+        through = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            through[v] = sum(paths[v] / paths[w] * (1 + through[w]) for w in after[v] if depth[w] == depth[v] + 1)
+            want[v] += through[v] if v != s else 0.0
+    edges = spark.createDataFrame([(a * 10, b * 10) for a, b in sorted(links)], "source long, target long")
+    nodes = spark.range(700).select((F.col("id") * 10).alias("id"))
+    rows, most = moved(spark, lambda: graph.betweenness(edges, nodes).collect())
+    assert {r["id"]: r["score"] for r in rows} == {v * 10: pytest.approx(x / (699 * 698), abs=1.1e-6) for v, x in want.items()}
+    assert most < 10_000
