@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.common import text_or_empty
-from daybook.llm.toxicity import labelled_sample
+from daybook.llm.toxicity import fitted, sample_frame
 
 PASSAGE = 512
 HIDDEN, GATE = 24, 12
@@ -202,7 +202,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 40, batch: int = 256
 
 
 def train_model(docs: DataFrame, labels: DataFrame, train, sample_rows: int = 6000, sample_bytes: int = 64_000_000, key: str = "doc_id", text: str = "text") -> Model:
-    return fit(*labelled_sample(docs, labels, "quality", train, sample_rows, sample_bytes, key, text))
+    return fitted(sample_frame(docs, labels, "quality", train, sample_rows, sample_bytes, key, text), fit)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:

@@ -8,7 +8,7 @@ logistic regression is fitted over the kept ones, each scaled by its ratio.
 
 Fitting reads at most ``sample_rows`` labelled documents of ``sample_bytes`` bytes in all
 (the smallest hashes of their ids, so the sample does not depend on order or partitions);
-that sample and the model, a table of a fixed size, are all that the driver holds. Scoring
+that sample is held by one task, and the model, a table of a fixed size, by the driver. Scoring
 reads whole texts, needs no shuffle, and works on blocks of characters at a time.
 
 Defined results: a null or empty text has no features and scores by the intercept; with no
@@ -19,11 +19,13 @@ each; an empty table gives no rows; other columns are passed on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,12 +103,22 @@ class Model:
     chosen: np.ndarray
     intercept: float
 
+    def __reduce__(self):
+        kept = np.flatnonzero(self.chosen)  # what is not kept weighs nothing
+        return _unpacked, (kept, self.weights[kept], self.intercept)
+
     def score(self, texts: list[str]) -> np.ndarray:
         doc, bucket, value = features(texts, self.chosen)
         total = np.bincount(doc, weights=self.weights[bucket] * value, minlength=len(texts)) + self.intercept
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
+def _unpacked(kept: np.ndarray, values: np.ndarray, intercept: float) -> Model:
+    weights, chosen = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
+    weights[kept], chosen[kept] = values, True
+    return Model(weights, chosen, intercept)
+
+
 def log_count_ratios(texts: list[str], labels: np.ndarray, smooth: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """By bucket: log of its smoothed share of toxic documents over that of clean ones, and how many documents of each label hold it."""
     size, hits = 1 << BITS, np.zeros((2, 1 << BITS), np.int32)
@@ -165,8 +177,8 @@ def fit(texts: list[str], labels: np.ndarray, keep: int = 6000, smooth: float =
     return Model(weights, chosen, float(b))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows: int, room: int, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``rows`` labelled documents, ``room`` bytes in all, that ``train`` admits."""
+def sample_frame(docs: DataFrame, labels: DataFrame, label: str, train, rows: int, room: int, key: str = "doc_id", text: str = "text") -> DataFrame | None:
+    """_text, _label of at most ``rows`` labelled documents, ``room`` bytes in all, that ``train`` admits: one partition in the order of their ids' hashes; None without any."""
     docs = docs.select(F.col(key), text_or_empty(text).alias("_text"))
     spark = docs.sparkSession
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).where(train)
@@ -190,26 +202,44 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows:
             room -= r["_bytes"]
             taken.append((r[key], r["_hash"]))
     if not taken:
-        return [], np.zeros(0, np.int64)
+        return None
     chosen = spark.createDataFrame(taken, met.select(key, "_hash").schema).distinct()
-    got = met.join(F.broadcast(chosen), [key, "_hash"]).orderBy(F.xxhash64(key), key, "_hash").limit(len(taken)).collect()
+    return met.join(F.broadcast(chosen), [key, "_hash"]).orderBy(F.xxhash64(key), key, "_hash").limit(len(taken)).select("_text", "_label")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows: int, room: int, key: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
+    """Texts and labels of ``sample_frame``, in the driver."""
+    sample = sample_frame(docs, labels, label, train, rows, room, key, text)
+    got = [] if sample is None else sample.collect()
     return [r["_text"] for r in got], np.array([r["_label"] for r in got], np.int64)
 
 
+def fitted(sample: DataFrame | None, fit: Callable[[list[str], np.ndarray], object]) -> object:
+    """What ``fit`` makes of a labelled sample, in the one task that holds the sample; the driver gets the result alone."""
+    if sample is None:
+        return fit([], np.zeros(0, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(labels, np.int64)))], pa.binary())], ["model"])
+
+    return pickle.loads(sample.mapInArrow(run, "model binary").first()["model"])
+
+
 def train_model(docs: DataFrame, labels: DataFrame, train, sample_rows: int = 8000, sample_bytes: int = 64_000_000, key: str = "doc_id", text: str = "text") -> Model:
-    return fit(*labelled_sample(docs, labels, "toxic", train, sample_rows, sample_bytes, key, text))
+    return fitted(sample_frame(docs, labels, "toxic", train, sample_rows, sample_bytes, key, text), fit)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a score column; a column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.chosen), model.weights[model.chosen], model.intercept))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        kept, values, intercept = shared.value
-        weights, chosen = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
-        weights[kept], chosen[kept] = values, True
-        own = Model(weights, chosen, intercept)
+        own = shared.value
         for texts in batches:
             yield pd.Series(own.score(texts.tolist()))
 

@@ -203,3 +203,15 @@ def test_first_stages_by_hand(spark, sf, fitted):
         want = "\n".join(line for line in rows[k]["text"].split("\n") if not gone(k, line))
         assert r["text"] == want and (r["n_chars"] == (len(want) if want != rows[k]["text"] else rows[k]["n_chars"]))
         assert (r["lang"], r["source"]) == (rows[k]["lang"], rows[k]["source"])
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_mil])
+def test_classifiers_are_fitted_in_a_task(spark, monkeypatch, module):
+    """The labelled texts never reach the driver: its process gets what the fit returns, no more."""
+    import os
+
+    monkeypatch.setattr(module, "fit", lambda texts, y: (os.getpid(), sorted(zip(texts, y.tolist()))))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    process, got = module.train_model(docs, known, F.lit(True))
+    assert process != os.getpid() and got == [(f"text {i}", i % 2) for i in range(6)]
