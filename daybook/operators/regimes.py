@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -54,6 +55,73 @@ def best_path(x: np.ndarray, start: np.ndarray, moves: np.ndarray, means: np.nda
     return np.array(path[::-1])
 
 
+def laid_out(flat: np.ndarray, lengths: np.ndarray, cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Series side by side, some ``cells`` rows at a time: their places, the rows that each has (longest first), and series x steps x features."""
+    begins = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    at = 0
+    while at < len(order):
+        part = order[at : at + max(1, cells // int(lengths[order[at]]))]
+        own, steps = lengths[part], np.arange(lengths[part[0]])
+        x = flat[np.minimum(begins[part][:, None] + steps, len(flat) - 1)]
+        yield part, own, x
+        at += len(part)
+
+
+def expected_counts(x: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray, means: np.ndarray, spreads: np.ndarray) -> np.ndarray:
+    """The sums of ``forward_backward`` over series laid out side by side: log likelihood, first rows' shares, moves, shares, and shares times x and x squared."""
+    m, n, d = x.shape
+    k = len(start)
+    logs = log_densities(x.reshape(-1, d), means, spreads).reshape(m, n, k)
+    top = logs.max(2, keepdims=True)
+    dens = np.exp(logs - top)
+    held = np.arange(n) < lengths[:, None]
+    open_ = held.sum(0)  # the longest come first, so these are the first ones
+    ahead, back, scale = np.zeros((m, n, k)), np.ones((m, n, k)), np.ones((m, n))
+    for t in range(n):
+        a = open_[t]
+        row = (start if t == 0 else ahead[:a, t - 1] @ moves) * dens[:a, t]
+        scale[:a, t] = row.sum(1)
+        ahead[:a, t] = row / scale[:a, t, None]
+    for t in range(n - 2, -1, -1):
+        a = open_[t + 1]
+        back[:a, t] = (dens[:a, t + 1] * back[:a, t + 1]) @ moves.T / scale[:a, t + 1, None]
+    share = ahead * back
+    later = held[:, 1:]
+    moved = moves * (ahead[:, :-1][later].T @ (dens[:, 1:] * back[:, 1:] / scale[:, 1:, None])[later])
+    rows, weights = x[held], share[held]
+    like = np.log(scale).sum() + top[..., 0][held].sum()
+    return np.concatenate([[like], share[:, 0].sum(0), moved.ravel(), weights.sum(0), (weights.T @ rows).ravel(), (weights.T @ (rows * rows)).ravel()])
+
+
+def best_paths(x: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: np.ndarray, means: np.ndarray, spreads: np.ndarray) -> np.ndarray:
+    """``best_path`` of series laid out side by side, series x steps."""
+    m, n, d = x.shape
+    logs, step = log_densities(x.reshape(-1, d), means, spreads).reshape(m, n, -1), np.log(moves)
+    open_ = (np.arange(n) < lengths[:, None]).sum(0)
+    came, path = np.zeros(logs.shape, np.int32), np.zeros((m, n), np.int32)
+    now = np.log(start) + logs[:, 0]
+    for t in range(1, n):
+        a = open_[t]
+        ways = now[:a, :, None] + step
+        came[:a, t] = ways.argmax(1)
+        now[:a] = ways.max(1) + logs[:a, t]
+    state = now.argmax(1)
+    path[np.arange(m), lengths - 1] = state
+    for t in range(n - 1, 0, -1):
+        a = open_[t]
+        state[:a] = came[np.arange(a), t, state[:a]]
+        path[:a, t - 1] = state[:a]
+    return path
+
+
+def _flat(rows: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """All rows of all series below each other, and how many each series has."""
+    lengths = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+    return rows.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, d), lengths
+
+
 def hidden_states(df: DataFrame, key: str, order: str, features: list[str], states: int = 4, rounds: int = 50, gain: float = 0.01, seed: int = 42) -> tuple[DataFrame, list[float]]:
     """``df`` (key, order, features; rows with a null feature left out) with ``state``, numbered by its first feature's mean, and the log likelihood after each round.
 
@@ -80,20 +148,18 @@ def hidden_states(df: DataFrame, key: str, order: str, features: list[str], stat
     cuts = np.cumsum([1, k, k * k, k, k * d, k * d])
 
     def expect(model):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(cuts[-1])
             for batch in batches:
-                for rows in batch["x"]:
-                    x = np.array([list(r) for r in rows])
-                    like, share, moved = forward_backward(x, *model)
-                    total += np.concatenate([[like], share[0], moved.ravel(), share.sum(0), (share.T @ x).ravel(), (share.T @ (x * x)).ravel()])
-            yield pd.DataFrame({"s": [total.tolist()]})
+                for _, lengths, x in laid_out(*_flat(batch.column(0), d)):
+                    total += expected_counts(x, lengths, *model)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
 
         return run
 
     xs, history = series.select(F.col("rows.x").alias("x")), []
     for _ in range(rounds):
-        sums = xs.mapInPandas(expect((start, moves, means, spreads)), "s array<double>")
+        sums = xs.mapInArrow(expect((start, moves, means, spreads)), "s array<double>")
         row = sums.agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(cuts[-1])]).first()
         like, first, moved, mass, one, two = np.split(np.array(row), cuts[:-1])
         history.append(float(like[0]))
@@ -109,13 +175,19 @@ def hidden_states(df: DataFrame, key: str, order: str, features: list[str], stat
     by = np.lexsort(means.T[::-1])  # states by the mean of the first feature
     model = start[by], moves[np.ix_(by, by)], means[by], spreads[by]
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [best_path(np.array([list(x) for x in rows]), *model).tolist() for rows in batch["x"]]
-            yield pd.DataFrame({"k": batch["k"], "o": batch["o"], "p": paths})
+            flat, sizes = _flat(batch.column(2), d)
+            ends = np.cumsum(sizes)
+            found = np.zeros(len(flat), np.int32)
+            for part, lengths, x in laid_out(flat, sizes):
+                path, held = best_paths(x, lengths, *model), np.arange(x.shape[1]) < lengths[:, None]
+                found[((ends - sizes)[part][:, None] + np.arange(x.shape[1]))[held]] = path[held]
+            paths = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), paths], ["k", "o", "p"])
 
     keyed = series.select(F.col(key).alias("k"), F.col("rows.o").alias("o"), F.col("rows.x").alias("x"))
     types = dict(keyed.dtypes)
-    done = keyed.mapInPandas(walk, f"k {types['k']}, o {types['o']}, p array<int>")
+    done = keyed.mapInArrow(walk, f"k {types['k']}, o {types['o']}, p array<int>")
     zipped = done.select("k", F.explode(F.arrays_zip("o", "p")).alias("z"))
     return zipped.select(F.col("k").alias(key), F.col("z.o").alias(order), F.col("z.p").alias("state")), history

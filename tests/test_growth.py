@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.operators import baselines, graph, resampling
+from daybook.operators import baselines, graph, regimes, resampling
 from daybook.operators.quantiles import percentiles
 from daybook.plans import catalog
 from tests.test_reference_queries import plain
@@ -131,3 +131,23 @@ def test_betweenness_moves_blocks(spark):
     rows, most = moved(spark, lambda: graph.betweenness(edges, nodes).collect())
     assert {r["id"]: r["score"] for r in rows} == {v * 10: pytest.approx(x / (699 * 698), abs=1.1e-6) for v, x in want.items()}
     assert most < 10_000
+
+
+def test_series_are_walked_side_by_side():
+    """hidden_regimes: sums and paths of many series at once equal those of each alone, whatever their lengths."""
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 7, 0, 31, 2, 31, 12])
+    flat, k = rng.normal(size=(lengths.sum(), 3)), 4
+    moves = rng.random((k, k)) + 0.1
+    model = np.full(k, 1 / k), moves / moves.sum(1, keepdims=True), rng.normal(size=(k, 3)), rng.random((k, 3)) + 0.5
+    parts = np.split(flat, np.cumsum(lengths)[:-1])
+    want, total, seen = 0, 0, {}
+    for x in parts:
+        if len(x):
+            like, share, moved = regimes.forward_backward(x, *model)
+            want = want + np.concatenate([[like], share[0], moved.ravel(), share.sum(0), (share.T @ x).ravel(), (share.T @ (x * x)).ravel()])
+    for part, own, x in regimes.laid_out(flat, lengths, 40):
+        total = total + regimes.expected_counts(x, own, *model)
+        seen |= {int(i): path[:n].tolist() for i, n, path in zip(part, own, regimes.best_paths(x, own, *model))}
+    assert np.allclose(total, want)
+    assert seen == {i: regimes.best_path(x, *model).tolist() for i, x in enumerate(parts) if len(x)}
