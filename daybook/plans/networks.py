@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from daybook.operators.graph import betweenness, longest_chain, strong_components
 from daybook.plans.graphs import WHOLE, edges, nodes
 from daybook.plans.registry import registry
-from daybook.sources.shared import cut
+from daybook.sources.shared import cut, dealt
 from daybook.sources.tables import events, sql, table
 
 REGISTRY, query = registry()
@@ -92,12 +92,14 @@ CONFIDENCE = {"hotspot": (0.70, 0.45), "broad_change": (0.68, 0.42), "rework": (
 def history_claims(spark, sf_dir):
     """Hotspots, broad changes and rework pressure as ranked claims, the best 25 of each family and then of all (the limits are the feature)."""
     l = table(spark, sf_dir, "lineitem")
+    rows = l.count()
     level = lambda moderate: F.when(F.expr(moderate), "moderate").otherwise("weak").alias("level")
     whole = lambda c, by=1: (F.sum(c) * by).cast("long")
-    by = l.groupBy("l_suppkey", "l_partkey", "l_orderkey").agg(F.sum("l_quantity").alias("q"))  # counted before the distinct orders
+    by = dealt(l.select("l_suppkey", "l_partkey", "l_orderkey", "l_quantity"), rows, "l_suppkey", "l_partkey")
+    by = by.groupBy("l_suppkey", "l_partkey", "l_orderkey").agg(F.sum("l_quantity").alias("q"))  # counted before the distinct orders
     h = by.groupBy(F.col("l_suppkey").alias("project"), F.col("l_partkey").alias("subject")).agg(F.count("*").alias("n"), whole("q").alias("lines")).where("n >= 2 OR lines >= 500")
     hot = h.select(F.lit("hotspot").alias("family"), "project", "subject", level("n >= 3 OR lines >= 1000"), F.expr("lines * n AS score"))
-    b = l.groupBy(F.col("l_orderkey").alias("subject")).agg(F.count("*").alias("files"), whole("l_quantity", 20).alias("lines")).where("files >= 20 OR lines >= 2500")
+    b = dealt(l.select("l_orderkey", "l_quantity"), rows, "l_orderkey").groupBy(F.col("l_orderkey").alias("subject")).agg(F.count("*").alias("files"), whole("l_quantity", 20).alias("lines")).where("files >= 20 OR lines >= 2500")
     broad = b.select(F.lit("broad_change").alias("family"), F.lit(0).cast("long").alias("project"), "subject", level("files >= 40 OR lines >= 5000"), F.expr("files * greatest(lines, 1L) AS score"))
     w = l.groupBy(F.col("l_suppkey").alias("project")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("again")).where("n >= 3 AND again > 0 AND (again / n >= 0.25 OR again >= 3)")
     rework = w.select(F.lit("rework").alias("family"), "project", F.col("project").alias("subject"), level("again / n >= 0.35 OR again >= 5"), F.col("again").alias("score"))

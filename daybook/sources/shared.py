@@ -1,4 +1,4 @@
-"""The folder that driver and executors share, and cutting a lineage by a checkpoint in it."""
+"""The folder that driver and executors share, cutting a lineage by a checkpoint in it, and tasks of a bounded size."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a task where they are dealt out by key.
+TASK_ROWS = 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
@@ -29,3 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in tasks of some TASK_ROWS of its ``rows`` rows.
+
+    What is grouped or joined on these keys next needs no further shuffle, and its memory follows the size of a task, not of the input.
+    """
+    return df.repartition(rows // TASK_ROWS + 1, *keys)

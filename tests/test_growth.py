@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from daybook.operators import baselines, graph, regimes, resampling
 from daybook.operators.quantiles import percentiles
 from daybook.plans import catalog
+from daybook.sources import shared
 from tests.test_reference_queries import plain
 
 
@@ -151,3 +152,32 @@ def test_series_are_walked_side_by_side():
         seen |= {int(i): path[:n].tolist() for i, n, path in zip(part, own, regimes.best_paths(x, own, *model))}
     assert np.allclose(total, want)
     assert seen == {i: regimes.best_path(x, *model).tolist() for i, x in enumerate(parts) if len(x)}
+
+
+BOUNDED = ["history_claims"]
+
+
+@pytest.mark.parametrize("name", BOUNDED)
+def test_tasks_stay_small(spark, monkeypatch, name):
+    """Memory of a task follows the size that tasks are dealt in: none reads the whole of a table, and rows are those of the SQL."""
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(shared, "TASK_ROWS", 300)
+    context = spark.sparkContext
+    store, none, most = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0), context._gateway.new_array(context._jvm.double, 1)
+    most[0] = 1.0
+
+    def stages():
+        found = store.stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+        return [found.apply(i) for i in range(found.size())]
+
+    before = max((s.stageId() for s in stages()), default=-1)
+    rows = catalog.queries()[name](spark, folder).collect()
+    after = [s for s in stages() if s.stageId() > before and s.shuffleReadRecords() > 5000]
+    read = [store.taskSummary(s.stageId(), s.attemptId(), most).get().shuffleReadMetrics().readRecords().apply(0) for s in after]
+    assert read and max(read) < 1500
+    con = duckdb.connect()
+    for t in ("customer", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    found = con.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(tuple(plain(r[c]) for c in names) for r in rows) == sorted(tuple(map(plain, r)) for r in found.fetchall())
