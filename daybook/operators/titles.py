@@ -65,7 +65,12 @@ def holds(c: Column, words: list[str]) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``c``, which is computed once however often ``then`` names it."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
 
 
 def project_of(raw: Column, projects: list[str]) -> Column:
@@ -142,8 +147,7 @@ def title_rule(app: Column, title: Column, projects: list[str], aliases: dict[st
     Rules: a sentinel that begins the title; a title that marks an agent's turns; then, in a terminal: the name of a project (a whole name or
     alias, what it begins with, what it contains, in this order), a slug of three or more words, a short sentence.
     """
-    nt = trimmed(title)
-    low, terminal = F.lower(nt), F.lower(app).isin("kitty", "foot")
+    terminal = F.lower(app).isin("kitty", "foot")
     chat = ("chatting_work", "chat_interface", "coding")
 
     def made(rule, activity, content, mode, subject=None, tool=None, ai=False, confidence=0.7) -> Column:
@@ -152,13 +156,18 @@ def title_rule(app: Column, title: Column, projects: list[str], aliases: dict[st
 
     whole = {p.lower(): p for p in projects} | {a.lower(): c for a, c in aliases.items()}
     begins = prefixes | {f"{p}-": p for p in projects} | {f"{a}-": c for a, c in aliases.items() if "-" not in a and " " not in a and a != c}
-    subject = F.coalesce(found_by(whole, lambda k: low == k), found_by(begins, low.startswith), found_by(parts, low.contains))
-    turn = found_by(LIFECYCLE, lambda k: low == k)
-    rules = [
-        (nt.startswith(CAVEAT), made("sentinel", *chat, tool=SPINNING_AGENT[0], ai=True)),
-        (turn.isNotNull(), made("lifecycle", *chat, tool=turn, ai=True)),
-        (terminal & (low != "") & subject.isNotNull(), made("project", "reading_code", "code", "coding", subject=subject)),
-        (terminal & low.rlike(r"\A[a-z0-9]+(?:-[a-z0-9]+){2,}\z"), made("slug", "planning", "documentation", "planning", confidence=0.6)),
-        (terminal & F.length(nt).between(8, 100) & nt.rlike(r"\A[A-Z][A-Za-z0-9]*(?:[\x20\x09-\x0D]+[A-Za-z0-9/.\-]+){1,15}\z"), made("sentence", *chat, tool=SPINNING_AGENT[0], ai=True, confidence=0.5)),
-    ]
-    return F.when((F.coalesce(app, F.lit("")) != "") & (F.coalesce(title, F.lit("")) != ""), first_of(rules))
+
+    def by(nt: Column, low: Column) -> Column:
+        subject = F.coalesce(found_by(whole, lambda k: low == k), found_by(begins, low.startswith), found_by(parts, low.contains))
+        turn = found_by(LIFECYCLE, lambda k: low == k)
+        rules = [
+            (nt.startswith(CAVEAT), made("sentinel", *chat, tool=SPINNING_AGENT[0], ai=True)),
+            (turn.isNotNull(), made("lifecycle", *chat, tool=turn, ai=True)),
+            (terminal & (low != "") & subject.isNotNull(), made("project", "reading_code", "code", "coding", subject=subject)),
+            (terminal & low.rlike(r"\A[a-z0-9]+(?:-[a-z0-9]+){2,}\z"), made("slug", "planning", "documentation", "planning", confidence=0.6)),
+            (terminal & F.length(nt).between(8, 100) & nt.rlike(r"\A[A-Z][A-Za-z0-9]*(?:[\x20\x09-\x0D]+[A-Za-z0-9/.\-]+){1,15}\z"), made("sentence", *chat, tool=SPINNING_AGENT[0], ai=True, confidence=0.5)),
+        ]
+        return first_of(rules)
+
+    rule = once(trimmed(title), lambda nt: once(F.lower(nt), lambda low: by(nt, low)))
+    return F.when((F.coalesce(app, F.lit("")) != "") & (F.coalesce(title, F.lit("")) != ""), rule)

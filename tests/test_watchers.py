@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daybook.operators import night_gaps, presence, regimes, titles
+from daybook.plans import watchers
 from daybook.sources.stores import one_store
 
 DAY = 86_400_000_000
@@ -195,6 +196,14 @@ def test_title_rules_by_hand(spark):
         assert tuple(row)[1:] == want[2:], want[:2]
 
 
+def test_title_rules_are_computed_once(spark, sf):
+    """Once a line: not again by the filter and by each column; whitespace of all six kinds is stripped."""
+    plan = watchers.title_rules(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(titles.CAVEAT) == 1
+    got = frame(spark, [("\t\x0b \x0c\rCodex\n ",)], "t string").select(titles.title_rule(F.lit("kitty"), F.col("t"), [], {}, {}, {}).alias("r")).first()["r"]
+    assert (got["rule"], got["tool"]) == ("lifecycle", "codex")
+
+
 def test_likelihood_and_path_equal_all_paths():
     rng = np.random.default_rng(1)
     x, k = rng.normal(size=(5, 2)), 3
