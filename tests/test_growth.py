@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.operators import baselines, graph, regimes, resampling
+from daybook.operators import baselines, graph, names, regimes, resampling
 from daybook.operators.quantiles import percentiles
 from daybook.plans import catalog
 from daybook.sources import shared
@@ -181,3 +181,15 @@ def test_tasks_stay_small(spark, monkeypatch, name):
     found = con.execute(catalog.oracle_sql()[name])
     names = [d[0] for d in found.description]
     assert sorted(tuple(plain(r[c]) for c in names) for r in rows) == sorted(tuple(map(plain, r)) for r in found.fetchall())
+
+
+def test_renames_are_paired_in_their_project(spark, monkeypatch):
+    """rename_candidates: 300 projects of 40 similar names: names are paired where a project has both, the same rows if their pairs are too many to hold."""
+    name = F.concat(F.lit("some_long_common_name_"), (F.col("id") % 40 + 10).cast("string"))
+    gone = spark.range(12_000).select((F.col("id") % 300).alias("project"), F.concat(F.lit("some_long_common_name_"), (F.floor(F.col("id") / 300) + 10).cast("string")).alias("name"), F.lit("2024-01-02").cast("date").alias("day"), F.lit("DELETED").alias("change"))
+    come = spark.range(300).select(F.col("id").alias("project"), name.alias("name"), F.lit("2024-01-03").cast("date").alias("day"), F.lit("ADDED").alias("change"))
+    frame = gone.unionByName(come)
+    rows, most = moved(spark, lambda: names.rename_candidates(frame, 0.9).collect())
+    assert len(rows) == 300 * 39 and most < 30_000
+    monkeypatch.setattr(names, "BROADCAST_PAIRS", 0)
+    assert sorted(map(tuple, names.rename_candidates(frame, 0.9).collect())) == sorted(map(tuple, rows))
