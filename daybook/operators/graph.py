@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.operators import blocks
-from daybook.sources.shared import cut
+from daybook.sources.shared import cut, dealt, heavy
 
 
 def walk(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
@@ -21,27 +23,51 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
     return seen
 
 
-def connected(edges: DataFrame, nodes: DataFrame, limit: int = 200) -> DataFrame:
+def _apart(pairs: DataFrame, hot: DataFrame | None, end: str) -> list[DataFrame]:
+    """The pairs whose ``end`` is not hot, and (where anything is) those whose ``end`` is."""
+    if hot is None:
+        return [pairs]
+    return [pairs.join(F.broadcast(hot), F.col(end) == F.col("_hot"), how) for how in ("left_anti", "left_semi")]
+
+
+def _both_stars(pairs: DataFrame, rows: int) -> DataFrame:
+    """v, u (the smaller): the pairs after a large and a small star, each once.
+
+    Pairs meet by their ends in tasks of TASK_ROWS. Ends that more pairs share are combined before they move, and looked up where the pairs lie.
+    """
+    hot = heavy(pairs, rows, "v", "u")
+    least_of = lambda p: p.groupBy("v").agg(F.min("u").alias("m"))
+    # large star: every larger neighbour moves to the least of the neighbourhood, which is a smaller end's own least or itself
+    few, *many = _apart(pairs, hot, "v")
+    least = [least_of(dealt(few, rows, "v")), *(F.broadcast(least_of(p)) for p in many)]
+    few, *many = _apart(pairs, hot, "u")
+    met = [p.join(m.withColumnRenamed("v", "at"), F.col("u") == F.col("at"), "left") for p, m in zip([dealt(few, rows, "u"), *many], least)]
+    large = reduce(DataFrame.unionByName, [p.select("v", F.coalesce("m", "u").alias("u")) for p in met])
+    # small star: smaller neighbours, and the vertex, move to the least of them
+    few, *many = _apart(large, hot, "v")
+    moved = []
+    for p in [dealt(few, rows, "v"), *many]:
+        least = least_of(p)
+        small = p.join(F.broadcast(least) if moved else least, "v").where("u <> m")
+        moved += [small.select(F.col("u").alias("v"), F.col("m").alias("u")), least.select("v", F.col("m").alias("u"))]
+    return dealt(reduce(DataFrame.unionByName, moved), rows, "v", "u").distinct()
+
+
+def connected(edges: DataFrame, nodes: DataFrame, limit: int = 200, rows: int | None = None) -> DataFrame:
     """id, component (the least id reachable), by alternating large and small stars until the state repeats, a checkpoint a round.
 
     Long chains need few rounds (the logarithm of the size, squared, at worst); a run that has not settled after ``limit`` rounds raises.
+    The result lies by id in tasks of TASK_ROWS of the ``rows`` nodes (counted where not given).
     """
-    stars = cut(edges.select(F.greatest("source", "target").alias("v"), F.least("source", "target").alias("u")).where("u <> v").distinct())
-    before = None
+    pairs = cut(edges.select(F.greatest("source", "target").alias("v"), F.least("source", "target").alias("u")).where("u <> v"))
+    state = pairs.count(), None
     for _ in range(limit):
-        # large star: every larger neighbour moves to the least of the neighbourhood
-        both = stars.unionByName(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        # small star: smaller neighbours, and the vertex, move to the least of them
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v")
-        stars = cut(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        before, pairs = state, cut(_both_stars(pairs, state[0]))
+        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if state == before:
-            found = stars.select(F.col("v").alias("id"), F.col("u").alias("root"))
-            return nodes.join(found, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
-        before = state
+            rows = nodes.count() if rows is None else rows
+            found = dealt(pairs.select(F.col("v").alias("id"), F.col("u").alias("root")), rows, "id")
+            return dealt(nodes, rows, "id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
     raise RuntimeError(f"components have not settled after {limit} rounds")
 
 

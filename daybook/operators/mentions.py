@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daybook.sources import shared
+from daybook.sources.shared import cut, dealt
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -108,24 +111,29 @@ def text_tags(texts: DataFrame, key: str, text: str, tags=TEXT_TAGS) -> DataFram
     return texts.select(key, F.explode(met).alias("_t")).select(key, F.get(rows, F.col("_t")).alias("_r")).select(key, "_r.*")
 
 
-def score_clusters(nodes: DataFrame, annotations: DataFrame, members: DataFrame) -> DataFrame:
+def score_clusters(nodes: DataFrame, annotations: DataFrame, members: DataFrame, rows: int | None = None) -> DataFrame:
     """cluster, day, project, n, sources, labels, score, moment: what each component of a graph holds.
 
-    ``nodes``: id, kind, source, project, day; ``annotations``: id, label; ``members``: id, component. A component of any size is
-    summed by partial aggregates: its sources and labels are few, its nodes are only counted.
+    ``nodes``: id, kind, source, project, day; ``annotations``: id, label; ``members``: id, component; ``rows``: of nodes (counted where
+    not given). Nodes and labels meet their component in tasks of TASK_ROWS nodes, are summed by component and a share of the ids, and
+    then by component, so neither one of any size nor very many small ones fill a task.
     """
-    of = members.select("id", F.col("component").alias("cluster"))
-    held = nodes.join(of, "id")
-    heavy = [F.max((F.col("kind") == k).cast("int")).alias(f"_{k}") for k in HEAVY_KINDS]
-    sums = held.groupBy("cluster").agg(F.min("day").alias("day"), F.count("*").alias("n"), F.collect_set("source").alias("_sources"), *heavy)
-    by = held.where("project IS NOT NULL").groupBy("cluster", "project").agg(F.count("*").alias("_k"))
-    project = by.groupBy("cluster").agg(F.min(F.struct((-F.col("_k")).alias("k"), "project")).alias("_p")).select("cluster", F.col("_p.project").alias("project"))
-    labels = annotations.select("id", "label").join(of, "id").groupBy("cluster").agg(F.sort_array(F.collect_set("label")).alias("_labels"))
-    c = sums.join(project, "cluster", "left").join(labels, "cluster", "left").withColumn("_labels", F.coalesce("_labels", F.array().cast("array<string>")))
+    rows = nodes.count() if rows is None else rows
+    none = F.lit(None).cast("string")
+    held = nodes.select("id", F.lit(1).alias("k"), "source", "project", "day", none.alias("label"), *[(F.col("kind") == k).cast("int").alias(f"_{k}") for k in HEAVY_KINDS])
+    held = held.unionByName(annotations.select("id", F.lit(0).alias("k"), "label"), allowMissingColumns=True)
+    held = dealt(held, rows, "id").join(members.select("id", F.col("component").alias("cluster")), "id")
+    summed = lambda *more: [F.sum("k").alias("k"), F.min("day").alias("day"), *[F.max(f"_{k}").alias(f"_{k}") for k in HEAVY_KINDS], *more]
+    held = held.withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(rows // shared.TASK_ROWS + 1)))
+    held = dealt(held, rows, "cluster", "_share").groupBy("cluster", "_share", "project", "source", "label").agg(*summed())
+    held = dealt(held, rows, "cluster").groupBy("cluster", "project").agg(*summed(F.collect_set("source").alias("_sources"), F.collect_set("label").alias("_labels")))
+    every = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    most = F.min(F.when(F.col("project").isNotNull(), F.struct((-F.col("k")).alias("k"), "project"))).alias("_p")
+    c = held.groupBy("cluster").agg(*summed(every("_sources"), every("_labels"), most)).where("k > 0")
     weighty = F.size(F.array_intersect("_labels", F.array(*[F.lit(x) for x in HEAVY_LABELS])))
-    score = F.size("_sources") * 0.8 + F.least("n", F.lit(12)) * 0.12 + weighty * 0.9 + sum(F.col(f"_{k}") * 0.35 for k in HEAVY_KINDS)
+    score = F.size("_sources") * 0.8 + F.least("k", F.lit(12)) * 0.12 + weighty * 0.9 + sum(F.col(f"_{k}") * 0.35 for k in HEAVY_KINDS)
     c = c.withColumn("score", F.round(score, 3)).withColumn("moment", (F.col("score") >= MOMENT_SCORE) | (F.size("_sources") >= 2))
-    return c.select("cluster", "day", "project", "n", F.array_join(F.sort_array("_sources"), ",").alias("sources"), F.array_join("_labels", ",").alias("labels"), "score", "moment")
+    return c.select("cluster", "day", F.col("_p.project").alias("project"), F.col("k").alias("n"), F.array_join("_sources", ",").alias("sources"), F.array_join("_labels", ",").alias("labels"), "score", "moment")
 
 
 def weak_clusters(nodes: DataFrame, edges: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -135,13 +143,23 @@ def weak_clusters(nodes: DataFrame, edges: DataFrame, annotations: DataFrame) ->
     """
     from daybook.operators.graph import connected
 
+    rows = nodes.count()
     own = edges.where(F.col("relation").isin(*CLUSTER_RELATIONS)).select("source", "target")
-    known = nodes.select("id").distinct()
-    own = own.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
-    return score_clusters(nodes, annotations, connected(own, known))
+    known = dealt(nodes.select("id"), rows, "id").distinct()
+    for end in ("source", "target"):
+        own = dealt(own, rows, end).join(known.withColumnRenamed("id", end), end, "left_semi")
+    return score_clusters(nodes, annotations, connected(own, known, rows=rows), rows)
 
 
 def group_edges(rows: DataFrame, keys: list[str], node: str, relation: str) -> DataFrame:
-    """source, target, relation: each node of a group linked to the least one. As a component the same as all pairs, a row a node."""
-    first = rows.groupBy(*keys).agg(F.min(node).alias("source"))
-    return rows.join(first, keys).where(F.col(node) != F.col("source")).select("source", F.col(node).alias("target"), F.lit(relation).alias("relation"))
+    """source, target, relation: each node of a group linked to the least one. As a component the same as all pairs, a row a node.
+
+    Up to 1,000,000 groups are looked up where the rows lie; with more, rows meet their group in tasks of TASK_ROWS.
+    """
+    first = cut(rows.groupBy(*keys).agg(F.min(node).alias("source")))
+    if first.count() <= 1_000_000:
+        met = rows.join(F.broadcast(first), keys)
+    else:
+        n = rows.count()
+        met = dealt(rows, n, *keys).join(dealt(first, n, *keys), keys)
+    return met.where(F.col(node) != F.col("source")).select("source", F.col(node).alias("target"), F.lit(relation).alias("relation"))

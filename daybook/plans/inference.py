@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from daybook.operators import baselines, folds, graph, mentions, names, nights, slopes
 from daybook.plans.evidence_graph import all_edges, reference_edges
 from daybook.plans.registry import registry
+from daybook.sources.shared import dealt
 from daybook.sources.tables import changes, commits, events, sql, table
 
 REGISTRY, query = registry()
@@ -56,7 +57,7 @@ def text_annotations(spark, sf_dir):
 
 def tagged_graph(spark, sf_dir):
     """nodes (id, kind, source, project, day), edges (source, target, relation) and annotations (id, label) of orders, events and documents."""
-    c, e = commits(spark, sf_dir), events(spark, sf_dir)
+    c, e = commits(spark, sf_dir, deal=True), events(spark, sf_dir)
     order, event = F.expr("'order:' || sha"), F.expr("'event:' || event_id")
     kind = F.when(F.col("event_type") == "error", "machine_pressure_incident").otherwise("terminal_session")
     doc = table(spark, sf_dir, "documents").select(F.expr("'doc:' || doc_id").alias("id"), F.lit("raw_log").alias("kind"), F.lit("documents").alias("source"), F.col("lang").alias("project"), F.lit(None).cast("date").alias("day"), "text")
@@ -64,9 +65,10 @@ def tagged_graph(spark, sf_dir):
     nodes = nodes.unionByName(e.select(event.alias("id"), kind.alias("kind"), F.lit("events").alias("source"), F.col("event_type").alias("project"), "day")).unionByName(doc.drop("text"))
     references = reference_edges(spark, sf_dir).select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "relation")
     w = Window.partitionBy("user_id").orderBy("at", "event_id")
-    near = e.select(event.alias("target"), F.lag(event).over(w).alias("source"), (F.col("at") - F.lag("at").over(w)).alias("gap")).where(f"gap <= {90 * MINUTE}")
+    near = dealt(e.select("user_id", "at", "event_id"), e.count(), "user_id").select(event.alias("target"), F.lag(event).over(w).alias("source"), (F.col("at") - F.lag("at").over(w)).alias("gap")).where(f"gap <= {90 * MINUTE}")
     near = near.select("source", "target", F.lit("temporal_proximity").alias("relation"))
-    same_day = mentions.group_edges(c.withColumn("id", order), ["project", "day"], "id", "same_project_day")
+    same_day = mentions.group_edges(c, ["project", "day"], "sha", "same_project_day")
+    same_day = same_day.select(F.expr("'order:' || source").alias("source"), F.expr("'order:' || target").alias("target"), "relation")
     labels = c.select(order.alias("id"), F.lit("code_change").alias("label")).unionByName(e.select(event.alias("id"), F.when(F.col("event_type") == "error", "risk_signal").otherwise("terminal_execution").alias("label")))
     labels = labels.unionByName(mentions.text_tags(doc, "id", "text").select("id", "label"))
     return nodes, references.unionByName(near).unionByName(same_day), labels

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.operators import baselines, graph, names, regimes, resampling
+from daybook.operators import baselines, graph, mentions, names, regimes, resampling
 from daybook.operators.quantiles import percentiles
 from daybook.plans import catalog
 from daybook.sources import shared
@@ -193,3 +193,48 @@ def test_renames_are_paired_in_their_project(spark, monkeypatch):
     assert len(rows) == 300 * 39 and most < 30_000
     monkeypatch.setattr(names, "BROADCAST_PAIRS", 0)
     assert sorted(map(tuple, names.rename_candidates(frame, 0.9).collect())) == sorted(map(tuple, rows))
+
+
+def most_read(spark, run):
+    """Rows of ``run()`` and the most records that one task read from a shuffle for them."""
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+    before = max((stages.apply(i).stageId() for i in range(stages.size())), default=-1)
+    rows, most = run(), 0
+    stages = store.stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+    for stage in (stages.apply(i) for i in range(stages.size())):
+        if stage.stageId() > before and stage.shuffleReadRecords():
+            tasks = store.taskList(stage.stageId(), stage.attemptId(), 1000)
+            most = max([most, *(t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in (tasks.apply(i) for i in range(tasks.size())) if t.taskMetrics().isDefined())])
+    return rows, most
+
+
+@pytest.mark.parametrize("least", [True, False])
+def test_components_do_not_meet_in_the_task_of_a_hub(spark, monkeypatch, least):
+    """A hub of 8,000 neighbours (as the least of them, and as the greatest), 2,000 small chains and a node alone."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 2000)
+    hub = 0 if least else 900_000
+    links = spark.range(8000).select(F.lit(hub).cast("long").alias("source"), (F.col("id") + 1).alias("target"))
+    chains = spark.range(2000).selectExpr("explode(array(struct(10000 + id * 3 AS source, 10001 + id * 3 AS target), struct(10002 + id * 3 AS source, 10001 + id * 3 AS target))) AS x").select("x.*")
+    edges = links.unionByName(chains)
+    nodes = spark.range(1, 8001).unionByName(spark.range(10_000, 16_000)).unionByName(spark.createDataFrame([(hub,), (99_999,)], "id long"))
+    rows, most = most_read(spark, lambda: graph.connected(edges, nodes).collect())
+    got = {r["id"]: r["component"] for r in rows}
+    want = {v: min(hub, 1) for v in [hub, *range(1, 8001)]} | {v: 10_000 + (v - 10_000) // 3 * 3 for v in range(10_000, 16_000)} | {99_999: 99_999}
+    assert got == want and len(rows) == len(want)
+    assert most < 6000  # 8,000 and more before
+
+
+def test_clusters_are_summed_in_small_tasks(spark, monkeypatch):
+    """A cluster of 6,000 nodes and 6,000 of one node each."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    nodes = spark.range(12_000).selectExpr("id", "IF(id % 2 = 0, 'commit', 'raw_log') AS kind", "IF(id % 3 = 0, 'a', 'b') AS source", "IF(id % 5 = 0, NULL, concat('p', id % 5)) AS project", "IF(id = 7, date'2024-01-02', date'2024-02-01') AS day")
+    members = spark.range(12_000).selectExpr("id", "IF(id < 6000, 0, id) AS component")
+    labels = spark.range(6001).selectExpr("id", "IF(id % 2 = 0, 'decision_signal', 'risk_signal') AS label")
+    rows, most = most_read(spark, lambda: mentions.score_clusters(nodes, labels, members).collect())
+    by = {r["cluster"]: r.asDict() for r in rows}
+    assert len(by) == len(rows) == 6001 and sum(r["n"] for r in rows) == 12_000
+    assert {k: str(v) if k == "day" else v for k, v in by[0].items()} == {"cluster": 0, "day": "2024-01-02", "project": "p1", "n": 6000, "sources": "a,b", "labels": "decision_signal,risk_signal", "score": 0.8 * 2 + 1.44 + 0.9 + 0.35, "moment": True}
+    assert by[6000]["labels"] == "decision_signal" and by[6000]["project"] is None and by[6001]["labels"] == "" and by[6001]["score"] == 0.92
+    assert most < 3000  # a quarter of the nodes and more before
