@@ -117,12 +117,28 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     return nodes.select("id").join(sums, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)) * scale, 6).alias("score"))
 
 
-def _spread(marks: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """id, mark: the least mark that reaches each node along source -> target, by rounds until no mark falls."""
+#: Nodes whose marks are sent to every task; beyond these, links and marks are joined.
+SENT_NODES = 1_000_000
+
+
+def _marked(links: DataFrame, marks: DataFrame, end: str, mark: str, small: bool, how: str = "inner") -> DataFrame:
+    """``links`` with the mark (as ``mark``) of the node at their ``end``; where there are few nodes links stay where they are."""
+    found = marks.select(F.col("id").alias(end), *([F.col("mark").alias(mark)] if how == "inner" else []))
+    return links.join(F.broadcast(found) if small else found, end, how)
+
+
+def _spread(marks: DataFrame, edges: DataFrame, limit: int, small: bool) -> DataFrame:
+    """id, mark: the least mark that reaches each node along source -> target, by rounds until no mark falls.
+
+    Where few nodes let marks travel to the links, only those that lower the mark of their target leave the task, the least a target.
+    """
     before = None
     for _ in range(limit):
-        sent = edges.join(marks, edges["source"] == marks["id"]).select(F.col("target").alias("id"), "mark")
-        marks = cut(marks.unionByName(sent).groupBy("id").agg(F.min("mark").alias("mark")))
+        sent = _marked(edges, marks, "source", "mark", small)
+        if small:
+            own = marks.select(F.col("id").alias("target"), F.col("mark").alias("_own"))
+            sent = sent.join(F.broadcast(own), "target", "left").where("_own IS NULL OR mark < _own")
+        marks = cut(marks.unionByName(sent.groupBy("target").agg(F.min("mark").alias("mark")).select(F.col("target").alias("id"), "mark")).groupBy("id").agg(F.min("mark").alias("mark")))
         state = marks.agg(F.sum(F.xxhash64("id", "mark").cast("decimal(38,0)"))).first()[0]
         if state == before:
             return marks
@@ -135,33 +151,40 @@ def strong_components(edges: DataFrame, nodes: DataFrame, limit: int = 200) -> D
 
     Each turn, the least id that reaches a node is its colour; what reaches the colour's own node back inside the colour is its
     component and leaves the graph. Nodes without an edge in or out are components alone and go first. Turns grow with the
-    length of chains of components, rounds with the diameter; either raises beyond ``limit``.
+    length of chains of components, rounds with the diameter; either raises beyond ``limit``. Where up to SENT_NODES nodes are left,
+    links stay where they are. ``edges`` are read by every round of the first turn.
     """
-    left, edges = cut(nodes.select("id").distinct()), cut(edges.select("source", "target").where("source <> target").distinct())
+    left, edges = cut(nodes.select("id").distinct()), edges.select("source", "target").where("source <> target")
     done = None
     for _ in range(limit):
-        through = edges.select(F.col("source").alias("id")).intersect(edges.select(F.col("target").alias("id")))
+        ends = [edges.select(F.col(end).alias("id")).distinct() for end in ("source", "target")]
+        through = cut(ends[0].join(ends[1], "id", "left_semi"))
+        small = through.count() <= SENT_NODES
         found = left.join(through, "id", "left_anti").select("id", F.col("id").alias("component"))
-        inner = edges.join(through.withColumnRenamed("id", "source"), "source", "left_semi").join(through.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
-        colours = _spread(through.select("id", F.col("id").alias("mark")), inner, limit)
-        source, target = (colours.select(F.col("id").alias(c), F.col("mark").alias(f"{c}_mark")) for c in ("source", "target"))
-        within = cut(inner.join(source, "source").join(target, "target").where("source_mark = target_mark").select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("source_mark").alias("colour")))
+        inner = _marked(_marked(edges, through, "source", "", small, "left_semi"), through, "target", "", small, "left_semi").select("source", "target")
+        inner = inner if small else cut(inner.distinct())
+        colours = _spread(through.select("id", F.col("id").alias("mark")), inner, limit, small)
+        within = _marked(_marked(inner, colours, "source", "source_mark", small), colours, "target", "target_mark", small)
+        within = within.where("source_mark = target_mark").select(F.col("target").alias("source"), F.col("source").alias("target"))
         # backwards from the node that gave the colour: only marks equal to the colour matter
-        back = _spread(colours.where("id = mark"), within.select("source", "target"), limit)
+        back = _spread(colours.where("id = mark"), within if small else cut(within), limit, small)
         found = cut(found.unionByName(back.select("id", F.col("mark").alias("component"))))
         done = found if done is None else done.unionByName(found)
         left = cut(left.join(found, "id", "left_anti"))
         if left.isEmpty():
             return done
-        edges = edges.join(found.select(F.col("id").alias("source")), "source", "left_anti").join(found.select(F.col("id").alias("target")), "target", "left_anti")
+        small = found.count() <= SENT_NODES
+        for end in ("source", "target"):
+            edges = _marked(edges, found, end, "", small, "left_anti")
         edges = cut(edges.select("source", "target"))
     raise RuntimeError(f"components have not settled after {limit} turns")
 
 
 def longest_chain(edges: DataFrame, components: DataFrame) -> int:
     """Components on the longest path of the graph of components (which has no cycle); 0 without components."""
-    source, target = (components.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part")) for c in ("source", "target"))
-    dag = cut(edges.join(source, "source").join(target, "target").where("source_part <> target_part").select("source_part", "target_part").distinct())
+    marks, small = components.select("id", F.col("component").alias("mark")), components.count() <= SENT_NODES
+    dag = _marked(_marked(edges, marks, "source", "source_part", small), marks, "target", "target_part", small)
+    dag = cut(dag.where("source_part <> target_part").select("source_part", "target_part").distinct())
     depth, ends = 0, components.select(F.col("component").alias("part")).distinct()
     while not ends.isEmpty():
         depth += 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from daybook.operators.graph import betweenness, longest_chain, strong_components
 from daybook.plans.graphs import WHOLE, edges, nodes
 from daybook.plans.registry import registry
-from daybook.sources.shared import cut, dealt
+from daybook.sources.shared import dealt, stored
 from daybook.sources.tables import events, sql, table
 
 REGISTRY, query = registry()
@@ -27,7 +27,7 @@ SELECT n AS nodes, m AS edges, round(m / (n * (n - 1.0)), 6) AS density, (SELECT
 (SELECT max(n) FROM z) AS largest, (SELECT max(depth) FROM w) AS depth, round(m / CAST(n AS DOUBLE), 4) AS mean_degree FROM k, v""")
 def graph_shape(spark, sf_dir):
     """The rest of G13: density, strong components, their sizes and the depth of the graph of them; one row."""
-    kept = cut(edges(spark, sf_dir))
+    kept = stored(edges(spark, sf_dir), "links")
     parts = strong_components(kept, nodes(spark, sf_dir))
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
     shape = sizes.agg(F.sum("n").alias("nodes"), F.count("*").alias("components"), F.count_if(F.col("n") > 1).alias("larger_components"), F.max("n").alias("largest"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder as Parquet, in columns: for what is large and read often."""
+    path = f"{shared_dir(df.sparkSession)}/daybook-{uuid.uuid4().hex[:12]}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """``df`` by ``keys`` in tasks of some TASK_ROWS of its ``rows`` rows.
 

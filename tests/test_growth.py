@@ -238,3 +238,22 @@ def test_clusters_are_summed_in_small_tasks(spark, monkeypatch):
     assert {k: str(v) if k == "day" else v for k, v in by[0].items()} == {"cluster": 0, "day": "2024-01-02", "project": "p1", "n": 6000, "sources": "a,b", "labels": "decision_signal,risk_signal", "score": 0.8 * 2 + 1.44 + 0.9 + 0.35, "moment": True}
     assert by[6000]["labels"] == "decision_signal" and by[6000]["project"] is None and by[6001]["labels"] == "" and by[6001]["score"] == 0.92
     assert most < 3000  # a quarter of the nodes and more before
+
+
+def test_links_of_strong_components_are_not_shuffled(spark):
+    """300 nodes, each linked to each (89,700 links), and one that only the last of them leads to."""
+    edges = spark.range(300).selectExpr("id AS source", "explode(sequence(0L, 299L)) AS target").where("source <> target").unionByName(spark.createDataFrame([(299, 300)], "source long, target long"))
+    rows, most = moved(spark, lambda: graph.strong_components(edges, spark.range(301)).collect())
+    assert {r["id"]: r["component"] for r in rows} == dict.fromkeys(range(300), 0) | {300: 300}
+    assert most < 10_000  # 89,701 before
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_strong_components_joined_or_sent(spark, monkeypatch, most):
+    """Two rings of three that lead one to the other, a link twice, a link to itself and an end that is no node."""
+    monkeypatch.setattr(graph, "SENT_NODES", most)
+    links = [(3, 4), (4, 5), (5, 3), (5, 0), (0, 1), (1, 2), (2, 0), (2, 0), (2, 2), (2, 6), (7, 9)]
+    edges, nodes = spark.createDataFrame(links, "source long, target long"), spark.range(8)
+    got = graph.strong_components(edges, nodes)
+    assert {r["id"]: r["component"] for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7}
+    assert graph.longest_chain(edges, got) == 3
