@@ -1,11 +1,13 @@
-"""Square blocks of a graph's matrices: numbering of nodes, links as bits, and products of both, a task a few blocks at a time.
+"""Shortest paths from many starts: nodes numbered in their order, links stored in blocks of neighbours' lists, walks that read these blocks.
 
-Nodes are numbered from 0 in the order of their ids. A block of links holds those from ``WIDE`` nodes to ``WIDE`` nodes, a bit each; a block
-of state holds a number for each of ``STARTS`` starts and ``WIDE`` nodes. Only blocks that hold something exist.
+Nodes are numbered from 0 in the order of their ids. A block holds the lists of a stretch of nodes, along the links (OUT) or against them (IN).
+A task walks from a few hundred starts, a level at a time for BATCH of them, and holds their state (a number for each start and node between
+the least and the greatest that they reach) and up to HELD bytes of blocks. State never moves; what leaves a task is a sum a node.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.sources.shared import cut
+from daybook.sources.shared import cut, scratch
 
-WIDE, STARTS = 512, 64
+OUT, IN = "out", "in"
+LINKS = 2_000_000  # links of a block
+TASK_STARTS, BATCH = 512, 64  # starts of a task, and of those that walk side by side
+HELD, STATE = 512 << 20, 256 << 20  # bytes of blocks and of state that a task holds
+SMALL = 1_000_000  # nodes whose numbers are sent to every task
 _STRETCH = 100_000  # ids that are numbered together
-_SPREAD = 64  # least number of pairs of block and salt that a product is dealt by
+_BYTES = 48  # of state, for each start and node
 
 
 def numbered(ids: DataFrame) -> DataFrame:
@@ -30,136 +36,190 @@ def numbered(ids: DataFrame) -> DataFrame:
     return cut(held.join(F.broadcast(ahead), "_stretch").select("id", (F.col("_ahead") + inner - 1).alias("at")))
 
 
-def link_blocks(edges: DataFrame, places: DataFrame) -> DataFrame:
-    """n, t, links: the bits of the links from block n to block t."""
-    source, target = (places.select(F.col("id").alias(c), F.col("at").alias(f"_{c}")) for c in ("source", "target"))
+def store_links(edges: DataFrame, places: DataFrame, n: int) -> tuple[dict[str, str], int]:
+    """Folders of the blocks along the links and against them, and the nodes of a block; ``edges`` (source, target) are read twice."""
+    width = max(1, LINKS * n // max(edges.count(), n, 1))
+    source, target = (places.select(F.col("id").alias(c), F.col("at").cast("int").alias(f"_{c}")) for c in ("source", "target"))
+    if n <= SMALL:
+        source, target = F.broadcast(source), F.broadcast(target)
     pairs = edges.join(source, "source").join(target, "target")
-    code = (F.col("_source") % WIDE * WIDE + F.col("_target") % WIDE).cast("int")
-    pairs = pairs.select(F.floor(F.col("_source") / WIDE).alias("n"), F.floor(F.col("_target") / WIDE).alias("t"), code.alias("code"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(WIDE * WIDE, np.uint8)
-        bits[rows["code"].to_numpy()] = 1
-        return pd.DataFrame({"n": rows["n"].iloc[:1], "t": rows["t"].iloc[:1], "links": [np.packbits(bits).tobytes()]})
-
-    return cut(pairs.groupBy("n", "t").applyInPandas(pack, "n long, t long, links binary"))
-
-
-def salts(places: DataFrame) -> int:
-    """Copies of each block of links, so that products of few blocks are still dealt to many tasks."""
-    last = places.agg(F.max("at")).first()[0] or 0
-    return max(1, -(-_SPREAD // (last // WIDE + 1)))
-
-
-def first_blocks(starts: DataFrame) -> DataFrame:
-    """s, n, paths: a 1 for each start (``at``) at its own node."""
-
-    def lay(rows: pd.DataFrame) -> pd.DataFrame:
-        at, block = rows["at"].to_numpy(), np.zeros((STARTS, WIDE))
-        block[at % STARTS, at % WIDE] = 1
-        return pd.DataFrame({"s": rows["s"].iloc[:1], "n": at[:1] // WIDE, "paths": [block.tobytes()]})
-
-    return starts.select("at", F.floor(F.col("at") / STARTS).alias("s")).groupBy("s").applyInPandas(lay, "s long, n long, paths binary")
-
-
-def _block(data: bytes) -> np.ndarray:
-    return np.frombuffer(data).reshape(STARTS, WIDE)
-
-
-def product(state: DataFrame, links: DataFrame, copies: int, back: bool = False) -> DataFrame:
-    """s, n, sums: blocks of state (s, n, x) times the blocks of links, along them or ``back``; those of one (s, n) are to be added up."""
-    near, far = ("t", "n") if back else ("n", "t")
-    salted = links.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    salted = salted.select(F.col(near).alias("n"), F.col(far).alias("far"), "links", "salt")
-    both = state.withColumn("salt", (F.col("s") % copies).cast("int")).join(salted, ["n", "salt"]).select("s", "far", "x", "links")
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for s, n, x, bits in zip(batch["s"], batch["far"], batch["x"], batch["links"]):
-                matrix = np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(WIDE, WIDE).astype(np.float64)
-                found = _block(x) @ (matrix.T if back else matrix)
-                if found.any():
-                    yield pd.DataFrame({"s": [s], "n": [n], "sums": [found.tobytes()]})
-
-    return both.mapInPandas(multiply, "s long, n long, sums binary")
-
-
-def reached(sums: DataFrame, seen: DataFrame) -> DataFrame:
-    """s, n, paths, seen: what sums reach that was not seen before (null: nothing), and what is seen now."""
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        total, known = np.zeros((STARTS, WIDE)), np.zeros((STARTS, WIDE), bool)
-        for part, bits in zip(rows["sums"], rows["seen"]):
-            if part is not None:
-                total += _block(part)
-            if bits is not None:
-                known |= np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(STARTS, WIDE).astype(bool)
-        if not np.isfinite(total).all():
-            raise ArithmeticError("more shortest paths than a double can count")
-        total[known] = 0
-        paths = total.tobytes() if total.any() else None
-        return pd.DataFrame({"s": rows["s"].iloc[:1], "n": rows["n"].iloc[:1], "paths": pd.Series([paths], dtype=object), "seen": [np.packbits(known | (total > 0)).tobytes()]})
-
-    none = F.lit(None).cast("binary")
-    both = sums.withColumn("seen", none).unionByName(seen.withColumn("sums", none))
-    return cut(both.groupBy("s", "n").applyInPandas(settle, "s long, n long, paths binary, seen binary"))
-
-
-def seen_at(first: DataFrame) -> DataFrame:
-    """s, n, seen of the first blocks."""
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bits = [np.packbits(_block(x) > 0).tobytes() for x in batch["paths"]]
-            yield pd.DataFrame({"s": batch["s"], "n": batch["n"], "seen": bits})
-
-    return first.select("s", "n", "paths").mapInPandas(mark, "s long, n long, seen binary")
-
-
-def shares(held: DataFrame) -> DataFrame:
-    """s, n, x: (1 + through) / paths where there are paths."""
-
-    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for paths, through in zip(batch["paths"], batch["through"]):
-                p = _block(paths)
-                more = 1.0 if through is None else 1 + _block(through)
-                out.append(np.divide(more, p, out=np.zeros_like(p), where=p > 0).tobytes())
-            yield pd.DataFrame({"s": batch["s"], "n": batch["n"], "x": out})
-
-    return held.select("s", "n", "paths", "through").mapInPandas(divide, "s long, n long, x binary")
-
-
-def passed(level: DataFrame, sums: DataFrame) -> DataFrame:
-    """s, n, paths, through: a level with what its successors hand back."""
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        paths = [p for p in rows["paths"] if p is not None]
-        if not paths:  # nodes of other levels
-            return pd.DataFrame({"s": [], "n": [], "paths": [], "through": []})
-        total = np.zeros((STARTS, WIDE))
-        for part in rows["sums"]:
-            if part is not None:
-                total += _block(part)
-        return pd.DataFrame({"s": rows["s"].iloc[:1], "n": rows["n"].iloc[:1], "paths": paths, "through": [(_block(paths[0]) * total).tobytes()]})
-
-    none = F.lit(None).cast("binary")
-    both = level.select("s", "n", "paths").withColumn("sums", none).unionByName(sums.withColumn("paths", none))
-    return cut(both.groupBy("s", "n").applyInPandas(add, "s long, n long, paths binary, through binary"))
-
-
-def through_nodes(held: DataFrame) -> DataFrame:
-    """at, through: what passes each node, of all starts of a task's blocks."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for n, through in zip(batch["n"], batch["through"]):
-                if through is not None:
-                    totals[n] = totals.get(n, 0) + _block(through).sum(0)
-        for n, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"at": n * WIDE + at, "through": total[at]})
-
-    return held.select("n", "through").mapInPandas(add, "at long, through double")
+        block, near = int(rows["block"].iloc[0]), rows["near"].to_numpy()
+        sizes = np.bincount(near - block * width, minlength=width).astype("<i4")
+        ends = rows["far"].to_numpy()[np.argsort(near, kind="stable")].astype("<i4")
+        return pd.DataFrame({"block": [block], "sizes": [sizes.tobytes()], "ends": [ends.tobytes()]})
+
+    folders = {}
+    for way, near, far in ((OUT, "_source", "_target"), (IN, "_target", "_source")):
+        dealt = pairs.select(F.expr(f"CAST({near} div {width} AS INT)").alias("block"), F.col(near).alias("near"), F.col(far).alias("far")).repartition(n // width + 1, "block")
+        folders[way] = scratch(edges.sparkSession, f"links-{way}")
+        dealt.groupBy("block").applyInPandas(pack, "block int, sizes binary, ends binary").write.partitionBy("block").parquet(folders[way])
+    return folders, width
+
+
+class Links:
+    """The stored blocks, read when they are asked for; the HELD bytes asked for last stay."""
+
+    def __init__(self, folders: dict[str, str], width: int, n: int):
+        from pyarrow import fs
+
+        self.width, self.n, self.paths, self.known, self.held, self.bytes = width, n, {}, {}, OrderedDict(), 0
+        for way, uri in folders.items():
+            self.store, root = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+            for found in self.store.get_file_info(fs.FileSelector(root, recursive=True)):
+                folder = found.path.split("/")[-2]
+                if folder.startswith("block=") and found.base_name.endswith(".parquet"):
+                    self.paths[way, int(folder.partition("=")[2])] = found.path
+
+    def _read(self, way: str, block: int, column: str) -> np.ndarray:
+        from pyarrow import parquet
+
+        with self.store.open_input_file(self.paths[way, block]) as f:
+            return np.frombuffer(parquet.ParquetFile(f).read(columns=[column])[column][0].as_buffer(), "<i4")
+
+    def sizes(self, way: str, block: int) -> np.ndarray:
+        """How many neighbours each node of the block has."""
+        if (way, block) not in self.known:
+            self.known[way, block] = self._read(way, block, "sizes") if (way, block) in self.paths else np.zeros(self.width, "<i4")
+        return self.known[way, block]
+
+    def degrees(self, way: str, low: int, high: int) -> np.ndarray:
+        first = low // self.width
+        every = np.concatenate([self.sizes(way, b) for b in range(first, (high - 1) // self.width + 1)])
+        return every[low - first * self.width : high - first * self.width].astype(np.int64)
+
+    def lists(self, way: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each node's list begins, and the lists."""
+        if (way, block) not in self.held:
+            sizes = self.sizes(way, block).astype(np.int64)
+            self.held[way, block] = np.cumsum(sizes) - sizes, self._read(way, block, "ends")
+            self.bytes += sum(a.nbytes for a in self.held[way, block])
+            while self.bytes > HELD and len(self.held) > 1:
+                self.bytes -= sum(a.nbytes for a in self.held.popitem(last=False)[1])
+        self.held.move_to_end((way, block))
+        return self.held[way, block]
+
+    def neighbours(self, way: str, asked: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each of the ``asked`` sorted nodes, block after block: which of ``asked``, nodes with neighbours, numbers of these, neighbours."""
+        bounds = np.arange(0, self.n + self.width, self.width)
+        parts = [np.searchsorted(nodes, bounds) for nodes in asked]
+        for block in range(len(bounds) - 1):
+            mine = [i for i, at in enumerate(parts) if at[block] < at[block + 1]]
+            if not mine or (way, block) not in self.paths:
+                continue
+            first, ends = self.lists(way, block)
+            for i in mine:
+                nodes = asked[i][parts[i][block] : parts[i][block + 1]]
+                sizes = self.sizes(way, block)[nodes - block * self.width]
+                nodes, sizes = nodes[sizes > 0], sizes[sizes > 0]
+                if len(nodes):
+                    begin = first[nodes - block * self.width]
+                    yield i, nodes, sizes, np.concatenate([ends[a:z] for a, z in zip(begin.tolist(), (begin + sizes).tolist())])
+
+
+def _reached(links: Links, starts: np.ndarray) -> np.ndarray:
+    """Whether any of the starts reaches a node."""
+    seen, front = np.zeros(links.n, bool), np.unique(starts)
+    seen[front] = True
+    while len(front) and not seen.all():
+        found = np.zeros(links.n, bool)
+        for _, _, _, ends in links.neighbours(OUT, [front]):
+            found[ends] = True
+        front = np.flatnonzero(found & ~seen)
+        seen[front] = True
+    return seen
+
+
+class _Walk:
+    """The state of one start, over the nodes from ``low`` on; the last place stands for all other nodes."""
+
+    def __init__(self, start: int, size: int):
+        self.level, self.paths, self.through = np.full(size, -1, np.int32), np.zeros(size + 1), np.zeros(size + 1)
+        self.level[start], self.paths[start], self.fronts, self.seen = 0, 1, [np.array([start])], 1
+
+
+def _turn(links: Links, low: int, size: int, jobs: list[tuple[str, bool, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each job (way, take, nodes, x): sums of x, which nodes ``take`` from their neighbours or else give to them."""
+    sums = [np.zeros(size + 1) for _ in jobs]
+    for way in (OUT, IN):
+        mine = [i for i, job in enumerate(jobs) if job[0] == way]
+        for k, nodes, sizes, ends in links.neighbours(way, [jobs[i][2] + low for i in mine]):
+            _, take, _, x = jobs[mine[k]]
+            total, at = sums[mine[k]], np.subtract(ends, low, dtype=np.intp)
+            if way == IN and size < links.n:  # a neighbour may be none that is reached
+                at[(at < 0) | (at > size)] = size
+            if take:
+                total[nodes - low] = np.add.reduceat(x[at], np.cumsum(sizes) - sizes)
+            elif len(at) * 8 < size:
+                np.add.at(total, at, np.repeat(x[nodes - low], sizes))
+            else:
+                total += np.bincount(at, np.repeat(x[nodes - low], sizes), size + 1)
+    return sums
+
+
+def _only(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    kept = np.zeros_like(x)
+    kept[nodes] = x[nodes]
+    return kept
+
+
+def passed(links: Links, starts: np.ndarray) -> tuple[int, np.ndarray]:
+    """The least node that the starts reach, and what passes through each node from there on.
+
+    Each level is found from the front or from the nodes not seen, and handed back from the one side or the other, whichever has fewer links.
+    """
+    reached = _reached(links, starts)
+    places = np.flatnonzero(reached)
+    low, high, every = int(places[0]), int(places[-1]) + 1, len(places)
+    size, reached = high - low, reached[low:high]
+    out, into = (links.degrees(way, low, high) for way in (OUT, IN))
+    walks = [_Walk(int(s) - low, size) for s in starts]
+    live = walks
+    while live := [w for w in live if w.seen < every]:
+        jobs = []
+        for w in live:
+            front, links_ahead = w.fronts[-1], out[w.fronts[-1]].sum()
+            job = OUT, False, front, w.paths
+            if links_ahead > size:
+                unseen = np.flatnonzero(reached & (w.level < 0))
+                if into[unseen].sum() < links_ahead:
+                    job = IN, True, unseen, _only(w.paths, front)
+            jobs.append(job)
+        for w, sums in zip(live, _turn(links, low, size, jobs)):
+            found = np.flatnonzero((sums[:-1] > 0) & (w.level < 0))
+            if not np.isfinite(sums[found]).all():
+                raise ArithmeticError("more shortest paths than a double can count")
+            w.level[found], w.paths[found], w.seen = len(w.fronts), sums[found], w.seen + len(found) if len(found) else every
+            if len(found):
+                w.fronts.append(found)
+    total = np.zeros(size)
+    for back in range(max(len(w.fronts) for w in walks) - 2):
+        jobs, live = [], [w for w in walks if len(w.fronts) - 2 - back > 0]
+        for w in live:
+            here, after = w.fronts[-2 - back], w.fronts[-1 - back]
+            x = np.zeros(size + 1)
+            x[after] = (1 + w.through[after]) / w.paths[after]
+            jobs.append((OUT, True, here, x) if out[here].sum() <= into[after].sum() else (IN, False, after, x))
+        for w, sums in zip(live, _turn(links, low, size, jobs)):
+            here = w.fronts[-2 - back]  # the start takes no score of its own
+            w.through[here] = w.paths[here] * sums[here]
+            total[here] += w.through[here]
+    return low, total
+
+
+def through_nodes(starts: DataFrame, folders: dict[str, str], width: int, n: int) -> DataFrame:
+    """at, through: what passes each node, of the starts (``at``) of a task."""
+    batch = max(1, min(BATCH, STATE // (_BYTES * max(n, 1))))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = [b["at"].to_numpy() for b in batches]
+        begun = np.sort(np.concatenate(every)) if every else np.zeros(0, np.int64)
+        links, totals = Links(folders, width, n), np.zeros(n if len(begun) else 0)
+        for i in range(0, len(begun), batch):
+            low, total = passed(links, begun[i : i + batch])
+            totals[low : low + len(total)] += total
+        at = np.flatnonzero(totals)
+        yield pd.DataFrame({"at": at, "through": totals[at]})
+
+    return starts.repartitionByRange(starts.count() // TASK_STARTS + 1, "at").mapInPandas(walk, "at long, through double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.operators import blocks
-from daybook.sources.shared import cut, dealt, heavy
+from daybook.sources.shared import cut, dealt, heavy, stored
 
 
 def walk(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
@@ -89,28 +89,17 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
 def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """id, score: the share of shortest directed paths that pass through a node, over (n - 1)(n - 2) where there are more than two nodes.
 
-    All sources advance a level at a time, by products of blocks (64 sources and 512 nodes) with the blocks of links between 512 and 512 nodes,
-    so no task holds a graph. The state is a number for each source and each node that it reaches; ``sources`` (default: all nodes)
-    bounds it, and scores are then sums over these sources.
+    Links are stored once in blocks, along and against them; a task walks from some of the sources and reads the blocks that it comes to,
+    so none need hold the graph and only sums by node move. The state of a source is a few numbers for each node between those that it reaches;
+    ``sources`` (default: all nodes) bounds it, and scores are then sums over these sources.
     """
-    edges = cut(edges.select("source", "target").where("source <> target").distinct())  # read three times
+    edges = stored(edges.select("source", "target").where("source <> target").distinct(), "links")  # read often
     starts = nodes if sources is None else sources
     ids = nodes.select("id").unionByName(starts.select("id"))
     places = blocks.numbered(ids.unionByName(edges.select(F.col("source").alias("id"))).unionByName(edges.select(F.col("target").alias("id"))))
-    links, copies = blocks.link_blocks(edges, places), blocks.salts(places)
-    first = cut(blocks.first_blocks(starts.select("id").distinct().join(places, "id")))
-    levels, seen = [first], blocks.seen_at(first)
-    while True:
-        found = blocks.reached(blocks.product(levels[-1].withColumnRenamed("paths", "x").select("s", "n", "x"), links, copies), seen)
-        ahead, seen = found.where("paths IS NOT NULL").select("s", "n", "paths"), found.select("s", "n", "seen")
-        if ahead.isEmpty():
-            break
-        levels.append(ahead)
-    held = levels[-1].withColumn("through", F.lit(None).cast("binary"))
-    totals = blocks.through_nodes(held)
-    for level in levels[-2:0:-1]:  # towards the sources, which take no score of their own
-        held = blocks.passed(level, blocks.product(blocks.shares(held), links, copies, back=True))
-        totals = totals.unionByName(blocks.through_nodes(held))
+    known = places.count()
+    begun = cut(starts.select("id").distinct().join(places, "id").select("at"))
+    totals = blocks.through_nodes(begun, *blocks.store_links(edges, places, known), known)
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     sums = totals.groupBy("at").agg(F.sum("through").alias("s")).join(places, "at").select("id", "s")

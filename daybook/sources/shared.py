@@ -36,9 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/daybook-{uuid.uuid4().hex[:12]}/{name}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet, in columns: for what is large and read often."""
-    path = f"{shared_dir(df.sparkSession)}/daybook-{uuid.uuid4().hex[:12]}/{name}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.operators import baselines, graph, mentions, names, regimes, resampling
+from daybook.operators import baselines, blocks, graph, mentions, names, regimes, resampling
 from daybook.operators.quantiles import percentiles
 from daybook.plans import catalog
 from daybook.sources import shared
@@ -257,3 +257,65 @@ def test_strong_components_joined_or_sent(spark, monkeypatch, most):
     got = graph.strong_components(edges, nodes)
     assert {r["id"]: r["component"] for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7}
     assert graph.longest_chain(edges, got) == 3
+
+
+def through_by_search(n, links):
+    """What passes each node: one search a source, and back."""
+    after = {v: sorted(b for a, b in links if a == v) for v in range(n)}
+    want = np.zeros((n, n))
+    for s in range(n):
+        paths, depth, order = {s: 1.0}, {s: 0}, [s]
+        for v in order:
+            for w in after[v]:
+                if w not in depth:
+                    depth[w], paths[w] = depth[v] + 1, 0.0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] += paths[v]
+        for v in reversed(order):
+            want[s, v] = sum(paths[v] / paths[w] * (1 + want[s, w]) for w in after[v] if depth[w] == depth[v] + 1)
+        want[s, s] = 0
+    return want
+
+
+def test_state_of_walks_does_not_move(spark):
+    """Betweenness of 700 nodes and some 7,000 links: what is shuffled in all is links and sums, no number for each pair of nodes."""
+    rng = np.random.default_rng(5)
+    links = sorted({(int(a), int(b)) for a, b in rng.integers(0, 700, (7000, 2)) if a != b})
+    edges, nodes = spark.createDataFrame(links, "source long, target long"), spark.range(700)
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+
+    def stages():
+        found = store.stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+        return [found.apply(i) for i in range(found.size())]
+
+    before = max((s.stageId() for s in stages()), default=-1)
+    got = {r["id"]: r["score"] for r in graph.betweenness(edges, nodes).collect()}
+    want = through_by_search(700, links).sum(0) / (699 * 698)
+    assert got == {v: pytest.approx(x, abs=1.1e-6) for v, x in enumerate(want)}
+    assert sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > before) < 1_000_000  # 35,216,401 before
+
+
+@pytest.mark.parametrize("held, per_block", [(1, 40), (1 << 20, 300), (1 << 20, 100_000)])
+def test_walks_over_stored_blocks(spark, monkeypatch, held, per_block):
+    """Whatever the size of a block and of what a task keeps: two parts of which one leads to the other, nodes that only lead in, and some alone."""
+    monkeypatch.setattr(blocks, "LINKS", per_block)
+    monkeypatch.setattr(blocks, "HELD", held)
+    rng = np.random.default_rng(11)
+    links = {(int(a), int(b)) for a, b in rng.integers(0, 120, (1300, 2))} | {(int(a), int(b)) for a, b in rng.integers(150, 200, (200, 2))}
+    links |= {(int(a), int(b)) for a, b in zip(rng.integers(125, 145, 150), rng.integers(150, 200, 150))} | {(3, 170)}
+    links = sorted((a, b) for a, b in links if a != b)
+    edges = spark.createDataFrame(links, "source long, target long")
+    places = spark.range(210).select("id", F.col("id").alias("at"))
+    folders, width = blocks.store_links(edges, places, 210)
+    ways, turn = set(), blocks._turn
+    monkeypatch.setattr(blocks, "_turn", lambda links, low, size, jobs: ways.update(j[:2] for j in jobs) or turn(links, low, size, jobs))
+    known, want = blocks.Links(folders, width, 210), through_by_search(210, links)
+    for i in range(0, 210, 7):
+        low, total = blocks.passed(known, np.arange(i, min(i + 7, 210)))
+        got = np.zeros(210)
+        got[low : low + len(total)] = total
+        assert np.allclose(got, want[i : i + 7].sum(0))
+    assert ways == {(blocks.OUT, False), (blocks.IN, True), (blocks.OUT, True), (blocks.IN, False)}
+    assert held > 1 or len(known.held) == 1
