@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daybook.operators import baselines, blocks, graph, mentions, names, regimes, resampling
 from daybook.operators.quantiles import percentiles
-from daybook.plans import catalog
+from daybook.plans import catalog, evidence_graph
 from daybook.sources import shared
 from tests.test_reference_queries import plain
 
@@ -319,3 +319,31 @@ def test_walks_over_stored_blocks(spark, monkeypatch, held, per_block):
         assert np.allclose(got, want[i : i + 7].sum(0))
     assert ways == {(blocks.OUT, False), (blocks.IN, True), (blocks.OUT, True), (blocks.IN, False)}
     assert held > 1 or len(known.held) == 1
+
+
+@pytest.mark.parametrize("rows_of_a_task, side_by_side", [(200_000, 100_000), (100, 50)])
+def test_overlaps_of_a_commit_lie_together(spark, crowded, monkeypatch, rows_of_a_task, side_by_side):
+    """symbol_overlap: 164,000 pairs come commit after commit, also where an hour's lines are cut into shares and its events into several rows."""
+    monkeypatch.setattr(shared, "TASK_ROWS", rows_of_a_task)
+    monkeypatch.setattr(evidence_graph, "SIDE_BY_SIDE", side_by_side, raising=False)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = catalog.queries()["symbol_overlap"](spark, crowded).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    against_sql("symbol_overlap", rows, crowded, ["events", "lineitem"])
+    runs = 1 + sum(a["sha"] != b["sha"] for a, b in zip(rows, rows[1:]))
+    assert runs < 20_000
+
+
+def test_overlaps_of_odd_rows(spark, tmp_path):
+    """symbol_overlap: events without a user or a time, events given twice and in two modules, lines without a part, number, supplier or order."""
+    e = [(i * 50 + i % 2, [3, 23, 4, None, -7][i % 5], ["click", "purchase", "view"][i % 3], None if i % 11 == 10 else 1704070000 + i % 4 * 1800) for i in range(60)]
+    e += e[:20] + [(a, 4, "click", at) for a, _, _, at in e[20:40]] + [(None, 3, "click", 1704070000)]
+    e = spark.createDataFrame(e, "event_id long, user_id long, event_type string, at long").selectExpr("event_id", "user_id", "event_type", "CAST(timestamp_seconds(at) AS timestamp_ntz) AS ts", "1.0D AS value", "'{}' AS props")
+    l = [(720 * (i % 13) + i % 3, [3, 4, 23, -7, None][i % 5], [0, 50, 1, 100, 51, None, -50][i % 7], [1, 2, 4, None][i % 4]) for i in range(300)] + [(None, 3, 0, 1)]
+    l = spark.createDataFrame(l, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    for name, df in (("events", e), ("lineitem", l)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    against_sql("symbol_overlap", catalog.queries()["symbol_overlap"](spark, str(tmp_path)).collect(), tmp_path, ["events", "lineitem"])
